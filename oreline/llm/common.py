@@ -9,6 +9,7 @@ null again in its result.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,14 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def hold(df: DataFrame, tag: str) -> DataFrame:
+    """:func:`materialize`, then let go of the shuffle files behind it."""
+    out = materialize(df, tag)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def partitions(spark: SparkSession, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -204,7 +213,8 @@ def _short(h: np.ndarray) -> int:
 
 def sets(docs: np.ndarray, vals: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each of ``n`` documents, ascending, as (values, offsets)."""
-    order = np.lexsort((vals, docs))
+    order = np.argsort(vals)
+    order = order[np.argsort(docs[order].astype(np.uint16) if n <= 65536 else docs[order], kind="stable")]
     d, v = docs[order], vals[order]
     if len(d):
         keep = np.ones(len(d), bool)
