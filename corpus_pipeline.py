@@ -1,10 +1,15 @@
-"""A training corpus in five stages: toxicity, near copies, repeated passages, benchmark passages, packing."""
+"""A training corpus in five stages: toxicity, near copies, repeated passages, benchmark passages, packing.
+
+Each stage takes all that the one before it kept. The first four return the columns of ``documents``; the last
+one returns the pieces of each kept document with their place in a packed sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreline.llm import toxicity
+from oreline.llm import decontamination, jaccard_join, packing, suffix_dedup, toxicity
+from oreline.llm.common import back, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +18,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, model)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard of at least 0.75 on five-word shingles."""
+    return jaccard_join.keep_one(docs, k=5)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 100-byte strings that start earlier in the corpus."""
+    return suffix_dedup.rewrite(docs, size=100)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their places in sequences."""
+    import public_tokenizers
+
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    return got.select(back().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
 #: Trained and iterative stages; tested against brute force instead.
 ORACLE_SQL = None
@@ -21,11 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each to all that its predecessor kept."""
-    from oreline.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -57,13 +57,28 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def hold(df: DataFrame, tag: str) -> DataFrame:
-    """:func:`materialize`, then let go of the shuffle files behind it."""
+    """:func:`materialize`; before and after it, shuffle files of earlier steps are let go."""
+    spark = df.sparkSession
+    collect(spark)
     out = materialize(df, tag)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    del df
+    collect(spark)
     return out
 
 
+def collect(spark: SparkSession) -> None:
+    """Shuffle files stay until the driver notices that nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete intermediate tables that only written results depended on."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            _drop(t.sparkSession, path)
+
+
 def partitions(spark: SparkSession, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -167,6 +182,16 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the punctuation around them; a word of punctuation only becomes empty."""
+    n = len(data)
+    good = ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128)
+    where = np.arange(n)
+    before = np.maximum.accumulate(np.where(good, where, -1)) if n else where
+    after = np.minimum.accumulate(np.where(good, where, n)[::-1])[::-1] if n else where
+    return np.minimum(after[starts], ends), np.maximum(before[ends - 1] + 1, np.minimum(after[starts], ends))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of lower-cased (A-Z) words; spans of up to ``CHUNK`` bytes at a time."""
     out = np.empty(len(starts), np.uint64)

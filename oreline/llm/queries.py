@@ -43,6 +43,23 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(C.back().alias("doc_id"), "n_shingles", "component_id")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document and benchmark item of which it holds at least half the words in tiles."""
+    from oreline.llm import decontamination
+
+    got = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(C.back().alias("doc_id"), "item_id", "coverage", "matched_words", "item_words", "n_tiles")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str, capacity: int = 2048) -> DataFrame:
+    import public_tokenizers
+
+    from oreline.llm import packing
+
+    got = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity)
+    return got.select(C.back().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

@@ -19,7 +19,6 @@ text are looked at in overlapping pieces.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -109,14 +108,6 @@ def _map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def _hold(df: DataFrame, tag: str) -> DataFrame:
-    """Materialize and let go of the shuffle files behind it."""
-    out = C.materialize(df, tag)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
-
-
 def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``__id`` (key of :func:`_keyed`) and ``spans``, the array of its repeated ranges (lo, hi), unordered."""
     spark = docs.sparkSession
@@ -128,14 +119,14 @@ def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return {"h": h, "n": n}
 
     repeated = _map(keyed, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h")
-    repeated = _hold(repeated, "sa-anchors")
+    repeated = C.hold(repeated, "sa-anchors")
 
     def places(b, r0, r1, ids, data, offs):
         d, h, s, w = runs(data, offs, size)
         return {"h": h, "__id": ids[d], "s": s.astype(np.int32), "w": w.astype(np.int32)}
 
     cand = _map(keyed, places, "h long, __id long, s int, w int").join(repeated, "h", "left_semi")
-    cand = _hold(cand.groupBy("__id").agg(F.collect_set(F.struct("h", "s", "w")).alias("c")), "sa-places")
+    cand = C.hold(cand.groupBy("__id").agg(F.collect_set(F.struct("h", "s", "w")).alias("c")), "sa-places")
 
     def cut(b, r0, r1, ids, data, offs):
         c = b.column(b.schema.get_field_index("c")).slice(r0, r1 - r0)
@@ -149,16 +140,17 @@ def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return {"h": h, "frag": frag, "doc": doc[d], "__id": ids[d], "s": s, "w": w}
 
     occ = _map(keyed.join(cand, "__id"), cut, "h long, frag binary, doc long, __id long, s int, w int")
-    occ = _hold(occ.withColumns({"f1": F.xxhash64("frag"), "f2": F.xxhash64("frag", F.lit(7))}), "sa-occ")
+    occ = C.hold(occ.withColumns({"f1": F.xxhash64("frag"), "f2": F.xxhash64("frag", F.lit(7))}), "sa-occ")
+    C.release(cand, repeated)
     frags = occ.groupBy("h", "f1", "f2").agg(
         F.min(F.struct("doc", "s")).alias("first"), F.max("frag").alias("frag"), F.count(F.lit(1)).alias("n")
     )
-    frags = _hold(frags, "sa-frags")
-    groups = _hold(frags.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m >= 2"), "sa-groups")
+    frags = C.hold(frags, "sa-frags")
+    groups = C.hold(frags.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m >= 2"), "sa-groups")
     multi = frags.join(groups, "h").withColumn("salt", F.pmod(F.col("f1"), F.ceil(F.col("m") / BLOCK_ROWS)).cast("int"))
     multi = multi.select("h", "salt", "f1", "f2", "frag", F.col("first.doc").alias("doc"), F.col("first.s").alias("s"), (F.col("m") > BLOCK_ROWS).alias("hot"))
     arrays = multi.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_blocks(size), _BLOCK_DDL)
-    arrays = _hold(arrays, "sa-blocks")
+    arrays = C.hold(arrays, "sa-blocks")
     # windows of hot anchors that are first in their block
     across = arrays.where("hot").select("h", "f1", "f2", "doc", "s", F.explode("left").alias("x")).select("h", "f1", "f2", "doc", (F.col("s") + F.col("x.j")).alias("p"), "x.*")
     least = across.groupBy("h", "d1", "d2").agg(F.min(F.struct("doc", "p")).alias("least"))
@@ -166,13 +158,14 @@ def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     late = late.groupBy("h", "f1", "f2").agg(F.collect_list(F.struct(F.col("j").alias("lo"), (F.col("j") + size).cast("int").alias("hi"))).alias("more"))
     inner = arrays.join(late, ["h", "f1", "f2"], "left").select("h", "f1", "f2", F.concat("dup", F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("dup"))
     known = frags.select("h", "f1", "f2", "first", "n").join(inner, ["h", "f1", "f2"], "left").where("n >= 2 or size(dup) > 0")
-    known = _hold(known, "sa-known")
+    known = C.hold(known, "sa-known")
+    C.release(frags, groups, arrays)
     gone = occ.select("h", "f1", "f2", "doc", "__id", "s", "w").join(known, ["h", "f1", "f2"])
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("w") + size - 1).cast("int").alias("hi")))
     own = F.struct("doc", "s") == F.col("first")
     ranges = F.when(own, F.coalesce("dup", F.array().cast("array<struct<lo:int,hi:int>>"))).otherwise(whole)
     gone = gone.select("__id", F.explode(ranges).alias("x"), "s").select("__id", (F.col("s") + F.col("x.lo")).alias("lo"), (F.col("s") + F.col("x.hi")).alias("hi"))
-    return _hold(gone.groupBy("__id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "sa-spans")
+    return C.hold(gone.groupBy("__id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "sa-spans")
 
 
 _BLOCK_DDL = "h long, f1 long, f2 long, doc long, s int, hot boolean, dup array<struct<lo:int,hi:int>>, left array<struct<j:int,d1:long,d2:long>>"

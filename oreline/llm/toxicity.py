@@ -142,16 +142,6 @@ def edits_for(term: str) -> int:
 
 
 # ---------------------------------------------------------------- features
-def _trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words without the punctuation around them; a word of punctuation only becomes empty."""
-    n = len(data)
-    good = ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128)
-    where = np.arange(n)
-    before = np.maximum.accumulate(np.where(good, where, -1)) if n else where
-    after = np.minimum.accumulate(np.where(good, where, n)[::-1])[::-1] if n else where
-    return np.minimum(after[starts], ends), np.maximum(before[ends - 1] + 1, np.minimum(after[starts], ends))
-
-
 def features(auto: Automaton, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Per document: plain exact, plain misspelled, quoted exact, quoted misspelled hits and hits
     near a second person, as log1p; whether there is any plain exact, any plain misspelled hit."""
@@ -159,7 +149,7 @@ def features(auto: Automaton, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out = np.zeros((n, N_FEATURES))
     starts, ends, first = C.words(data, offs)
     if len(starts):
-        s, e = _trim(data, starts, ends)
+        s, e = C.trim(data, starts, ends)
         kind = auto.run(data, s, e)
         hit = np.flatnonzero(kind)
         doc = np.searchsorted(first, hit, "right") - 1
@@ -209,7 +199,7 @@ def _term_rows(batches):
             some = np.diff(at) > 0
             least[some] = vals[at[:-1][some]]
             starts, ends, first = C.words(data, offs)
-            s, e = _trim(data, starts, ends) if len(starts) else (starts, ends)
+            s, e = C.trim(data, starts, ends) if len(starts) else (starts, ends)
             raw = data.tobytes()
             for i in range(len(offs) - 1):
                 found = {raw[a:b2].decode("utf-8", "ignore").lower() for a, b2 in zip(s[first[i] : first[i + 1]].tolist(), e[first[i] : first[i + 1]].tolist(), strict=True)}
