@@ -29,6 +29,38 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oreline.llm import media
+
+    stored = media.store(table(spark, sf_dir, "documents"))
+    known = media.catalogue(stored)
+    # every document as a page that refers to its payload; the caption carries its length
+    page = F.concat(F.lit('<figure><img src="sha256:'), "digest", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit("</figcaption></figure>"))
+    pages = stored.select("__id", page.alias("html"))
+    got = media.resolve(media.parse(pages, "__id", "html"), known)
+    return got.select(
+        C.back("id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256",
+        "tail_crc32", "media_bytes", "media_sha256", "feature",
+    )
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oreline.llm import url_filter
+
+    rules = url_filter.parse_rules(["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"])
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oreline.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), exclude_fold=2, folds=4)
+    return quality.score(docs, model, threshold=0.7).select(
+        C.back().alias("doc_id"), (fold("__id", 4) == 2).alias("held_out"), "score", "predicted"
+    )
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oreline.llm import suffix_dedup
 
