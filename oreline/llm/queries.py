@@ -51,6 +51,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every licence-like paragraph of ``documents``."""
+    from oreline.llm import licenses
+
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(licenses.sample_lines(docs)))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oreline.llm import quality
 
