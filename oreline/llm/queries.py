@@ -69,6 +69,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from oreline.llm import language_model
+
+    got = language_model.score(table(spark, sf_dir, "documents"), (F.col("__id") != C.NULL_ID) & (fold("__id", 5) != 1))
+    return got.select(
+        C.back().alias("doc_id"), (fold("__id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oreline.llm import suffix_dedup
 
