@@ -72,7 +72,9 @@ def envelope(body: Column, field: str, item: str) -> Column:
     """Items of a service's answer, which holds one object or a list of them; empty for a fault."""
     inner = F.get_json_object(body, f"$.content.{field}")
     many = F.from_json(inner, f"array<struct<{item}>>")
-    return F.coalesce(F.when(F.startswith(F.trim(inner), F.lit("[")), many).otherwise(F.array(F.from_json(inner, T._parse_datatype_string(f"struct<{item}>")))), many, F.array().cast(f"array<struct<{item}>>"))
+    none = F.array().cast(f"array<struct<{item}>>")
+    single = F.array(F.from_json(inner, T._parse_datatype_string(f"struct<{item}>")))
+    return F.when(inner.isNull(), none).when(F.startswith(F.trim(inner), F.lit("[")), F.coalesce(many, none)).otherwise(single)
 
 
 def scrub(df: DataFrame) -> DataFrame:
