@@ -9,7 +9,6 @@ null again in its result.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +27,9 @@ _INV = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
 # ---------------------------------------------------------------- intermediate tables
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where none is set (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,7 +44,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     lost executors and lets adaptive execution split skewed joins on plain scans."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/oreline-{tag}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # its shuffle files go as soon as it is written
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,22 +63,6 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def hold(df: DataFrame, tag: str) -> DataFrame:
-    """:func:`materialize`; before and after it, shuffle files of earlier steps are let go."""
-    spark = df.sparkSession
-    collect(spark)
-    out = materialize(df, tag)
-    del df
-    collect(spark)
-    return out
-
-
-def collect(spark: SparkSession) -> None:
-    """Shuffle files stay until the driver notices that nothing refers to them."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def release(*tables: DataFrame) -> None:
     """Delete intermediate tables that only written results depended on."""
     for t in tables:

@@ -15,16 +15,16 @@ def components(edges: DataFrame) -> DataFrame:
     all neighbours at most the node to it, until the edges are stars. Edges are written after
     each pair of steps, so lost executors cost one round at most. A node with very many neighbours
     only ever takes part in hash aggregation and in a join that adaptive execution can split."""
-    e = C.hold(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    e = C.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         # every neighbour above the node goes to the node's least neighbour
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = C.hold(large, "cc-large")
+        large = C.materialize(large, "cc-large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        nxt = C.hold(small.where("a <> b").distinct(), "cc-edges")
+        nxt = C.materialize(small.where("a <> b").distinct(), "cc-edges")
         if _mark(nxt) == _mark(e):
             break
         e = nxt

@@ -148,7 +148,7 @@ def store(docs: DataFrame) -> DataFrame:
         media = [encode(pad(raw[a:z])) for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
         return {"__id": ids, "n_bytes": np.diff(offs), "digest": [hashlib.sha256(m).hexdigest() for m in media], "media": media}
 
-    return C.hold(C.map_chunks(docs, run, "__id long, n_bytes long, digest string, media binary"), "media-store")
+    return C.materialize(C.map_chunks(docs, run, "__id long, n_bytes long, digest string, media binary"), "media-store")
 
 
 def catalogue(stored: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def catalogue(stored: DataFrame) -> DataFrame:
 
     names = ddl.names[1:]
     got = stored.select("digest", "media").mapInArrow(run, ddl)
-    return C.hold(got.groupBy("digest").agg(*[F.first(n).alias(n) for n in names]), "media-catalogue")
+    return C.materialize(got.groupBy("digest").agg(*[F.first(n).alias(n) for n in names]), "media-catalogue")
 
 
 def resolve(sequences: DataFrame, known: DataFrame, prefix: str = "sha256:") -> DataFrame:

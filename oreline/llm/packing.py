@@ -264,7 +264,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
 # ---------------------------------------------------------------- operator
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Each piece with ``sequence_id`` and ``offset``: ``__id``, row, piece, start, length, ids_crc32, …"""
-    cut = C.hold(pieces(docs, path, capacity), "pack-pieces")
+    cut = C.materialize(pieces(docs, path, capacity), "pack-pieces")
     counts = {int(r["length"]): r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= capacity rows
     classes = plan(counts, capacity)
     rows = []

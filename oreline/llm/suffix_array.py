@@ -76,18 +76,29 @@ def _differs(text: np.ndarray, order: np.ndarray, length: np.ndarray) -> np.ndar
 
 def _place(sa: np.ndarray, at: np.ndarray, targets: np.ndarray, values: np.ndarray, step: int) -> None:
     """Put ``values`` into their buckets one after another from ``at`` on, which moves by ``step``."""
-    if len(values) == 1:
-        t = targets[0]
-        sa[at[t]] = values[0]
-        at[t] += step
+    n = len(values)
+    if n <= 6:
+        for t, v in zip(targets.tolist(), values.tolist(), strict=True):
+            i = at[t]
+            sa[i] = v
+            at[t] = i + step
         return
-    order = np.argsort(targets, kind="stable")
-    t, v = targets[order], values[order]
-    head = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-    count = np.diff(np.append(head, len(t)))
-    rank = np.arange(len(t)) - np.repeat(head, count)
-    sa[at[t] + step * rank] = v
-    at[t[head]] += step * count.astype(at.dtype)
+    order = targets.argsort(kind="stable")
+    t = targets[order]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(t[1:], t[:-1], out=new[1:])
+    head = new.nonzero()[0]
+    slots = at[t[head]]
+    if len(head) == n:
+        sa[slots] = values[order]
+        at[t] = slots + step
+        return
+    count = np.empty(len(head), np.int64)
+    np.subtract(head[1:], head[:-1], out=count[:-1])
+    count[-1] = n - head[-1]
+    sa[np.repeat(slots - step * head, count) + step * np.arange(n)] = values[order]
+    at[t[head]] = slots + step * count
 
 
 def _induce(text: np.ndarray, size: int, small: np.ndarray, lms: np.ndarray) -> np.ndarray:

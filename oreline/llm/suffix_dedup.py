@@ -32,7 +32,7 @@ from oreline.llm.suffix_array import common_prefixes, suffix_array
 
 SIZE = 100
 GRAM = 40
-BLOCK_BYTES = 3_000_000  #: text in one suffix array
+BLOCK_BYTES = 5_000_000  #: text in one suffix array, about
 BLOCK_ROWS = 16_000  #: different fragments of one anchor in one block
 PIECE = 1 << 19
 _TOP = ~np.uint64(0x3FFFFF)
@@ -119,14 +119,14 @@ def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return {"h": h, "n": n}
 
     repeated = _map(keyed, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h")
-    repeated = C.hold(repeated, "sa-anchors")
+    repeated = C.materialize(repeated, "sa-anchors")
 
     def places(b, r0, r1, ids, data, offs):
         d, h, s, w = runs(data, offs, size)
         return {"h": h, "__id": ids[d], "s": s.astype(np.int32), "w": w.astype(np.int32)}
 
     cand = _map(keyed, places, "h long, __id long, s int, w int").join(repeated, "h", "left_semi")
-    cand = C.hold(cand.groupBy("__id").agg(F.collect_set(F.struct("h", "s", "w")).alias("c")), "sa-places")
+    cand = C.materialize(cand.groupBy("__id").agg(F.collect_set(F.struct("h", "s", "w")).alias("c")), "sa-places")
 
     def cut(b, r0, r1, ids, data, offs):
         c = b.column(b.schema.get_field_index("c")).slice(r0, r1 - r0)
@@ -140,17 +140,17 @@ def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return {"h": h, "frag": frag, "doc": doc[d], "__id": ids[d], "s": s, "w": w}
 
     occ = _map(keyed.join(cand, "__id"), cut, "h long, frag binary, doc long, __id long, s int, w int")
-    occ = C.hold(occ.withColumns({"f1": F.xxhash64("frag"), "f2": F.xxhash64("frag", F.lit(7))}), "sa-occ")
+    occ = C.materialize(occ.withColumns({"f1": F.xxhash64("frag"), "f2": F.xxhash64("frag", F.lit(7))}), "sa-occ")
     C.release(cand, repeated)
     frags = occ.groupBy("h", "f1", "f2").agg(
         F.min(F.struct("doc", "s")).alias("first"), F.max("frag").alias("frag"), F.count(F.lit(1)).alias("n")
     )
-    frags = C.hold(frags, "sa-frags")
-    groups = C.hold(frags.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m >= 2"), "sa-groups")
+    frags = C.materialize(frags, "sa-frags")
+    groups = C.materialize(frags.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m >= 2"), "sa-groups")
     multi = frags.join(groups, "h").withColumn("salt", F.pmod(F.col("f1"), F.ceil(F.col("m") / BLOCK_ROWS)).cast("int"))
     multi = multi.select("h", "salt", "f1", "f2", "frag", F.col("first.doc").alias("doc"), F.col("first.s").alias("s"), (F.col("m") > BLOCK_ROWS).alias("hot"))
     arrays = multi.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_blocks(size), _BLOCK_DDL)
-    arrays = C.hold(arrays, "sa-blocks")
+    arrays = C.materialize(arrays, "sa-blocks")
     # windows of hot anchors that are first in their block
     across = arrays.where("hot").select("h", "f1", "f2", "doc", "s", F.explode("left").alias("x")).select("h", "f1", "f2", "doc", (F.col("s") + F.col("x.j")).alias("p"), "x.*")
     least = across.groupBy("h", "d1", "d2").agg(F.min(F.struct("doc", "p")).alias("least"))
@@ -158,14 +158,14 @@ def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     late = late.groupBy("h", "f1", "f2").agg(F.collect_list(F.struct(F.col("j").alias("lo"), (F.col("j") + size).cast("int").alias("hi"))).alias("more"))
     inner = arrays.join(late, ["h", "f1", "f2"], "left").select("h", "f1", "f2", F.concat("dup", F.coalesce("more", F.array().cast("array<struct<lo:int,hi:int>>"))).alias("dup"))
     known = frags.select("h", "f1", "f2", "first", "n").join(inner, ["h", "f1", "f2"], "left").where("n >= 2 or size(dup) > 0")
-    known = C.hold(known, "sa-known")
+    known = C.materialize(known, "sa-known")
     C.release(frags, groups, arrays)
     gone = occ.select("h", "f1", "f2", "doc", "__id", "s", "w").join(known, ["h", "f1", "f2"])
     whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("w") + size - 1).cast("int").alias("hi")))
     own = F.struct("doc", "s") == F.col("first")
     ranges = F.when(own, F.coalesce("dup", F.array().cast("array<struct<lo:int,hi:int>>"))).otherwise(whole)
     gone = gone.select("__id", F.explode(ranges).alias("x"), "s").select("__id", (F.col("s") + F.col("x.lo")).alias("lo"), (F.col("s") + F.col("x.hi")).alias("hi"))
-    return C.hold(gone.groupBy("__id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "sa-spans")
+    return C.materialize(gone.groupBy("__id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "sa-spans")
 
 
 _BLOCK_DDL = "h long, f1 long, f2 long, doc long, s int, hot boolean, dup array<struct<lo:int,hi:int>>, left array<struct<j:int,d1:long,d2:long>>"
@@ -174,73 +174,99 @@ _BLOCK_DDL = "h long, f1 long, f2 long, doc long, s int, hot boolean, dup array<
 def _blocks(size: int):
     """Suffix arrays over blocks of fragments; rows arrive ordered by anchor and block."""
     schema = C._arrow_schema(T._parse_datatype_string(_BLOCK_DDL))
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        dup, first = repeated_windows([r[4] for r in rows], [(r[5], r[6]) for r in rows], size)
-        left = []
-        for r, f in zip(rows, first, strict=True):
-            if r[7]:
-                digests = [hashlib.blake2b(r[4][j : j + size], digest_size=16).digest() for j in f]
-                left.append([{"j": j, "d1": int.from_bytes(x[:8], "little", signed=True), "d2": int.from_bytes(x[8:], "little", signed=True)} for j, x in zip(f, digests, strict=True)])
-            else:
-                left.append([])
-        cols = list(zip(*rows, strict=True))
-        arrays = [cols[0], cols[2], cols[3], cols[5], cols[6], cols[7], [[{"lo": a, "hi": z} for a, z in x] for x in dup], left]
-        return pa.RecordBatch.from_arrays([pa.array(list(a), f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+    pair, window = schema.field("dup").type, schema.field("left").type
+
+    def emit(b: pa.RecordBatch) -> pa.RecordBatch:
+        col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        frag = col["frag"]
+        offs = np.frombuffer(frag.buffers()[1], np.int32)[frag.offset : frag.offset + len(frag) + 1]
+        data = np.frombuffer(frag.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+        offs = offs.astype(np.int64) - offs[0]
+        at, lo, hi, late = repeated_windows(data, offs, col["doc"].to_numpy(), col["s"].to_numpy(), size)
+        dup = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], fields=list(pair.value_type)), type=pair)
+        left: list[list] = [[] for _ in range(len(frag))]
+        for i in np.flatnonzero(col["hot"].to_numpy(zero_copy_only=False)).tolist():
+            text = data[offs[i] : offs[i + 1]].tobytes()
+            for j in np.flatnonzero(~late[offs[i] : offs[i + 1] - size + 1]).tolist():
+                x = hashlib.blake2b(text[j : j + size], digest_size=16).digest()
+                left[i].append({"j": j, "d1": int.from_bytes(x[:8], "little", signed=True), "d2": int.from_bytes(x[8:], "little", signed=True)})
+        arrays = [col["h"], col["f1"], col["f2"], col["doc"], col["s"], col["hot"], dup, pa.array(left, window)]
+        return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+    def cut(rows: list[pa.RecordBatch], over: bool):
+        """Blocks of whole groups, and the rows that are not yet a block."""
+        b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        h, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
+        size_of = np.cumsum(pa.compute.binary_length(b.column(b.schema.get_field_index("frag"))).to_numpy())
+        ends = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1  # groups known to be over
+        ends = np.append(ends, len(h)) if over else ends
+        at, blocks = 0, []
+        while at < len(h):
+            want = (size_of[at - 1] if at else 0) + BLOCK_BYTES
+            i = np.searchsorted(ends, max(at + 1, np.searchsorted(size_of, want) + 1))
+            if i == len(ends):
+                if not over:
+                    break
+                i -= 1
+            blocks.append(b.slice(at, int(ends[i]) - at))
+            at = int(ends[i])
+        return blocks, [b.slice(at)] if at < len(h) else []
 
     def run(batches):
-        rows: list[tuple] = []
+        import pyarrow.compute  # noqa: F401
+
+        rows: list[pa.RecordBatch] = []
         held = 0
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                new_group = rows and r[:2] != rows[-1][:2]
-                if new_group and held >= BLOCK_BYTES:
-                    yield emit(rows)
-                    rows, held = [], 0
-                rows.append(r)
-                held += len(r[4])
+            if b.num_rows:
+                rows.append(b)
+                held += b.nbytes
+            if held >= 2 * BLOCK_BYTES:
+                blocks, rows = cut(rows, False)
+                yield from map(emit, blocks)
+                held = sum(r.nbytes for r in rows)
         if rows:
-            yield emit(rows)
+            yield from map(emit, cut(rows, True)[0])
 
     return run
 
 
-def repeated_windows(frags: list[bytes], firsts: list[tuple[int, int]], size: int) -> tuple[list, list]:
-    """For fragments whose first occurrences start at ``firsts``: the ranges of their windows that
-    start earlier elsewhere, and the offsets of the windows that do not."""
-    lens = np.array([len(f) for f in frags])
-    starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-    base = len(frags)
-    text = np.empty(int(lens.sum()) + len(frags), np.int32)
+def repeated_windows(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, start: np.ndarray, size: int):
+    """For fragments (bytes and offsets) whose first occurrences are at (doc, start): the ranges covered by windows that
+    start earlier elsewhere, as (offsets by fragment, lo, hi); and a flag for every byte at which such a window starts."""
+    base = len(offs) - 1
+    lens = np.diff(offs)
+    starts = offs[:-1] + np.arange(base)
+    text = np.empty(len(data) + base, np.int32)
     inside = np.ones(len(text), bool)
-    ends = starts + lens
-    inside[ends] = False
-    text[ends] = np.arange(base)
-    text[inside] = np.frombuffer(b"".join(frags), np.uint8).astype(np.int32) + base
+    inside[starts + lens] = False
+    text[~inside] = np.arange(base)  # separators differ, so nothing shared runs over an end
+    text[inside] = data
+    text[inside] += base
     sa = suffix_array(text, base + 256)
     shared = common_prefixes(text, sa)
-    owner = np.repeat(np.arange(base), lens + 1)
-    off = np.arange(len(text)) - starts[owner]
+    owner = np.repeat(np.arange(base, dtype=np.int32), lens + 1)
+    off = np.arange(len(text), dtype=np.int32) - starts[owner].astype(np.int32)
     window = off + size <= lens[owner]
     ranked = sa[window[sa]]
-    # all suffixes between two of a class are of the class, as separators differ
-    klass = np.cumsum(shared[ranked] < size) - 1
-    klass -= klass[0]
-    doc, pos = np.array([d for d, _ in firsts], np.int64), np.array([s for _, s in firsts], np.int64)
-    d, p = doc[owner[ranked]], pos[owner[ranked]] + off[ranked]
-    order = np.lexsort((p, d, klass))
-    k, d, p, r = klass[order], d[order], p[order], ranked[order]
-    head = np.append(True, k[1:] != k[:-1])
-    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    klass = np.cumsum(shared[ranked] < size)
+    # the least occurrence of each class: fragments by (doc, start), then the offset
+    order = np.lexsort((start, doc))
+    place = np.empty(base, np.int64)
+    new = np.ones(base, bool)
+    new[1:] = doc[order][1:] != doc[order][:-1]
+    place[order] = np.cumsum(new)  # documents, densely numbered
+    key = place[owner[ranked]] * (np.int64(1) << 34) + start[owner[ranked]] + off[ranked]
     late = np.zeros(len(text), bool)
-    late[r] = (d != d[lead]) | (p != p[lead])
-    dup, first = [], []
-    for i in range(base):
-        flags = late[starts[i] : starts[i] + lens[i] - size + 1]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-        dup.append([(int(a), int(z) + size - 1) for a, z in zip(edge[::2], edge[1::2], strict=True)])
-        first.append(np.flatnonzero(~flags).tolist())
-    return dup, first
+    if len(ranked):
+        head = np.flatnonzero(np.append(True, klass[1:] != klass[:-1]))
+        least = np.minimum.reduceat(key, head)
+        late[ranked] = key != np.repeat(least, np.diff(np.append(head, len(key))))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], late, [False]]).view(np.int8)))
+    lo, hi = edge[::2], edge[1::2]
+    frag = owner[lo] if len(lo) else np.zeros(0, np.int32)
+    at = np.searchsorted(frag, np.arange(base + 1))
+    return at, lo - starts[frag], hi - 1 + size - starts[frag], late[inside]
 
 
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
