@@ -27,7 +27,8 @@ from oreline.llm import common as C
 
 MAX_TERMS = 96  #: size of the lexicon
 SAMPLE_DOCS = 12_000  #: labelled documents read for training, at most about this many
-STEM_LENGTHS = (4, 5, 6)  #: prefixes tried as stems, in characters
+STEM_LENGTHS = (4, 5, 6, 7, 8)  #: prefixes tried as stems, in characters
+PURITY = 20  #: documents with a term that are toxic, for one that is not, at least
 WINDOW = 60  #: bytes of context on either side of a hit
 REPORTING = ("said", "says", "wrote", "quoted", "called")
 SECOND_PERSON = ("you", "your", "du", "dein", "tu", "vous", "eres")
@@ -123,7 +124,7 @@ def build(terms: dict[str, tuple[int, bool]]) -> Automaton:
                         cost = e + (b != sym)
                         if cost <= limit[child] and items.get(child, 99) > cost:
                             items[child] = cost
-                    if e + 1 <= limit[n] and n and items.get(n, 99) > e + 1:  # a byte too many
+                    if e + 1 <= limit[n] and items.get(n, 99) > e + 1:  # a byte too many
                         items[n] = e + 1
                 nxt = close(items) if items else ()
             if nxt and nxt not in number:
@@ -226,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, exclude_fold: int = 1, folds: int =
     n_bad = rows.where("y = 1").count()
     need = max(4, int(0.01 * n_bad))
     stats = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    stats = stats.where((F.col("bad") >= need) & (F.col("good") * 25 < F.col("bad")))
+    stats = stats.where((F.col("bad") >= need) & (F.col("good") * PURITY < F.col("bad")))
     got = [(r["term"], r["bad"]) for r in stats.orderBy(F.desc("bad"), "term").limit(4 * MAX_TERMS).collect()]
     terms = choose(got)
     auto = build({t: (k, s) for t, (k, s) in terms.items()})
