@@ -350,10 +350,9 @@ def _chunked(df: DataFrame, fn, schema: str) -> DataFrame:
 def _trained(training: DataFrame, net: Network, v: Vocabulary, held) -> Network:
     """Warm start on the driver, then one pass of the shards from there, averaged by their tokens."""
     share = training.where(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(SHARE)) == 0)
-    per_doc = max(1.0, v.total / max(1, training.count()))
-    n = share.count()
-    want = max(1, int(WARM_TOKENS / per_doc))
-    warm = share.where(F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, want / max(1, n))))
+    n = training.count()
+    want = max(1, int(WARM_TOKENS / max(1.0, v.total / max(1, n))))
+    warm = training.where(F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, want / max(1, n))))
 
     def encode(data, offs, v):
         h, e, at = tokens(data, offs)
@@ -378,11 +377,11 @@ def _trained(training: DataFrame, net: Network, v: Vocabulary, held) -> Network:
                 size += len(data)
                 if size > 4 * C.CHUNK:
                     own = own or pickle.loads(pickle.dumps(start.value))
-                    used += train(own, held_docs, rate=RATE / 4)
+                    used += train(own, held_docs, rate=RATE / 10)
                     held_docs, size = [], 0
         if held_docs:
             own = own or pickle.loads(pickle.dumps(start.value))
-            used += train(own, held_docs, rate=RATE / 4)
+            used += train(own, held_docs, rate=RATE / 10)
         if own is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({k: a * np.float64(used) for k, a in own.p.items()})], pa.binary()), pa.array([used])], ["p", "n"])
 
