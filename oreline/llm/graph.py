@@ -25,8 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         nxt = C.materialize(small.where("a <> b").distinct(), "cc-edges")
+        C.release(large)
         if _mark(nxt) == _mark(e):
+            C.release(nxt)
             break
+        C.release(e)
         e = nxt
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 

@@ -5,13 +5,14 @@ incidence matrix are ordered by one global order of the n-grams: by hash, but n-
 frequent come last. Two sets that link share one of the first ``n - ceil(3n/4) + 1`` n-grams of
 each, so only that part of the matrix is multiplied, in blocks of n-gram columns. In a column
 
-* round 1 pairs the smallest class with the others: enough to join up groups of near copies;
-* round 2 takes the columns in which more than one component is left, and pairs all their
-  classes of different components, block by block, so no link is lost and no copies are paired.
+* star rounds pair each class with few leaders, classes of another component it shares most columns with: enough to
+  join up groups of near copies, with no more pairs than a few for each class;
+* then, in columns with more than one component left, all their classes of different components are multiplied, tile by
+  tile. The products of all tiles are summed, and pairs that share fewer columns than two linked sets of their sizes
+  must are discarded, so no link is lost and no copies are paired.
 
-Both discard pairs by size (no more than 4/3 apart), by position in the order, and, in round 2, by the
-overlap that histograms of both sets allow. For remaining pairs the sparse product over whole sets
-counts the exact overlap. Hashes of 64 bits stand for n-grams.
+Pairs more than 4/3 apart in size are discarded everywhere, in star rounds also by position in the order. For remaining pairs
+the exact overlap of whole sets is counted. Hashes of 64 bits stand for n-grams.
 
 Defined results: a null or empty text, or one without words, has an empty set and no links; a text of
 fewer words than ``k`` is one n-gram; equal rows get equal results, each its own row; a null doc_id
@@ -30,9 +31,10 @@ from pyspark.sql import types as T
 from oreline.llm import common as C
 from oreline.llm.graph import components as connected
 
-FREQUENT = 100_000  #: n-grams moved to the end of the order, at most
-FREQUENT_FROM = 50  #: documents that a frequent n-gram is in, at least
-HIST = 128  #: cells of a set's histogram
+FREQUENT = 500_000  #: n-grams moved to the end of the order, at most
+FREQUENT_FROM = 12  #: documents that a frequent n-gram is in, at least
+RUN = 5_000_000  #: n-grams counted at a time when frequent ones are looked for
+LEADERS = 4  #: leaders a class is compared with in a later star round
 PAIR_BLOCK = 1024  #: classes compared with as many others at a time in round 2
 
 
@@ -71,16 +73,31 @@ def prefixes(vals: np.ndarray, at: np.ndarray, hot: np.ndarray):
 
 
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """N-grams that stand out in the chunks of all documents (lossy counting); their number is bounded.
-    They only shape the order, which any choice keeps correct."""
+    """N-grams that are in many documents, by lossy counting: all n-grams of all documents are counted, in runs of ``RUN``
+    values, and those seen once in a run are let go. Their number is bounded; they only shape the order, which any choice
+    keeps correct."""
+    ddl = T._parse_datatype_string("h long, n long")
 
-    def run(ids, data, offs):
-        vals, at, cls = class_sets(data, offs, k)
-        keep = np.repeat(_first_of_class(cls, at), np.diff(at))
-        h, n = np.unique(vals[keep], return_counts=True)
-        return {"h": h[n > 1].view(np.int64), "n": n[n > 1]}
+    def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
 
-    top = C.map_chunks(docs, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+        def flush():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
+        for b in batches:
+            for _, _, _, data, offs in C.chunks(b):
+                vals, at, cls = class_sets(data, offs, k)
+                held.append(vals[np.repeat(_first_of_class(cls, at), np.diff(at))])
+                size += len(held[-1])
+                if size > RUN:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    top = C.doc_bytes(docs).mapInArrow(run, ddl).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     got = top.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(got.view(np.uint64))
 
@@ -95,8 +112,9 @@ def classes(docs: DataFrame, k: int = 5) -> DataFrame:
     return C.map_chunks(docs, run, "__id long, n long, cls long")
 
 
-def links(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Links (a, b) between classes, from which all links of ``docs`` follow in the transitive sense."""
+def links(docs: DataFrame, own: DataFrame, k: int = 5) -> DataFrame:
+    """Links (a, b) between classes, from which all links of ``docs`` follow in the transitive sense. ``own``: the written
+    result of :func:`classes`."""
     spark = docs.sparkSession
     parts = C.partitions(spark)
     hot = _frequent(docs, k)
@@ -111,36 +129,54 @@ def links(docs: DataFrame, k: int = 5) -> DataFrame:
 
     every = C.map_chunks(docs, entries, "h long, cls long, n int, p int")
     shared = every.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("h")
-    shared = C.hold(shared, "jj-columns")
+    shared = C.materialize(shared, "jj-columns")
     block = every.join(shared, "h", "left_semi").groupBy("h", "cls").agg(F.min("n").alias("n"), F.min("p").alias("p"))
-    block = C.hold(block, "jj-block")
-
-    # round 1: the least class of a column with each other
-    lead = block.groupBy("h").agg(F.min(F.struct("n", "cls", "p")).alias("l"))
-    stars = block.join(C.hold(lead, "jj-lead"), "h").where(F.col("cls") != F.col("l.cls"))
-    stars = stars.select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"), F.col("l.p").alias("pa"), F.col("p").alias("pb"))
-    stars = C.hold(stars.where(_possible()).select("a", "b").distinct(), "jj-pairs1")
-    members = block.select("cls").distinct()
-    sets = C.hold(_fetch(docs, members, k), "jj-sets")
-    found1 = C.hold(_verify(stars, sets), "jj-links1")
-
-    # round 2: columns with more than one component left
-    roots = C.hold(connected(found1), "jj-roots")
-    marked = block.join(roots, block["cls"] == roots["node"], "left").select("h", "cls", "n", "p", F.coalesce("root", "cls").alias("root"))
-    open_columns = marked.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi and m > 2").select("h", "m")
-    open_columns = C.hold(open_columns, "jj-open")
-    rest = marked.join(open_columns, "h").join(sets.select("cls", "hist"), "cls")
-    rest = C.hold(rest.select("h", "cls", "n", "p", "root", "hist", "m"), "jj-rest")
+    block = C.materialize(block, "jj-block")
+
+    # star rounds: in each column with several components one class leads; a class is compared with the leaders it shares
+    # most columns with, so a round compares no more pairs than a few for each class
+    found = tried = None
+    rest = block.withColumn("root", F.col("cls"))
+    for most, lead in ((1, F.struct("n", "cls")), (LEADERS, F.struct(F.xxhash64("cls", "h"), "cls")), (LEADERS, F.struct(F.xxhash64("h", "cls"), "cls"))):
+        leaders = C.materialize(rest.groupBy("h").agg(F.min_by(F.struct("n", "cls", "p", "root"), lead).alias("l")), "jj-lead")
+        stars = rest.join(leaders, "h").where(F.col("root") != F.col("l.root"))
+        stars = stars.select(F.col("l.cls").alias("a"), F.col("cls").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"), F.col("l.p").alias("pa"), F.col("p").alias("pb")).where(_possible())
+        stars = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        best = stars.groupBy("b").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("c", "a", "na", "nb")))), 1, most).alias("s")) if most > 1 else stars.groupBy("b").agg(F.array(F.max(F.struct("c", "a", "na", "nb"))).alias("s"))
+        best = best.select("b", F.explode("s").alias("s")).select("b", F.col("s.a").alias("a"), F.col("s.na").alias("na"), F.col("s.nb").alias("nb"))
+        pairs = C.materialize(_plausible(best, block), "jj-stars")
+        links1 = _verify(docs, own, pairs, k)
+        found, tried = (links1, pairs) if found is None else (found.union(links1), tried.union(pairs))
+        C.release(leaders)
+        roots = C.materialize(connected(found), "jj-roots")
+        marked = block.join(roots, block["cls"] == roots["node"], "left").select("h", "cls", "n", "p", F.coalesce("root", "cls").alias("root"))
+        several = marked.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("h", "m")
+        before, rest = rest, C.materialize(marked.join(C.materialize(several, "jj-open"), "h"), "jj-rest")
+        C.release(roots)
+        if before.columns != [*block.columns, "root"]:
+            C.release(before)
+    C.release(block, shared)
+
+    # product: all pairs of different components in the columns that are left
     # a column of many classes is cut into tiles; a class goes to all tiles of its row and column
     tiles = F.ceil(F.col("m") / PAIR_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), tiles).cast("int")
+    tile = F.pmod(F.xxhash64("cls"), tiles).cast("int")
     other = F.explode(F.sequence(F.lit(0), tiles - 1)).alias("o")
-    tiled = rest.select("h", "cls", "n", "p", "root", "hist", own.alias("own"), other)
+    tiled = rest.select("h", "cls", "n", "root", tile.alias("own"), other)
     tiled = tiled.withColumns({"x": F.least("own", "o"), "y": F.greatest("own", "o")})
-    pairs = tiled.repartition(parts, "h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_tile_pairs, "a long, b long")
-    pairs = pairs.distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found2 = _verify(C.hold(pairs, "jj-pairs2"), sets)
-    return C.hold(found1.union(found2), "jj-links")
+    product = tiled.repartition(parts, "h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_tile_product, "a long, b long, na int, nb int, c long")
+    counts = product.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
+    pairs = counts.where(F.col("c") >= _least_shared()).select("a", "b")
+    pairs = C.materialize(pairs.join(tried.distinct(), ["a", "b"], "left_anti"), "jj-pairs")
+    C.release(rest)
+    return C.materialize(found.union(_verify(docs, own, pairs, k)), "jj-links")
+
+
+def _plausible(pairs: DataFrame, block: DataFrame) -> DataFrame:
+    """The pairs (a < b) that share as many columns of the block as links of their sizes must."""
+    x = pairs.join(block.select(F.col("cls").alias("a"), "h"), "a").join(block.select(F.col("cls").alias("b"), "h"), ["b", "h"])
+    counts = x.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= _least_shared())
+    return counts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _possible() -> F.Column:
@@ -149,32 +185,38 @@ def _possible() -> F.Column:
     return (F.least("na", "nb") >= need) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
 
 
-def _fetch(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """``cls``, ``vals`` (ascending hashes as bytes), ``hist`` of each class in ``members``."""
-    reps = classes(docs, k).groupBy("cls").agg(F.min("__id").alias("rep")).join(members, "cls", "left_semi")
-    reps = C.hold(reps.select(F.col("rep").alias("__rep")).distinct(), "jj-reps")
+def _least_shared() -> F.Column:
+    """Columns that two linked sets share within their prefixes, at least. An overlap of ``o`` leaves out ``n - o`` of a
+    set's n-grams, so of the prefix that ends first all but as many are shared, and lie in the other prefix too."""
+    o = F.ceil((F.col("na") + F.col("nb")) * 3 / 7)
+    prefix = lambda n: F.col(n) - F.ceil(F.col(n) * 3 / 4) + 1
+    return F.least(prefix("na") - F.col("na") + o, prefix("nb") - F.col("nb") + o)
+
+
+def _fetch(docs: DataFrame, own: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """``cls`` and ``vals`` (ascending hashes as bytes) of each class in ``members``."""
+    reps = own.groupBy("cls").agg(F.min("__id").alias("rep")).join(members, "cls", "left_semi")
+    reps = C.materialize(reps.select(F.col("rep").alias("__rep")).distinct(), "jj-reps")
     d = C.doc_bytes(docs).join(reps, F.col("__id") == F.col("__rep"), "left_semi")
-    ddl = T._parse_datatype_string("cls long, vals binary, hist binary")
+    ddl = T._parse_datatype_string("cls long, vals binary")
     schema = C._arrow_schema(ddl)
 
     def run(batches):
         for b in batches:
             for _, _, _, data, offs in C.chunks(b):
                 vals, at, cls = class_sets(data, offs, k)
-                doc = np.repeat(np.arange(len(cls)), np.diff(at))
-                cell = (vals >> np.uint64(40)).astype(np.int64) % HIST
-                hist = np.minimum(np.bincount(doc * HIST + cell, minlength=len(cls) * HIST), 65535).astype(np.uint16).tobytes()
                 raw = vals.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls), pa.array([raw[8 * a : 8 * z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()), pa.array([hist[2 * HIST * i : 2 * HIST * (i + 1)] for i in range(len(cls))], pa.binary())],
+                    [pa.array(cls), pa.array([raw[8 * a : 8 * z] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
                     schema=schema,
                 )
 
     return d.mapInArrow(run, ddl).dropDuplicates(["cls"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link; overlaps are counted for a batch of pairs at once."""
+def _verify(docs: DataFrame, own: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs (written) that link, by the overlap of their whole sets."""
+    sets = C.materialize(_fetch(docs, own, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), k), "jj-sets")
     left = sets.select(F.col("cls").alias("b"), F.col("vals").alias("vb"))
     right = sets.select(F.col("cls").alias("a"), F.col("vals").alias("va"))
     ddl = T._parse_datatype_string("a long, b long")
@@ -191,51 +233,76 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ok = 100 * inter >= 75 * total
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "va", "vb").mapInArrow(run, ddl)
-
-
-def _tile_pairs(batches):
-    """Pairs of one tile of a column that differ in component and pass all bounds."""
-
-    def emit(rows):
-        cls, n, p, root = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
-        x, y = rows[0][6], rows[0][7]
-        own = np.array([r[8] for r in rows])
-        hist = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), -1)
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        for i in left.tolist():
-            j = right if x != y else right[right > i]
-            most, least = np.maximum(n[i], n[j]), np.minimum(n[i], n[j])
-            need = -(-3 * most // 4)
-            j = j[(root[j] != root[i]) & (least >= need) & (np.minimum(n[i] - p[i], n[j] - p[j]) >= need)]
-            if len(j):
-                cap = np.minimum(hist[i], hist[j]).sum(axis=1, dtype=np.int64)
-                full = (hist[i].max() == 65535) | (hist[j].max(axis=1) == 65535)
-                j = j[full | (4 * cap * 7 >= 3 * 4 * (n[i] + n[j]))]  # o >= 3/7 (n1 + n2)
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
-
-    rows: list[tuple] = []
-    for b in batches:
-        cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("h", "cls", "n", "p", "root", "hist", "x", "y", "own")]
-        for r in zip(*cols, strict=True):
-            if rows and (r[0], r[6], r[7]) != (rows[-1][0], rows[-1][6], rows[-1][7]):
-                yield from emit(rows)
-                rows = []
-            rows.append(r)
-    if rows:
-        yield from emit(rows)
+    out = C.materialize(pairs.join(left, "b").join(right, "a").select("a", "b", "va", "vb").mapInArrow(run, ddl), "jj-links")
+    C.release(sets)
+    return out
+
+
+def _tile_product(batches):
+    """Product of tiles: pairs of classes that differ in component and may link by size, with the columns they share."""
+    held: list[tuple] = []
+    size = 0
+
+    def flush():
+        a, b, na, nb, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ C.mix(b.view(np.uint64))
+        _, at, inv = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(inv, c, len(at)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(na[at], pa.int32()), pa.array(nb[at], pa.int32()), pa.array(total)], ["a", "b", "na", "nb", "c"])
+
+    def pairs(cls, n, root, own, x, y):
+        if x == y:
+            i, j = np.triu_indices(len(cls), 1)
+        else:
+            left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+        most, least = np.maximum(n[i], n[j]), np.minimum(n[i], n[j])
+        ok = (root[i] != root[j]) & (4 * least.astype(np.int64) >= 3 * most)
+        i, j = i[ok], j[ok]
+        swap = cls[i] > cls[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return cls[i], cls[j], n[i], n[j], np.ones(len(i), np.int64)
+
+    rest: list[np.ndarray] | None = None
+    names = ("h", "x", "y", "cls", "n", "root", "own")
+    for b in _then_end(batches):
+        if b is not None:
+            cols = [b.column(b.schema.get_field_index(c)).to_numpy() for c in names]
+            rest = cols if rest is None else [np.concatenate(z) for z in zip(rest, cols, strict=True)]
+        if rest is None or not len(rest[0]):
+            continue
+        h, x, y = rest[:3]
+        edge = np.flatnonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        cuts = np.concatenate([[0], edge, [len(h)]] if b is None else [[0], edge])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                got = pairs(*(c[lo:hi] for c in rest[3:]), x[lo], y[lo])
+                if len(got[0]):
+                    held.append(got)
+                    size += len(got[0])
+            if size > 500_000:
+                yield flush()
+                held, size = [], 0
+        rest = [c[cuts[-1] :] for c in rest]
+    if held:
+        yield flush()
+
+
+def _then_end(batches):
+    """The batches, and None when they are over."""
+    yield from batches
+    yield None
 
 
 def components(docs: DataFrame, k: int = 5) -> DataFrame:
     """``__id``, n_shingles, component_id for every row of ``docs``."""
-    own = C.hold(classes(docs, k), "jj-classes")
-    roots = connected(links(docs, k))
+    own = C.materialize(classes(docs, k), "jj-classes")
+    roots = connected(links(docs, own, k))
     real = F.when(F.col("__id") != C.NULL_ID, F.col("__id"))
     reps = own.where("n > 0").groupBy("cls").agg(F.min(real).alias("rep"))
-    reps = C.hold(reps.join(roots, reps["cls"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "jj-reps")
+    reps = C.materialize(reps.join(roots, reps["cls"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "jj-reps")
     comp = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    table = C.hold(reps.join(comp, "root").select(F.col("cls").alias("__cls"), "component_id"), "jj-comp")
+    table = C.materialize(reps.join(comp, "root").select(F.col("cls").alias("__cls"), "component_id"), "jj-comp")
     got = own.join(table, own["cls"] == table["__cls"], "left")
     return got.select("__id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
 
@@ -246,5 +313,5 @@ def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
     comp = components(docs, k)
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
     gone = comp.where("n_shingles > 0").select("__id", F.coalesce("component_id", F.lit(C.NULL_ID)).alias("c")).where("__id <> c").select("__id").distinct()
-    left = keyed.join(C.hold(gone, "jj-gone"), "__id", "left_anti")
+    left = keyed.join(C.materialize(gone, "jj-gone"), "__id", "left_anti")
     return left.drop("__id")

@@ -165,7 +165,9 @@ def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     own = F.struct("doc", "s") == F.col("first")
     ranges = F.when(own, F.coalesce("dup", F.array().cast("array<struct<lo:int,hi:int>>"))).otherwise(whole)
     gone = gone.select("__id", F.explode(ranges).alias("x"), "s").select("__id", (F.col("s") + F.col("x.lo")).alias("lo"), (F.col("s") + F.col("x.hi")).alias("hi"))
-    return C.materialize(gone.groupBy("__id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "sa-spans")
+    found = C.materialize(gone.groupBy("__id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "sa-spans")
+    C.release(occ, known)
+    return found
 
 
 _BLOCK_DDL = "h long, f1 long, f2 long, doc long, s int, hot boolean, dup array<struct<lo:int,hi:int>>, left array<struct<j:int,d1:long,d2:long>>"
