@@ -4,7 +4,7 @@ Counts of all training tokens are a written table. The ``WORDS`` most frequent t
 words, in classes of about equal mass; all others form a last class in which a token has its smoothed share of
 the class's counts. The probability of a token is that of its class times that within the class, both given the
 state of a gated recurrent unit. The network is trained by truncated backpropagation in numpy: first on a
-bounded number of tokens on the driver, then on a fixed share of all training documents, each shard on its own,
+bounded number of tokens on the driver, then on all training documents, each shard of them on its own,
 and the shards' weights are averaged in a tree. Scoring carries the state across windows, so a document counts as a whole.
 
 Counts of the ``HOT`` most frequent tokens go to all executors; rarer tokens are joined to the written
@@ -18,6 +18,7 @@ those of a token out of one possible.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from dataclasses import dataclass
 
@@ -32,8 +33,9 @@ from oreline.llm import common as C
 WORDS, CLASSES, HIDDEN, ENDINGS = 1_536, 32, 24, 64
 HOT = 65_536  #: tokens whose counts are sent to all executors
 WARM_TOKENS = 250_000  #: tokens of the first training on the driver, about
-SHARE = 32  #: one in so many training documents trains the shards
 STREAMS, WINDOW, RATE = 64, 24, 0.01
+SHARD_STREAMS = 512  #: streams of a shard: more of them make a token cheaper
+SHARD_BYTES = 16 << 20  #: text a shard holds before it trains on it
 SCORE_WINDOW = 48
 END = np.uint64(0xE4D0E4D0E4D0E4D1)  #: hash of the end token
 
@@ -158,93 +160,123 @@ class Network:
 
     def gradients(self, h0: np.ndarray, x: np.ndarray, y: np.ndarray, reset: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """One window: x, y, reset are (steps, streams); y is a word, -1 the last class, -2 nothing."""
-        p, n, steps = self.p, HIDDEN, len(x)
-        hs, kept = [], []
-        h = h0
+        p, n, steps, width = self.p, HIDDEN, *x.shape
+        kind = p["u"].dtype
+        before, zr, c, gn, flat = (np.empty((steps, width, w), kind) for w in (n, 2 * n, n, n, n))
+        inputs = x.ravel()
+        a = (p["x"][inputs] + p["b"]).reshape(steps, width, 3 * n)
+        u, h, fresh = p["u"], h0, reset.any(1)
         for t in range(steps):
-            h = np.where(reset[t][:, None], np.float32(0), h)
-            nxt, z, r, c, gn = self.step(h, x[t])
-            kept.append((h, z, r, c, gn))
-            hs.append(nxt)
-            h = nxt
-        flat, word = np.concatenate(hs), y.ravel()
-        live = np.flatnonzero(word > -2)
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        dh_out = np.zeros_like(flat)
-        hl, wl = flat[live], word[live]
+            h = np.where(reset[t][:, None], np.float32(0), h) if fresh[t] else h
+            before[t] = h
+            g = h @ u
+            s = np.add(a[t, :, : 2 * n], g[:, : 2 * n], out=zr[t])
+            np.negative(s, out=s)
+            np.exp(s, out=s)
+            s += 1
+            np.reciprocal(s, out=s)
+            gn[t] = g[:, 2 * n :]
+            k = np.multiply(s[:, n:], gn[t], out=c[t])
+            k += a[t, :, 2 * n :]
+            np.tanh(k, out=k)
+            h = np.subtract(h, k, out=flat[t])
+            h *= s[:, :n]
+            h += k
+        last, states, word = flat[-1].copy(), flat.reshape(-1, n), y.ravel()
         k = len(self.first) - 1
-        klass = np.where(wl >= 0, self.klass[np.maximum(wl, 0)] if self.m else k, k)
+        klass = np.where(word >= 0, self.klass[np.maximum(word, 0)] if self.m else k, k)
+        order = np.argsort(np.where(word > -2, klass, k + 1).astype(np.uint16), kind="stable")
+        bounds = np.searchsorted(klass[order[: int((word > -2).sum())]], np.arange(k + 2))
+        live = order[: bounds[-1]]
+        hl, wl, kl = states[live], word[live], klass[live]
+        grad = {name: np.zeros_like(v) for name, v in p.items()}
+        rows = np.arange(len(live))
         s = hl @ p["oc"] + p["bc"]
-        s = np.exp(s - s.max(1, keepdims=True))
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
         s /= s.sum(1, keepdims=True)
-        loss = -np.log(s[np.arange(len(s)), klass] + 1e-12).sum()
-        s[np.arange(len(s)), klass] -= 1
+        loss = -np.log(s[rows, kl] + 1e-12).sum()
+        s[rows, kl] -= 1
         scale = np.float32(1 / max(1, len(live)))
         s *= scale
         grad["oc"] += hl.T @ s
         grad["bc"] += s.sum(0)
         dl = s @ p["oc"].T
-        for c in range(k):
-            rows = np.flatnonzero(klass == c)
-            a, z = self.first[c], self.first[c + 1]
-            if len(rows) and z - a > 1:
-                q = hl[rows] @ p["ow"][a:z].T + p["bw"][a:z]
-                q = np.exp(q - q.max(1, keepdims=True))
+        for j in range(k):
+            lo, hi, first, end = bounds[j], bounds[j + 1], self.first[j], self.first[j + 1]
+            if hi > lo and end - first > 1:
+                q = hl[lo:hi] @ p["ow"][first:end].T + p["bw"][first:end]
+                q -= q.max(1, keepdims=True)
+                np.exp(q, out=q)
                 q /= q.sum(1, keepdims=True)
-                loss -= np.log(q[np.arange(len(rows)), wl[rows] - a] + 1e-12).sum()
-                q[np.arange(len(rows)), wl[rows] - a] -= 1
+                own = (rows[: hi - lo], wl[lo:hi] - first)
+                loss -= np.log(q[own] + 1e-12).sum()
+                q[own] -= 1
                 q *= scale
-                grad["ow"][a:z] += q.T @ hl[rows]
-                grad["bw"][a:z] += q.sum(0)
-                dl[rows] += q @ p["ow"][a:z]
-        dh_out[live] = dl
-        dh_out = dh_out.reshape(steps, -1, n)
-        dh = np.zeros_like(h0)
+                grad["ow"][first:end] += q.T @ hl[lo:hi]
+                grad["bw"][first:end] += q.sum(0)
+                dl[lo:hi] += q @ p["ow"][first:end]
+        out = np.zeros_like(states)
+        out[live] = dl
+        out = out.reshape(steps, width, n)
+        # what does not depend on the later steps is taken for the whole window
+        z, r = zr[:, :, :n], zr[:, :, n:]
+        to_z, to_c = (before - c) * z * (1 - z), (1 - z) * (1 - c * c)
+        to_r = gn * r * (1 - r)
+        da, dg = np.empty((steps, width, 3 * n), kind), np.empty((steps, width, 3 * n), kind)
+        dh, back = np.zeros_like(h0), np.ascontiguousarray(u.T)
         for t in range(steps - 1, -1, -1):
-            h, z, r, c, gn = kept[t]
-            d = dh + dh_out[t]
-            dz = d * (h - c) * z * (1 - z)
-            dc = d * (1 - z) * (1 - c * c)
-            dr = dc * gn * r * (1 - r)
-            da = np.hstack([dz, dr, dc])
-            dg = np.hstack([dz, dr, dc * r])
-            np.add.at(grad["x"], x[t], da)
-            grad["b"] += da.sum(0)
-            grad["u"] += h.T @ dg
-            dh = np.where(reset[t][:, None], np.float32(0), d * z + dg @ p["u"].T)
-        return grad, hs[-1], float(loss)
-
-
-def train(net: Network, docs: list[tuple[np.ndarray, np.ndarray]], passes: int = 1, rate: float = RATE) -> int:
-    """Adam over windows of ``STREAMS`` parallel streams of documents; docs: (words, endings). Returns tokens used."""
+            d = dh + out[t]
+            dc = np.multiply(d, to_c[t], out=da[t, :, 2 * n :])
+            np.multiply(d, to_z[t], out=dg[t, :, :n])
+            np.multiply(dc, to_r[t], out=dg[t, :, n : 2 * n])
+            np.multiply(dc, r[t], out=dg[t, :, 2 * n :])
+            d *= z[t]
+            d += dg[t] @ back
+            dh = np.where(reset[t][:, None], np.float32(0), d) if fresh[t] else d
+        da[:, :, : 2 * n] = dg[:, :, : 2 * n]
+        da, dg = da.reshape(-1, 3 * n), dg.reshape(-1, 3 * n)
+        grad["u"] += before.reshape(-1, n).T @ dg
+        grad["b"] += da.sum(0)
+        order = np.argsort(inputs.astype(np.uint16), kind="stable")
+        got, at = np.unique(inputs[order], return_index=True)
+        grad["x"][got] = np.add.reduceat(da[order], at, axis=0)
+        return grad, last, float(loss)
+
+
+def train(net: Network, docs: list[tuple[np.ndarray, np.ndarray]], passes: int = 1, rate: float = RATE, parallel: int = STREAMS) -> int:
+    """Adam over windows of ``parallel`` streams of documents, of which those not yet at their end are computed; docs:
+    (words, endings). Returns tokens used."""
     docs = [d for d in docs if len(d[0])]
-    streams: list[list] = [[] for _ in range(min(STREAMS, len(docs)))]
-    load = np.zeros(len(streams))
+    streams: list[list] = [[] for _ in range(min(parallel, len(docs)))]
+    heap = [(0, i) for i in range(len(streams))]
     for w, e in sorted(docs, key=lambda d: -len(d[0])):
-        i = int(load.argmin())
+        load, i = heap[0]
         streams[i].append((w, e))
-        load[i] += len(w)
+        heapq.heapreplace(heap, (load + len(w), i))
     if not streams:
         return 0
-    width = int(load.max())
-    x = np.full((width, len(streams)), net.begin)
-    y = np.full((width, len(streams)), -2)
-    reset = np.zeros((width, len(streams)), bool)
-    for i, s in enumerate(streams):
-        at = 0
-        for w, e in s:
-            y[at : at + len(w), i] = w
-            x[at + 1 : at + len(w), i] = net.inputs(w[:-1], e[:-1])
-            reset[at, i] = True
-            at += len(w)
+    streams.sort(key=lambda s: -sum(len(w) for w, _ in s))
+    docs = [d for s in streams for d in s]
+    lens = np.array([sum(len(w) for w, _ in s) for s in streams])
+    width, starts = int(lens[0]), np.cumsum(lens) - lens
+    y = np.concatenate([w for w, _ in docs]).astype(np.int16)
+    x = np.append(net.begin, net.inputs(y[:-1], np.concatenate([e for _, e in docs])[:-1])).astype(np.int16)
+    reset = np.zeros(len(y), bool)
+    reset[np.cumsum([0] + [len(w) for w, _ in docs])[:-1]] = True
+    x[reset] = net.begin
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(v) for k, v in net.p.items()}
     step, total = 0, passes * -(-width // WINDOW)
     for _ in range(passes):
         h = np.zeros((len(streams), HIDDEN), np.float32)
         for lo in range(0, width, WINDOW):
-            g, h, _ = net.gradients(h, x[lo : lo + WINDOW], y[lo : lo + WINDOW], reset[lo : lo + WINDOW])
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            live = int(np.searchsorted(-lens, -lo, "left"))
+            t = np.arange(lo, min(lo + WINDOW, width))[:, None]
+            over = t >= lens[:live]
+            at = np.where(over, 0, starts[:live] + t)
+            g, h, _ = net.gradients(h[:live], np.where(over, np.int16(net.begin), x[at]), np.where(over, np.int16(-2), y[at]), reset[at] & ~over)
+            norm = np.sqrt(sum(float(np.vdot(a, a)) for a in g.values()))
             cut = min(1.0, 1.0 / (norm + 1e-9))
             step += 1
             lr = rate * (1 - 0.9 * step / total)
@@ -253,7 +285,7 @@ def train(net: Network, docs: list[tuple[np.ndarray, np.ndarray]], passes: int =
                 m[k] += np.float32(0.1) * (gk - m[k])
                 v[k] += np.float32(0.01) * (gk * gk - v[k])
                 net.p[k] -= np.float32(lr) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(v[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-    return int((y > -2).sum())
+    return int(lens.sum())
 
 
 def score_batch(net: Network, word: np.ndarray, ending: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -348,8 +380,7 @@ def _chunked(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def _trained(training: DataFrame, net: Network, v: Vocabulary, held) -> Network:
-    """Warm start on the driver, then one pass of the shards from there, averaged by their tokens."""
-    share = training.where(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(SHARE)) == 0)
+    """Warm start on the driver, then one pass over all training documents in shards from there, averaged by their tokens."""
     n = training.count()
     want = max(1, int(WARM_TOKENS / max(1.0, v.total / max(1, n))))
     warm = training.where(F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, want / max(1, n))))
@@ -373,15 +404,15 @@ def _trained(training: DataFrame, net: Network, v: Vocabulary, held) -> Network:
         own, used, held_docs, size = None, 0, [], 0
         for b in batches:
             for _, _, _, data, offs in C.chunks(b):
-                held_docs += [(w.astype(np.int64), e.astype(np.int64)) for w, e in encode(data, offs, held.value)]
+                held_docs += encode(data, offs, held.value)
                 size += len(data)
-                if size > 4 * C.CHUNK:
+                if size > SHARD_BYTES:
                     own = own or pickle.loads(pickle.dumps(start.value))
-                    used += train(own, held_docs, rate=RATE / 10)
+                    used += train(own, held_docs, rate=RATE / 10, parallel=SHARD_STREAMS)
                     held_docs, size = [], 0
         if held_docs:
             own = own or pickle.loads(pickle.dumps(start.value))
-            used += train(own, held_docs, rate=RATE / 10)
+            used += train(own, held_docs, rate=RATE / 10, parallel=SHARD_STREAMS)
         if own is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({k: a * np.float64(used) for k, a in own.p.items()})], pa.binary()), pa.array([used])], ["p", "n"])
 
@@ -395,7 +426,7 @@ def _trained(training: DataFrame, net: Network, v: Vocabulary, held) -> Network:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary()), pa.array([n])], ["p", "n"])
 
-    parts = C.materialize(share.mapInArrow(shard, "p binary, n long"), "lm-shards")
+    parts = C.materialize(training.mapInArrow(shard, "p binary, n long"), "lm-shards")
     count = parts.count()
     while count > 8:
         parts = C.materialize(parts.repartition(max(1, count // 8)).mapInArrow(add, "p binary, n long"), "lm-shards")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from oreline.llm import jaccard_join, language_model, media, packing, suffix_dedup
 from oreline.llm import queries as Q
@@ -249,6 +250,34 @@ def test_op4_gradients_and_probabilities():
     assert np.allclose(language_model.score_batch(net, w, e, at), one)
 
 
+def test_op4_learns_from_every_training_document(spark, monkeypatch):
+    """The order of the words of any one document is seen by the network only; the counts stay the same."""
+    monkeypatch.setattr(language_model, "WARM_TOKENS", 1)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 20, 60)) for _ in range(12)]
+
+    def scores(turned):
+        rows = [(i, " ".join(t.split()[::-1]) if i == turned else t, "en", "s", 1, "e") for i, t in enumerate(texts)]
+        docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+        return {r["__id"]: r.score for r in language_model.score(docs, F.col("__id") != 11).select("__id", "score").collect()}
+
+    plain = scores(None)
+    for i in (0, 5, 10):
+        assert abs(scores(i)[11] - plain[11]) > 1e-5
+    assert scores(11)[0] == pytest.approx(plain[0], abs=1e-9)  # not in training
+
+
+def test_op4_streams_end_on_their_own():
+    rng = np.random.default_rng(2)
+    net = language_model.Network(np.array([0, 2, 5]), np.array([9, 7, 5, 3, 2]), 10.0)
+    docs = [(rng.integers(-1, 5, n).astype(np.int16), rng.integers(0, 9, n).astype(np.int16)) for n in (700, 1, 30, 0, 24, 25, 3)]
+    seen, plain = [], net.gradients
+    net.gradients = lambda h, x, y, reset: seen.append((y.copy(), reset.copy())) or plain(h, x, y, reset)
+    assert language_model.train(net, docs, parallel=4) == 783
+    assert sum(int((y > -2).sum()) for y, _ in seen) == 783 and sum(int(r.sum()) for _, r in seen) == 6
+    assert seen[-1][0].shape[1] == 1 and all(np.isfinite(a).all() for a in net.p.values())
+
+
 @pytest.mark.parametrize("query", ["op2_media_columns", "op4_lm_scoring", "op5_suffix_dedup", "op8_packing", "op9_toxicity", "op10_ngram_jaccard", "op7_quality", "op1_decontamination", "op6_license_scan", "op3_url_filter"])
 def test_empty_tables(spark, query, monkeypatch):
     kinds = {"documents": SCHEMA, "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}
