@@ -136,18 +136,25 @@ def texture_compose(spark, sf_dir):
 
 @register()
 def bsp_build(spark, sf_dir):
-    """A tree for a polygon of lines for each brand of parts."""
+    """Trees for polygons of lines: the parts of a brand in the order of their keys, at most 64 to a polygon. A polygon's
+    keys lie in one range of 1,600, so a brand is not one task."""
 
     def run(pdf):
         import math
 
+        import numpy as np
         import pandas as pd
 
-        n = max(3, min(len(pdf), 64))
-        points = [(round(500 * math.cos(2 * math.pi * i / n)) + int(pdf["p_size"].iloc[i % len(pdf)]), round(500 * math.sin(2 * math.pi * i / n))) for i in range(n)]
-        lines = [{"start": i, "end": (i + 1) % n, "right": 0, "left": 0xFFFF} for i in range(n)] + [{"start": 0, "end": n // 2, "right": 0, "left": 0}]
-        tree = bsp.build(points, lines)
-        return pd.DataFrame({"brand": [pdf["p_brand"].iloc[0]], "segs": [len(tree["segs"])], "leaves": [len(tree["subsectors"])], "nodes": [len(tree["nodes"])], "faults": [len(bsp.check(tree))]})
+        out, pdf = [], pdf.sort_values(["p_partkey", "p_size"])
+        for rows in np.array_split(np.arange(len(pdf)), -(-len(pdf) // 64)):
+            part = pdf.iloc[rows]
+            n = max(3, len(part))
+            points = [(round(500 * math.cos(2 * math.pi * i / n)) + int(part["p_size"].iloc[i % len(part)]), round(500 * math.sin(2 * math.pi * i / n))) for i in range(n)]
+            lines = [{"start": i, "end": (i + 1) % n, "right": 0, "left": 0xFFFF} for i in range(n)] + [{"start": 0, "end": n // 2, "right": 0, "left": 0}]
+            tree = bsp.build(points, lines)
+            out.append((part["p_brand"].iloc[0], part["p_partkey"].iloc[0], len(part), len(tree["segs"]), len(tree["subsectors"]), len(tree["nodes"]), len(bsp.check(tree))))
+        return pd.DataFrame(out, columns=["brand", "first_part", "parts", "segs", "leaves", "nodes", "faults"])
 
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
-    return p.groupBy("p_brand").applyInPandas(run, "brand string, segs int, leaves int, nodes int, faults int")
+    block = F.floor(F.col("p_partkey") / 1_600).alias("block")
+    return p.groupBy("p_brand", block).applyInPandas(run, "brand string, first_part long, parts int, segs int, leaves int, nodes int, faults int")
