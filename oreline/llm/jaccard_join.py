@@ -294,24 +294,61 @@ def _then_end(batches):
     yield None
 
 
-def components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``__id``, n_shingles, component_id for every row of ``docs``."""
+def _grouped(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The written classes of all rows, and for each class that is not empty its least real id ``rep`` and its ``root``."""
     own = C.materialize(classes(docs, k), "jj-classes")
     roots = connected(links(docs, own, k))
-    real = F.when(F.col("__id") != C.NULL_ID, F.col("__id"))
-    reps = own.where("n > 0").groupBy("cls").agg(F.min(real).alias("rep"))
-    reps = C.materialize(reps.join(roots, reps["cls"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "jj-reps")
+    reps = own.where("n > 0").groupBy("cls").agg(F.min(_real()).alias("rep"))
+    return own, C.materialize(reps.join(roots, reps["cls"] == roots["node"], "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "jj-reps")
+
+
+def _real() -> F.Column:
+    return F.when(F.col("__id") != C.NULL_ID, F.col("__id"))
+
+
+def components(docs: DataFrame, k: int = 5) -> DataFrame:
+    """``__id``, n_shingles, component_id for every row of ``docs``."""
+    own, reps = _grouped(docs, k)
     comp = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     table = C.materialize(reps.join(comp, "root").select(F.col("cls").alias("__cls"), "component_id"), "jj-comp")
     got = own.join(table, own["cls"] == table["__cls"], "left")
-    return got.select("__id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
+    return got.select("__id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(_real()).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``docs`` with one row of each group of linked documents: the one with the least doc_id (of rows
-    with this id, one; a row with a null id stays only if its group has no other)."""
-    comp = components(docs, k)
+    """``docs`` with one row of each group of linked rows: of those with the least doc_id, one of the least class (a row with
+    a null id only if its group has no other). Rows with an empty set all stay. An id decides for its rows where all of
+    them stay or go; those of the other ids (null or repeated) are decided by id and class."""
+    own, reps = _grouped(docs, k)
+    first = reps.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), "rep", "cls")).alias("f"))
+    first = C.materialize(first.select(F.coalesce("f.rep", F.lit(C.NULL_ID)).alias("__id"), F.col("f.cls").alias("cls")), "jj-first")
+    pairs = own.groupBy("__id", "cls").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    pairs = pairs.join(first.withColumn("first", F.lit(1)), ["__id", "cls"], "left")
+    stay = F.when(F.col("n") == 0, F.col("rows")).otherwise(F.coalesce("first", F.lit(0)))
+    ids = pairs.groupBy("__id").agg(F.sum("rows").alias("rows"), F.sum(stay).alias("stay")).where("stay < rows")
+    ids = C.materialize(ids.select("__id", (F.col("stay") > 0).alias("some")), "jj-gone")
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)))
-    gone = comp.where("n_shingles > 0").select("__id", F.coalesce("component_id", F.lit(C.NULL_ID)).alias("c")).where("__id <> c").select("__id").distinct()
-    left = keyed.join(C.materialize(gone, "jj-gone"), "__id", "left_anti")
-    return left.drop("__id")
+    whole = keyed.join(ids, "__id", "left_anti").select(docs.columns)
+    some = ids.where("some").select("__id")
+    if some.isEmpty():
+        return whole
+    mixed = C.materialize(_with_class(keyed.join(some, "__id", "left_semi").select(docs.columns), k), "jj-mixed")
+    row = F.struct(*docs.columns)
+    one = mixed.where("__n > 0").join(first, (mixed["__id"] == first["__id"]) & (mixed["__cls"] == first["cls"]), "left_semi")
+    one = one.groupBy("__id", "__cls").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return whole.union(mixed.where("__n = 0").select(docs.columns)).union(one)
+
+
+def _with_class(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with ``__id``, and the size and digest of each row's set."""
+    names = docs.columns
+    ddl = T.StructType([*docs.schema.fields, *T._parse_datatype_string("__id long, __n long, __cls long").fields])
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, ids, data, offs in C.chunks(b):
+                _, at, cls = class_sets(data, offs, k)
+                cols = [b.column(b.schema.get_field_index(c)).slice(lo, hi - lo) for c in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids), pa.array(np.diff(at).astype(np.int64)), pa.array(cls)], [*names, "__id", "__n", "__cls"])
+
+    return C.doc_bytes(docs, *names).mapInArrow(run, ddl)

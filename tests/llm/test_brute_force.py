@@ -89,6 +89,25 @@ def test_op10_keeps_one(spark):
     assert 0 in ids and not ids & {1, 2, 15, 54, None} and {5, 6, 7, 11, 12, 13} <= ids
 
 
+def test_op10_keeps_one_decides_by_row(spark):
+    rng = np.random.default_rng(9)
+    w = lambda: " ".join(f"w{x}" for x in rng.integers(0, 4000, 60))
+    a, b, c, d, e, f = (w() for _ in range(6))
+    rows = [
+        (1, a), (None, a), (2, a + " end"),  # a group with a real id
+        (None, b), (None, c), (None, ""), (None, None),  # unrelated rows without an id
+        (3, d), (3, a + " tail"),  # an id with two texts, one a near copy of a smaller id
+        (4, e), (4, e), (4, e + " x"),  # repeats of the id that stays
+        (None, f), (None, f), (None, f + " x"),  # a group without an id
+        (5, ""), (5, ""),
+    ]
+    kept = jaccard_join.keep_one(spark.createDataFrame([(i, t, "en", "s", 1, "e") for i, t in rows], SCHEMA).repartition(3))
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert {r: n for r, n in got.items() if r[1] not in (e, e + " x", f, f + " x")} == {(1, a): 1, (None, b): 1, (None, c): 1, (None, ""): 1, (None, None): 1, (3, d): 1, (5, ""): 2}
+    assert sum(n for (i, t), n in got.items() if i == 4) == 1
+    assert sum(n for (i, t), n in got.items() if t in (f, f + " x")) == 1
+
+
 def repeats(rows, size=100):
     seen, out = {}, []
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
