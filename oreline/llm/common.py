@@ -84,6 +84,11 @@ def doc_bytes(df: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str =
     )
 
 
+def row(df: DataFrame) -> F.Column:
+    """All columns of ``df`` as one value, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def back(col: str = "__id") -> F.Column:
     return F.when(F.col(col) != NULL_ID, F.col(col))
 

@@ -69,12 +69,12 @@ def components(rows):
     return sorted((str(i), len(sets[k]), str(least.get(find(k)))) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("source", ["crafted", "table"])
-def test_op10(spark, sf, source, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PAIR_BLOCK", 4)
+@pytest.mark.parametrize(("source", "bits"), [("crafted", 64), ("crafted", 4), ("table", 64)])
+def test_op10(spark, sf, source, bits, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
     docs = crafted(spark) if source == "crafted" else spark.read.parquet(f"{sf}/documents.parquet")
     if source == "crafted":
-        got = jaccard_join.components(docs).select(Q.C.back().alias("doc_id"), "n_shingles", "component_id").collect()
+        got = jaccard_join.components(docs, bits=bits).select(Q.C.back().alias("doc_id"), "n_shingles", "component_id").collect()
     else:
         got = Q.op10_ngram_jaccard(spark, sf).collect()
     want = components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
