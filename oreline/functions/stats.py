@@ -10,9 +10,51 @@ from pyspark.sql import functions as F
 TENTHS = {"p50": 500, "p75": 750, "p90": 900, "p95": 950, "p99": 990, "p99_5": 995, "p99_9": 999}
 
 
-def percentile(x: str, tenths: int) -> Column:
-    """Nearest-rank percentile of a whole-number column; 0 for no rows."""
-    return F.coalesce(F.expr(f"percentile_disc({tenths / 1000}) WITHIN GROUP (ORDER BY {x})").cast("long"), F.lit(0))
+def rank(tenths: int, total: Column | str) -> Column:
+    """Nearest rank of a percentile among ``total``: a whole-number ceiling, 1 at least."""
+    return F.expr(f"greatest(1L, ({tenths}L * {total} + 999L) div 1000L)")
+
+
+def _spot(v: Column) -> Column:
+    """A whole number that never falls as ``v`` rises, the same for values within about one hundredth of each other."""
+    size = F.floor(F.log2(F.abs(v.cast("double"))) * 64).cast("long") + 80_000
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
+
+
+def ranked(df: DataFrame, value: str, tenths: dict[str, int], *keys: str, weight: str | None = None, moments: bool = True) -> DataFrame:
+    """For each key: n (rows with a value), total (their weight, or n), least, most, each percentile in ``tenths`` (null for
+    no rows), and exact sums __s1 and __s2 of values and squares.
+
+    Values are counted, then the counts summed by spot, of which a key has a few thousand at most: running sums over
+    those tell which spots hold the ranks, and only their values are put in order. So no key's values meet in one task."""
+    v = F.col(value)
+    one = F.when(v.isNotNull(), F.col(weight) if weight else F.lit(1)).otherwise(0)
+    by = df.groupBy(*keys, value).agg(F.sum(one).cast("long").alias("__c"), F.count(value).alias("__m")).withColumn("__spot", _spot(v))
+    d, c = v.cast("decimal(38,0)"), F.col("__c").cast("decimal(38,0)")
+    sums = [F.sum(d * c).alias("__s1"), F.sum(d * d * c).alias("__s2")] if moments else []
+    spots = by.groupBy(*keys, "__spot").agg(F.sum("__c").alias("__c"), F.sum("__m").alias("__m"), F.min(value).alias("__lo"), F.max(value).alias("__hi"), *sums)
+    w = W.partitionBy(*keys)
+    spots = spots.withColumn("__before", F.sum("__c").over(w.orderBy("__spot").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")).withColumn("__total", F.sum("__c").over(w))
+    inside = [(rank(t, "__total") > F.col("__before")) & (rank(t, "__total") <= F.col("__before") + F.col("__c")) for t in tenths.values()]
+    ends = spots.where(F.array_contains(F.array(*inside), True)).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__spot").alias("__at"), "__before", "__total")
+    same = F.col("__spot") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    few = by.join(ends, same)
+    few = few.withColumn("__cum", F.col("__before") + F.sum("__c").over(W.partitionBy(*keys, "__spot").orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    at = few.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*[F.min(F.when(F.col("__cum") >= rank(t, "__total"), v)).alias(k) for k, t in tenths.items()])
+    whole = spots.groupBy(*keys).agg(
+        F.coalesce(F.sum("__m"), F.lit(0)).alias("n"), F.coalesce(F.sum("__c"), F.lit(0)).alias("total"), F.min("__lo").alias("least"), F.max("__hi").alias("most"),
+        *([F.sum("__s1").alias("__s1"), F.sum("__s2").alias("__s2")] if moments else []),
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return whole.join(at, same, "left").drop(*[f"__k_{k}" for k in keys])
+
+
+def _whole(c: str) -> Column:
+    return F.coalesce(c, F.lit(0)).cast("long").alias(c)
 
 
 def mean_and_stddev(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
@@ -23,36 +65,56 @@ def mean_and_stddev(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
     return mean, F.sqrt(F.greatest(var, F.lit(0.0)))
 
 
-def distribution(df: DataFrame, value: str, *keys: str) -> DataFrame:
+def distribution(df: DataFrame, value: str, *keys: str, times: str | None = None) -> DataFrame:
     """n, min, the seven percentiles, max, mean, stddev of a whole-number column, for each key; one row of zeros
-    for no rows and no keys."""
-    d = F.col(value).cast("decimal(38,0)")
-    got = df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.coalesce(F.min(value), F.lit(0)).cast("long").alias("min"), *[percentile(value, t).alias(k) for k, t in TENTHS.items()],
-        F.coalesce(F.max(value), F.lit(0)).cast("long").alias("max"), F.sum(d).alias("__s1"), F.sum(d * d).alias("__s2"),
-    )
+    for no rows and no keys. With ``times``, a row stands for so many."""
+    got = ranked(df, value, TENTHS, *keys, weight=times).withColumn("n", F.col("total"))
     mean, dev = mean_and_stddev(F.col("n"), F.col("__s1"), F.col("__s2"))
-    return got.select(*keys, "n", "min", *TENTHS, "max", mean.alias("mean"), dev.alias("stddev"))
+    least, most = F.coalesce("least", F.lit(0)).cast("long").alias("min"), F.coalesce("most", F.lit(0)).cast("long").alias("max")
+    return got.select(*keys, "n", least, *map(_whole, TENTHS), most, mean.alias("mean"), dev.alias("stddev"))
 
 
 def weighted_distribution(df: DataFrame, value: str, weight: str, *keys: str) -> DataFrame:
-    """n (pairs), total_weight, weighted percentiles, mean and stddev. Pairs are summed by value first, so the running
-    sum goes over distinct values only."""
-    by = df.groupBy(*keys, value).agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__n"))
-    cum = by.withColumn("__cum", F.sum("__w").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
-    cum = cum.withColumn("__total", F.sum("__w").over(W.partitionBy(*keys)))
-    v, w = F.col(value).cast("decimal(38,0)"), F.col("__w").cast("decimal(38,0)")
-    at = [F.coalesce(F.min(F.when(F.col("__cum") * 1000 >= F.lit(t) * F.col("__total"), F.col(value))), F.lit(0)).cast("long").alias(k) for k, t in TENTHS.items()]
-    got = cum.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__w").cast("long").alias("total_weight"), *at, F.sum(v * w).alias("__s1"), F.sum(v * v * w).alias("__s2"))
-    mean, dev = mean_and_stddev(F.col("total_weight"), F.col("__s1"), F.col("__s2"))
-    return got.select(*keys, "n", "total_weight", *TENTHS, mean.alias("mean"), dev.alias("stddev"))
+    """n (pairs of positive weight), total_weight, excluded (pairs without), weighted percentiles, mean and stddev."""
+    kept = df.where(F.col(weight) > 0)
+    got = ranked(kept, value, TENTHS, *keys, weight=weight)
+    mean, dev = mean_and_stddev(F.col("total"), F.col("__s1"), F.col("__s2"))
+    got = got.select(*keys, "n", F.col("total").alias("total_weight"), *map(_whole, TENTHS), mean.alias("mean"), dev.alias("stddev"))
+    left = df.where(~F.coalesce(F.col(weight) > 0, F.lit(False))).groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("excluded"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return got.join(left, same, "left").drop(*[f"__k_{k}" for k in keys]).withColumn("excluded", F.coalesce("excluded", F.lit(0)))
 
 
 def ratio_distribution(df: DataFrame, num: str, den: str, *keys: str) -> DataFrame:
     """n, min, p50, p90, p99, max of num / den over rows with a positive denominator."""
-    r = df.where(F.col(den) > 0).withColumn("__r", F.col(num).cast("double") / F.col(den).cast("double"))
-    at = lambda t: F.expr(f"percentile_disc({t / 1000}) WITHIN GROUP (ORDER BY __r)")
-    return r.groupBy(*keys).agg(F.count("__r").alias("n"), F.min("__r").alias("min"), at(500).alias("p50"), at(900).alias("p90"), at(990).alias("p99"), F.max("__r").alias("max"))
+    r = df.where(F.col(den) > 0).withColumn("__r", F.col(num).cast("double") / F.nullif(F.col(den), F.lit(0)).cast("double"))
+    at = {k: TENTHS[k] for k in ("p50", "p90", "p99")}
+    got = ranked(r, "__r", at, *keys, moments=False)
+    return got.select(*keys, "n", F.col("least").alias("min"), *at, F.col("most").alias("max"))
+
+
+def ratio_key(num: Column, den: Column) -> Column:
+    """An array whose order is the exact order of ``num / den`` (whole numbers, the second one positive): the terms of the
+    continued fraction with alternating signs. Equal ratios have equal arrays."""
+    most = 2**63 - 1
+    start = F.struct(num.cast("long").alias("a"), den.cast("long").alias("b"), F.array().cast("array<bigint>").alias("q"))
+
+    def step(s: Column, i: Column) -> Column:
+        q = F.call_function("div", s["a"], F.nullif(s["b"], F.lit(0).cast("long")))
+        more = F.concat(s["q"], F.array(F.when(i % 2 == 0, q).otherwise(-q)))
+        rest = F.coalesce(s["a"] % F.nullif(s["b"], F.lit(0).cast("long")), F.lit(0).cast("long"))
+        return F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), rest.alias("b"), more.alias("q")))
+
+    end = lambda s: F.concat(s["q"], F.array(F.when(F.size(s["q"]) % 2 == 0, F.lit(most)).otherwise(F.lit(-most))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(91)), start, step, end)
+
+
+def ratio_order(df: DataFrame, num: str, den: str, *keys: str) -> DataFrame:
+    """``place`` (from 0) of each pair by its exact ratio within each key; equal ratios share a place."""
+    w = W.partitionBy(*keys).orderBy("__q")
+    return df.withColumn("__q", ratio_key(F.col(num), F.col(den))).withColumn("place", (F.dense_rank().over(w) - 1).cast("long")).drop("__q")
 
 
 def log2_histogram(df: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -46,15 +46,16 @@ def log2_hist_price(spark, sf_dir):
 _WPS = ", ".join(f"CAST(coalesce(min(CASE WHEN cum * 1000 >= {t} * total THEN v END), 0) AS BIGINT) AS {k}" for k, t in X.TENTHS.items())
 
 
-@register(f"""WITH p AS (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS v, CAST(l_quantity AS BIGINT) AS w FROM lineitem WHERE l_quantity > 0),
+@register(f"""WITH p AS (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS v, CAST(l_quantity AS BIGINT) AS w FROM lineitem WHERE l_linenumber <> 3),
+  z AS (SELECT l_returnflag, count(*) AS excluded FROM lineitem WHERE l_linenumber = 3 GROUP BY 1),
   b AS (SELECT l_returnflag, v, sum(w) AS w, count(*) AS m FROM p GROUP BY ALL),
   c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM b),
   a AS (SELECT l_returnflag, CAST(sum(m) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS total_weight, {_WPS}, sum(CAST(v AS HUGEINT) * w) AS s1, sum(CAST(v AS HUGEINT) * v * w) AS s2 FROM c GROUP BY l_returnflag)
-  SELECT l_returnflag, n, total_weight, {", ".join(X.TENTHS)}, CAST(s1 AS DOUBLE) / total_weight AS mean,
-    sqrt(greatest(CAST(s2 AS DOUBLE) / total_weight - (CAST(s1 AS DOUBLE) / total_weight) * (CAST(s1 AS DOUBLE) / total_weight), 0.0)) AS stddev FROM a""")
+  SELECT l_returnflag, n, total_weight, coalesce(excluded, 0) AS excluded, {", ".join(X.TENTHS)}, CAST(s1 AS DOUBLE) / total_weight AS mean,
+    sqrt(greatest(CAST(s2 AS DOUBLE) / total_weight - (CAST(s1 AS DOUBLE) / total_weight) * (CAST(s1 AS DOUBLE) / total_weight), 0.0)) AS stddev FROM a LEFT JOIN z USING (l_returnflag)""")
 def weighted_p_price_by_qty(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select("l_returnflag", CENTS("l_extendedprice").alias("v"), F.col("l_quantity").cast("long").alias("w"))
-    return X.weighted_distribution(p, "v", "w", "l_returnflag")
+    w = F.when(F.col("l_linenumber") == 3, 0).otherwise(F.col("l_quantity").cast("long"))
+    return X.weighted_distribution(table(spark, sf_dir, "lineitem").select("l_returnflag", CENTS("l_extendedprice").alias("v"), w.alias("w")), "v", "w", "l_returnflag")
 
 
 @register("""SELECT l_linestatus, count(r) AS n, min(r) AS min, quantile_disc(r, 0.5) AS p50, quantile_disc(r, 0.9) AS p90, quantile_disc(r, 0.99) AS p99, max(r) AS max
@@ -97,10 +98,10 @@ def listing_join_misses(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality").cast("long") * 1000).alias("listed"))
     j = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(lab, "doc_id", "left")
     j = j.withColumn("delta", F.when(F.col("listed") != F.col("n_chars"), F.abs(F.col("listed") - F.col("n_chars"))))
-    return j.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("listed").isNull()).alias("misses"), F.count("delta").alias("mismatches"),
-        F.coalesce(F.max("delta"), F.lit(0)).alias("max_delta"), X.percentile("delta", 500).alias("p50_delta"),
-    )
+    counts = j.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("listed").isNull()).alias("misses"))
+    deltas = X.ranked(j, "delta", {"p50": 500}, "lang", moments=False)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return counts.join(deltas.select("lang", F.col("n").alias("mismatches"), zero("most").alias("max_delta"), zero("p50").alias("p50_delta")), "lang")
 
 
 @register("SELECT doc_id, CAST(coalesce(quality * 1000, n_chars) AS BIGINT) AS size, quality IS NOT NULL AS listed FROM documents LEFT JOIN labels USING (doc_id)")
@@ -131,7 +132,8 @@ _CAP = "CASE WHEN {x} <= 1 THEN 1 ELSE CAST(1 AS BIGINT) << length(bin(CAST({x}
   SELECT 'max_ratio', CAST(10 * ceil(2 * r.m / 10) AS BIGINT) FROM r""")
 def recommendation_caps(spark, sf_dir):
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    a = li.select(CENTS("l_extendedprice").alias("v"), S.safe_ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("r")).agg(X.percentile("v", 995).alias("p"), F.max("r").alias("r"))
+    a = li.select(CENTS("l_extendedprice").alias("v"), S.safe_ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("r"))
+    a = X.ranked(a, "v", {"p": 995}, moments=False).select("p").join(a.agg(F.max("r").alias("r")))
     m = o.agg(F.max(CENTS("o_totalprice")).alias("m"))
     k = li.groupBy("l_orderkey").count().agg(F.max("count").alias("k"))
     one = a.join(m).join(k)  # single rows

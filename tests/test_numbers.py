@@ -1,6 +1,11 @@
 """Numeric facts of the statistics."""
 
+from fractions import Fraction
+
 import pytest
+from hypothesis import HealthCheck, given
+from hypothesis import settings as _settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oreline.functions import scalars as S
@@ -25,6 +30,26 @@ def test_weighted(spark):
     assert (r.n, r.total_weight, r.p50) == (3, 100, 30)
 
 
+@_settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(-(10**6), 10**18) | st.integers(-5, 5), st.integers(0, 9)), min_size=1, max_size=40))
+def test_ranks_equal_sorted_values(spark, pairs):
+    r = X.ranked(one(spark, pairs, "v long, w long"), "v", X.TENTHS, moments=False).first()
+    values = sorted(v for v, _ in pairs)
+    assert [r[k] for k in X.TENTHS] == [values[max(1, -(-t * len(values) // 1000)) - 1] for t in X.TENTHS.values()]
+    r = X.weighted_distribution(one(spark, pairs, "v long, w long"), "v", "w").first()
+    many = sorted(v for v, w in pairs for _ in range(w))
+    assert (r.n, r.excluded, r.total_weight) == (sum(w > 0 for _, w in pairs), sum(w == 0 for _, w in pairs), len(many))
+    assert [r[k] for k in X.TENTHS] == [many[max(1, -(-t * len(many) // 1000)) - 1] if many else 0 for t in X.TENTHS.values()]
+
+
+def test_ratio_order_is_exact(spark):
+    big = 2**62
+    pairs = [(big, big - 1), (big - 1, big - 2), (big - 2, big - 3), (1, 3), (2, 6), (0, 5), (7, 1), (333, 1000), (3333, 10000), (10, 3), (3, 1)]
+    got = X.ratio_order(one(spark, pairs, "u long, c long"), "u", "c").collect()
+    order = sorted({Fraction(u, c) for u, c in pairs})
+    assert all(r.place == order.index(Fraction(r.u, r.c)) for r in got)
+
+
 def test_histogram_and_ratio(spark):
     h = {r.bucket: r.n for r in X.log2_histogram(one(spark, [0, 1, 1, 2, 3, 4, 1024]), "v").collect()}
     assert h == {"0": 1, "2^0-2^1": 2, "2^1-2^2": 2, "2^2-2^3": 1, "2^10-2^11": 1}
