@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULL_ID = -(2**63)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -31,9 +32,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set (tests)."""
+    """The folder all executors share. Where none is set, a local one serves a session whose executors are threads of
+    the driver (tests); on a cluster it would not be shared, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="oreline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -70,13 +74,27 @@ def release(*tables: DataFrame) -> None:
             _drop(t.sparkSession, path)
 
 
+def by_part(df: DataFrame, bits: int, parts: int) -> DataFrame:
+    """Rows with a number ``part`` of so many bits, dealt evenly in its order over ``parts`` partitions and sorted."""
+    where = F.shiftright(F.col("part").cast("long") * parts, bits).cast("int")
+    return df.repartitionById(parts, where).sortWithinPartitions("part")
+
+
 def partitions(spark: SparkSession, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 # ---------------------------------------------------------------- documents as bytes
+def small_batches(spark: SparkSession) -> None:
+    """From now on at most 8 MB of rows go to Python at a time in this session, unless it has a bound of its own: by
+    default a batch may hold 64 MB of long documents."""
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH, "8m")
+
+
 def doc_bytes(df: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``__id``, ``__text`` (binary, never null) and the columns named in ``keep``."""
+    small_batches(df.sparkSession)
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text"),

@@ -40,7 +40,7 @@ from oreline.llm import common as C
 from oreline.llm.graph import components as connected
 
 SLICES = 3  #: passes over the n-grams when they are counted
-BLOCK = 1_000_000  #: entries packed at a time
+BLOCK = 600_000  #: entries packed at a time
 RUN = 4_000_000  #: n-grams counted at a time when frequent ones are looked for
 FREQUENT_SHARE = 1024  #: an n-gram is frequent in one of so many documents
 LEADERS = 4  #: leaders a class is compared with in a star round, at most
@@ -213,8 +213,8 @@ def _count_slice(docs: DataFrame, sets: Sets, hot_b, slice_no: int, bits: int, p
         if size:
             yield flush()
 
-    dealt = C.doc_bytes(docs).mapInArrow(deal, packed).repartition(parts, "part").sortWithinPartitions("part")
-    return C.materialize(dealt.mapInArrow(count, packed), "jj-counts")
+    dealt = C.doc_bytes(docs).mapInArrow(deal, packed)
+    return C.materialize(C.by_part(dealt, bits, parts).mapInArrow(count, packed), "jj-counts")
 
 
 def classes(docs: DataFrame, sets: Sets, hot_b=None) -> DataFrame:
@@ -244,7 +244,7 @@ def columns(docs: DataFrame, own: DataFrame, sets: Sets, hot_b) -> DataFrame:
     """The part of the incidence matrix that decides about links, written: ``h``, ``cls``, ``n`` (set size), ``p`` (place of the
     n-gram in the set's order), ``lone`` (share of n-grams that no other class has)."""
     parts = C.partitions(docs.sparkSession)
-    bits = min(16, max(8, int(8 * parts - 1).bit_length()))
+    bits = min(16, max(8, int(2 * parts - 1).bit_length()))
     counts = [_count_slice(docs, sets, hot_b, s, bits, parts) for s in range(SLICES)]
     none = F.lit(None).cast("binary")
     info = own.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("n_hot").alias("n_hot"), F.max("hot").alias("hot"))
@@ -280,8 +280,7 @@ def columns(docs: DataFrame, own: DataFrame, sets: Sets, hot_b) -> DataFrame:
                 ["h", "cls", "n", "p", "lone"],
             )
 
-    dealt = rows.repartition(parts, "part").sortWithinPartitions("part")
-    out = C.materialize(dealt.mapInArrow(order, "h long, cls long, n int, p int, lone float"), "jj-columns")
+    out = C.materialize(C.by_part(rows, bits, parts).mapInArrow(order, "h long, cls long, n int, p int, lone float"), "jj-columns")
     C.release(*counts)
     return out
 
