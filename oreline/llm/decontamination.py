@@ -211,6 +211,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
     import pyarrow.compute  # noqa: F401
 
     spark = docs.sparkSession
+    C.small_batches(spark)
     for block in blocks(benchmark, seed):
         held = spark.sparkContext.broadcast(block)
 

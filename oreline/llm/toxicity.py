@@ -8,8 +8,13 @@ Every hit is looked at in a window of context: hits inside quotation marks or af
 reporting verb count apart from hits near a second-person pronoun, and a logistic regression
 on these counts gives the document's score.
 
+How many edits a term or stem allows follows from its length, and is less where words of clean training documents
+would be taken for it. Labelled documents hold few misspelled terms, so each one with a plain hit is also learned from
+with all its hits misspelled, under its own label.
+
 Defined results: a null or empty text has no hits and gets the score of a text without hits;
-repeated rows each get a row; an empty table gives an empty result; extra columns are ignored
+repeated rows each get a row with equal scores; a score of exactly the threshold is toxic; an empty table gives an empty result;
+a null doc_id is never learned from; a text of any length is read whole; extra columns, whatever their names, are ignored
 by :func:`score` and kept by :func:`reject`. One edit is one byte; ASCII case is ignored.
 Without any positive training label the lexicon is empty and all scores are 0.
 """
@@ -25,16 +30,14 @@ from pyspark.sql import functions as F
 
 from oreline.llm import common as C
 
-MAX_TERMS = 96  #: size of the lexicon
 SAMPLE_DOCS = 12_000  #: labelled documents read for training, at most about this many
 STEM_LENGTHS = (4, 5, 6, 7, 8)  #: prefixes tried as stems, in characters
+EVIDENCE = 0.01  #: share of toxic training documents that a term is in, at least
 PURITY = 20  #: documents with a term that are toxic, for one that is not, at least
 WINDOW = 60  #: bytes of context on either side of a hit
 REPORTING = ("said", "says", "wrote", "quoted", "called")
 SECOND_PERSON = ("you", "your", "du", "dein", "tu", "vous", "eres")
 N_FEATURES = 7
-SEEN = 10  #: training documents with a misspelled hit from which its weight is learned, if no clean one has it
-UNSEEN_LOGIT = 1.2  #: below that, one misspelled hit alone gives this log-odds
 
 
 # ---------------------------------------------------------------- automaton
@@ -89,11 +92,10 @@ def build(terms: dict[str, tuple[int, bool]]) -> Automaton:
     for b in range(256):
         low = b + 32 if 65 <= b <= 90 else b
         classes[b] = of.get(low, 0)
-    FULL = (-1, 0)  # a stem has matched; whatever follows is accepted
+    FULL = ((-1, 0),)  # a stem has matched; whatever follows is accepted
 
-    def close(items: dict[int, int]) -> tuple:
-        if any(n in ends and ends[n][1] and e == 0 for n, e in items.items()):
-            return (FULL,)
+    def close(items: dict[int, int], near: bool) -> tuple:
+        """State of trie nodes with their edits, and whether a stem with edits lies behind."""
         work = list(items.items())
         while work:
             n, e = work.pop()
@@ -101,13 +103,17 @@ def build(terms: dict[str, tuple[int, bool]]) -> Automaton:
                 if e + 1 <= limit[child] and items.get(child, 99) > e + 1:
                     items[child] = e + 1
                     work.append((child, e + 1))
-        return tuple(sorted(items.items()))
+        stems = [e for n, e in items.items() if n in ends and ends[n][1] and e <= ends[n][0]]
+        if stems and min(stems) == 0:
+            return (FULL, False)
+        return (tuple(sorted(items.items())), near or bool(stems))
 
-    first = close({0: 0})
+    first = close({0: 0}, False)
     number, todo, rows, accept = {first: 1}, [first], [[0] * (len(symbols) + 1)], [0]
     while todo:
-        at = todo.pop(0)
-        good = 0
+        state = todo.pop(0)
+        at, near = state
+        good = 2 if near else 0
         for n, e in at:
             if n == -1 or (n in ends and e == 0):
                 good = 1
@@ -115,8 +121,8 @@ def build(terms: dict[str, tuple[int, bool]]) -> Automaton:
                 good = 2
         row = []
         for sym in [None, *symbols]:
-            if at == (FULL,):
-                nxt = (FULL,)
+            if at == FULL:
+                nxt = state
             else:
                 items: dict[int, int] = {}
                 for n, e in at:
@@ -126,7 +132,7 @@ def build(terms: dict[str, tuple[int, bool]]) -> Automaton:
                             items[child] = cost
                     if e + 1 <= limit[n] and items.get(n, 99) > e + 1:  # a byte too many
                         items[n] = e + 1
-                nxt = close(items) if items else ()
+                nxt = close(items, near) if items or near else None
             if nxt and nxt not in number:
                 number[nxt] = len(number) + 1
                 todo.append(nxt)
@@ -192,24 +198,74 @@ def _term_rows(batches):
     schema = pa.schema([("y", pa.int32()), ("sig", pa.int64()), ("terms", pa.list_(pa.string()))])
     for b in batches:
         y = b.column(b.schema.get_field_index("__y")).to_numpy()
-        rows: dict[str, list] = {"y": [], "sig": [], "terms": []}
-        for r0, _, _, data, offs in C.chunks(b):
-            d, v = C.shingles(data, offs)
+        for r0, r1, _, data, offs in C.chunks(b, 1 << 18):
+            vals, at = C.sets(*C.shingles(data, offs), len(offs) - 1)
             least = np.zeros(len(offs) - 1, np.uint64)
-            vals, at = C.sets(d, v, len(offs) - 1)
             some = np.diff(at) > 0
             least[some] = vals[at[:-1][some]]
             starts, ends, first = C.words(data, offs)
             s, e = C.trim(data, starts, ends) if len(starts) else (starts, ends)
-            raw = data.tobytes()
+            raw, terms = data.tobytes(), []
             for i in range(len(offs) - 1):
-                found = {raw[a:b2].decode("utf-8", "ignore").lower() for a, b2 in zip(s[first[i] : first[i + 1]].tolist(), e[first[i] : first[i + 1]].tolist(), strict=True)}
-                found = {w for w in found if 3 <= len(w) <= 24}
-                stems = {w[:n] + "*" for w in found for n in STEM_LENGTHS if len(w) > n}
-                rows["y"].append(int(y[r0 + i]))
-                rows["sig"].append(int(least[i].astype(np.int64)))
-                rows["terms"].append(sorted(found | stems))
-        yield pa.RecordBatch.from_pydict(rows, schema=schema)
+                found = {raw[a:b2].lower() for a, b2 in zip(s[first[i] : first[i + 1]].tolist(), e[first[i] : first[i + 1]].tolist(), strict=True) if b2 > a}
+                found = {w.decode("utf-8", "ignore").lower() for w in found}
+                terms.append(sorted(found | {w[:n] + "*" for w in found for n in STEM_LENGTHS if len(w) > n}))
+            yield pa.RecordBatch.from_arrays([pa.array(y[r0:r1], pa.int32()), pa.array(least.view(np.int64)), pa.array(terms, schema.field("terms").type)], schema=schema)
+
+
+def prefix_distances(term: str, word: str) -> list[int]:
+    """Edits between ``term`` and each prefix of ``word``, in bytes."""
+    row = list(range(len(word.encode()) + 1))
+    for i, x in enumerate(term.encode(), 1):
+        new = [i]
+        for j, y in enumerate(word.encode(), 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row
+
+
+def tolerances(terms: dict[str, tuple[int, bool]], bad: dict[str, int], near: list[tuple[str, int]]) -> dict[str, tuple[int, bool]]:
+    """``terms`` with no more edits than words of clean documents allow: those taken for a term (``near``: word, clean
+    documents) must be in fewer than one for ``PURITY`` toxic documents that the term itself is in."""
+    out = {}
+    for t, (k, stem) in terms.items():
+        clean = [0] * (k + 1)
+        for w, n in near:
+            row = prefix_distances(t, w)
+            d = min(row) if stem else row[-1]
+            for e in range(max(d, 1), k + 1):
+                clean[e] += n
+        while k and clean[k] * PURITY >= bad.get(t + "*" * stem, 0):
+            k -= 1
+        out[t] = (k, stem)
+    return out
+
+
+def misspell(auto: Automaton, terms: dict[str, tuple[int, bool]], data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents with exact hits, one edit made in each hit that allows it: (document numbers, bytes, offsets)."""
+    starts, ends, first = C.words(data, offs)
+    if not len(starts):
+        return np.zeros(0, np.int64), data[:0], np.zeros(1, np.int64)
+    s, e = C.trim(data, starts, ends)
+    hit = np.flatnonzero(auto.run(data, s, e) == 1)
+    doc = np.searchsorted(first, hit, "right") - 1
+    raw, who, texts = data.tobytes(), [], []
+    for d in np.unique(doc).tolist():
+        at, parts, changed = int(offs[d]), [], False
+        for w in hit[doc == d].tolist():
+            word = raw[s[w] : e[w]].lower()
+            mine = [t.encode() for t, (k, stem) in terms.items() if k and (word.startswith(t.encode()) if stem else word == t.encode())]
+            if mine:
+                n = len(max(mine, key=len))
+                x = (int(w) * 2654435761 + d) % (1 << 32)
+                i, kind = 1 + x % max(1, n - 2), x // 65536 % 3
+                edited = word[:i] + (b"*" + word[i + 1 :], word[i + 1 :], word[i : i + 1] + word[i:])[kind]
+                parts += [raw[at : s[w]], edited]
+                at, changed = int(e[w]), True
+        if changed:
+            who.append(d)
+            texts.append(b"".join([*parts, raw[at : offs[d + 1]]]))
+    return np.array(who, np.int64), np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, exclude_fold: int = 1, folds: int = 3) -> Model:
@@ -225,12 +281,15 @@ def fit(docs: DataFrame, labels: DataFrame, exclude_fold: int = 1, folds: int =
     rows = rows.groupBy("sig", "y").agg(F.min_by("terms", F.size("terms")).alias("terms"))  # one of a group of near copies
     rows = C.materialize(rows, "toxterms")
     n_bad = rows.where("y = 1").count()
-    need = max(4, int(0.01 * n_bad))
+    need = max(4, int(EVIDENCE * n_bad))
     stats = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    stats = stats.where((F.col("bad") >= need) & (F.col("good") * PURITY < F.col("bad")))
-    got = [(r["term"], r["bad"]) for r in stats.orderBy(F.desc("bad"), "term").limit(4 * MAX_TERMS).collect()]
+    stats = C.materialize(stats, "toxstats")
+    # a document has a bounded number of terms on average, so no more than 1 / EVIDENCE as many are in so many documents
+    got = [(r["term"], r["bad"]) for r in stats.where((F.col("bad") >= need) & (F.col("good") * PURITY < F.col("bad"))).orderBy(F.desc("bad"), "term").collect()]
     terms = choose(got)
-    auto = build({t: (k, s) for t, (k, s) in terms.items()})
+    near = _taken(stats.where("good > 0 and term not like '%*'"), build(terms))
+    terms = tolerances(terms, dict(got), near)
+    auto = build(terms)
     model = Model(terms, auto)
 
     def feats(batches):
@@ -238,21 +297,38 @@ def fit(docs: DataFrame, labels: DataFrame, exclude_fold: int = 1, folds: int =
         for b in batches:
             y = b.column(b.schema.get_field_index("__y")).to_numpy()
             for r0, r1, _, data, offs in C.chunks(b):
-                yield pa.RecordBatch.from_arrays([pa.array(y[r0:r1], pa.int32()), pa.array(features(auto, data, offs).tolist(), pa.list_(pa.float64()))], schema=schema)
+                x = features(auto, data, offs)
+                who, data2, offs2 = misspell(auto, terms, data, offs)
+                x2 = features(auto, data2, offs2)
+                y2 = y[r0:r1][who]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([y[r0:r1], y2]), pa.int32()), pa.array([*x.tolist(), *x2.tolist()], pa.list_(pa.float64()))], schema=schema)
 
     pts = train.mapInArrow(feats, "y int, x array<double>").collect()
     if pts and any(p["y"] for p in pts):
         x, y = np.array([p["x"] for p in pts]), np.array([p["y"] for p in pts], float)
-        model.weights = logistic(x, y)
-        if (x[:, 6] > 0).sum() < SEEN and not ((x[:, 6] > 0) & (x[:, 5] == 0) & (y == 0)).any():
-            model.weights[6] = max(0.0, UNSEEN_LOGIT - model.weights[-1])
+        order = np.lexsort((*x.T, y))  # rows arrive in any order
+        model.weights = logistic(x[order], y[order])
     else:
         model.weights = np.append(np.zeros(N_FEATURES), -40.0)
     return model
 
 
+def _taken(words: DataFrame, auto: Automaton) -> list[tuple[str, int]]:
+    """Words (``term``, ``good``) that the automaton takes for misspelled terms."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, n, data, offs in C.chunks(b):
+                hit = np.flatnonzero(auto.run(data, offs[:-1], offs[1:]) == 2)
+                raw = data.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw[offs[i] : offs[i + 1]].decode() for i in hit.tolist()], pa.string()), pa.array(n[hit])], ["term", "n"])
+
+    got = words.select(F.col("good").alias("__id"), F.col("term").cast("binary").alias("__text")).mapInArrow(run, "term string, n long")
+    return [(r["term"], r["n"]) for r in got.orderBy("term").collect()]
+
+
 def choose(ranked: list[tuple[str, int]]) -> dict[str, tuple[int, bool]]:
-    """Terms and stems: a stem stands for its words if they are several and none is most of it;
+    """Terms and stems with the edits their lengths allow: a stem stands for its words if they are several and none is most of it;
     of nested stems the longest is kept that covers nearly as many documents as the shortest."""
     count = dict(ranked)
     stems: list[str] = []
@@ -265,10 +341,8 @@ def choose(ranked: list[tuple[str, int]]) -> dict[str, tuple[int, bool]]:
         whole = max([m for w, m in ranked if not w.endswith("*") and w.startswith(t[:-1])], default=0)
         if whole < 0.6 * n:
             stems.append(t)
-    out: dict[str, tuple[int, bool]] = {s[:-1]: (0, True) for s in sorted(stems, key=lambda s: -count[s])[:MAX_TERMS]}
+    out: dict[str, tuple[int, bool]] = {s[:-1]: (edits_for(s[:-1]), True) for s in sorted(stems, key=lambda s: -count[s])}
     for t, _ in ranked:
-        if len(out) >= MAX_TERMS:
-            break
         if not t.endswith("*") and t not in out and not any(t.startswith(s[:-1]) for s in stems):
             out[t] = (edits_for(t), False)
     return out
@@ -308,10 +382,10 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str
         for b in batches:
             text = pa.compute.fill_null(b.column(b.schema.get_field_index(text_col)).cast(pa.large_binary()), b"")
             view = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), text], ["__id", "__text"])
-            keep = [model.score(data, offs) < threshold for _, _, _, data, offs in C.chunks(view)]
-            if keep:
-                yield b.filter(pa.array(np.concatenate(keep)))
+            for r0, r1, _, data, offs in C.chunks(view):
+                yield b.slice(r0, r1 - r0).filter(pa.array(model.score(data, offs) < threshold))
 
     import pyarrow.compute  # noqa: F401
 
+    C.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
