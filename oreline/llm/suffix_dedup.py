@@ -10,10 +10,13 @@
    first in their block are then compared across blocks by digest.
 4. Every occurrence of a fragment but the first is repeated as a whole.
 
+Which bytes go where: a fragment's windows are told apart by its block's suffix array; whole equal fragments are one row
+by two 64-bit hashes of their bytes from different seeds before that, so that exact copies, however many, make no large block.
+
 Windows never cross documents. Positions are ordered by (doc_id, start). Defined results: a null or
 empty text has nothing to remove; texts shorter than ``size`` stay whole; rows that repeat a
 doc_id do not come before each other, so neither removes the other; a null doc_id comes before all
-others; extra columns are ignored; an empty table gives an empty result. The bytes of a very long
+others; extra columns are ignored, whatever their names (kept by :func:`rewrite`); an empty table gives an empty result. The bytes of a very long
 text are looked at in overlapping pieces.
 """
 
@@ -89,10 +92,16 @@ def runs(data: np.ndarray, offs: np.ndarray, size: int = SIZE, gram: int = GRAM)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _key(docs: DataFrame) -> F.Column:
+    """A key for the id and the text of a row: the id itself, where no two rows have the same."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID))
+    repeated = docs.select(number.alias("__id")).groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return number if repeated.isEmpty() else F.xxhash64(number, F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``__doc`` (the id), ``__id`` (a key for the id and the text together) and ``__text``."""
-    d = C.doc_bytes(docs)
-    return d.select(F.col("__id").alias("__doc"), F.xxhash64("__id", "__text").alias("__id"), "__text")
+    """``__doc`` (the id), ``__id`` (the key of :func:`_key`) and ``__text``."""
+    return C.doc_bytes(docs, _key(docs).alias("__key")).select(F.col("__id").alias("__doc"), F.col("__key").alias("__id"), "__text")
 
 
 def _map(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -108,11 +117,10 @@ def _map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``__id`` (key of :func:`_keyed`) and ``spans``, the array of its repeated ranges (lo, hi), unordered."""
-    spark = docs.sparkSession
+def spans(keyed: DataFrame, size: int = SIZE) -> DataFrame:
+    """``__id`` (key of :func:`_keyed`, whose rows are given) and ``spans``, the array of its repeated ranges (lo, hi), unordered."""
+    spark = keyed.sparkSession
     parts = C.partitions(spark)
-    keyed = _keyed(docs)
 
     def count(b, r0, r1, ids, data, offs):
         h, n = np.unique(runs(data, offs, size)[1], return_counts=True)
@@ -140,7 +148,8 @@ def spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
         return {"h": h, "frag": frag, "doc": doc[d], "__id": ids[d], "s": s, "w": w}
 
     occ = _map(keyed.join(cand, "__id"), cut, "h long, frag binary, doc long, __id long, s int, w int")
-    occ = C.materialize(occ.withColumns({"f1": F.xxhash64("frag"), "f2": F.xxhash64("frag", F.lit(7))}), "sa-occ")
+    # f1 and f2 are hashes of the same bytes from different seeds, 128 bits together
+    occ = C.materialize(occ.withColumns({"f1": F.xxhash64("frag"), "f2": F.xxhash64(F.lit(7), "frag")}), "sa-occ")
     C.release(cand, repeated)
     frags = occ.groupBy("h", "f1", "f2").agg(
         F.min(F.struct("doc", "s")).alias("first"), F.max("frag").alias("frag"), F.count(F.lit(1)).alias("n")
@@ -309,7 +318,8 @@ def digest(docs: DataFrame, size: int = SIZE) -> DataFrame:
             "kept_sha256": [hashlib.sha256(x[0]).hexdigest() for x in kept],
         }
 
-    return _map(_keyed(docs).join(spans(docs, size), "__id", "left"), run, "__doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    keyed = _keyed(docs)
+    return _map(keyed.join(spans(keyed, size), "__id", "left"), run, "__doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def rewrite(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -318,25 +328,29 @@ def rewrite(docs: DataFrame, size: int = SIZE) -> DataFrame:
     of which nothing is left. A text without repeats, null or empty included, is returned as it is."""
     import pyarrow.compute  # noqa: F401
 
-    cols = docs.columns
-    full = docs.withColumn("__none", F.col("text").isNull()).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    full = full.withColumn("__id", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)), "__text"))
-    joined = full.join(spans(docs, size), "__id", "left").drop("text")
-    ddl = T.StructType([f for f in joined.schema if f.name not in ("__text", "spans", "__id")] + [T.StructField("__new", T.StringType()), T.StructField("__cut", T.LongType())])
+    keyed = _keyed(docs)
+    whole = docs.select(_key(docs).alias("__id"), C.row(docs).alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("__text"))
+    joined = whole.join(spans(keyed, size), "__id", "left")
+    ddl = T.StructType([joined.schema["__row"], T.StructField("__new", T.StringType()), T.StructField("__cut", T.LongType())])
     out = C._arrow_schema(ddl)
 
     def run(batches):
         for b in batches:
             for r0, r1, _, data, offs in C.chunks(b):
                 kept = list(_kept(b, r0, r1, data, offs))
-                new = [x[0].decode("utf-8", "ignore") for x in kept]
-                view = b.slice(r0, r1 - r0)
-                arrays = [view.column(view.schema.get_field_index(f.name)) for f in out if f.name not in ("__new", "__cut")]
-                arrays += [pa.array(new, pa.string()), pa.array([x[1] for x in kept], pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(a).cast(f.type) for a, f in zip(arrays, out, strict=True)], schema=out)
-
-    null_text = joined.mapInArrow(run, ddl).where("not (__cut > 0 and __new = '')").withColumn("text", F.when(~F.col("__none"), F.col("__new")))
-    if "n_chars" in cols:
-        kind = docs.schema["n_chars"].dataType
-        null_text = null_text.withColumn("n_chars", F.when(F.col("__cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return null_text.select(*cols)
+                row = b.column(b.schema.get_field_index("__row")).slice(r0, r1 - r0)
+                new = pa.array([x[0].decode("utf-8", "ignore") for x in kept], pa.string())
+                yield pa.RecordBatch.from_arrays([row.cast(out.field(0).type), new, pa.array([x[1] for x in kept], pa.int64())], schema=out)
+
+    cut = joined.mapInArrow(run, ddl).where("not (__cut > 0 and __new = '')")
+    changed = F.col("__cut") > 0
+
+    def column(name: str) -> F.Column:
+        old = F.col("__row").getField(name)
+        if name == "text":
+            return F.when(changed, F.col("__new")).otherwise(old).cast(docs.schema[name].dataType).alias(name)
+        if name == "n_chars":
+            return F.when(changed, F.length("__new")).otherwise(old).cast(docs.schema[name].dataType).alias(name)
+        return old.alias(name)
+
+    return cut.select(*map(column, docs.columns))
