@@ -3,7 +3,7 @@
 Pieces are counted by length: at most ``capacity`` numbers, whatever the corpus. On this histogram the
 driver makes the plan:
 
-* lengths above ``capacity / 8`` are large. In descending order they are dealt into groups of equal
+* lengths above a share of ``capacity`` are large. In descending order they are dealt into groups of equal
   cardinality, and each counts as the greatest length of its group;
 * for these few sizes, configurations (multisets that fit one bin) are chosen by the linear
   programme of the cutting-stock problem, with columns generated by a knapsack; its solution is rounded
@@ -11,18 +11,23 @@ driver makes the plan:
 * actual lengths take the places of their group's size, in descending order, which leaves gaps;
 * small lengths go, largest first, where they fit best.
 
+Several shares and numbers of groups are tried (``TRIES``) and the plan with the fewest bins is taken. With a share of one
+half, every large length has a bin of its own and the others go where they fit best, as in best-fit
+decreasing, so the plan taken never needs more bins than that.
+
 Bins with equal contents are one class with a multiplicity, so the plan stays small. Executors
 number the pieces of each length (salted, so that a length with many pieces is no hot spot) and look
 up their bin and offset by length and number.
 
-Defined results: a null or empty text is the end token alone; repeated rows are packed each on
+Defined results: a null or empty text is the end token alone; repeated rows, and rows with a null doc_id, are packed each on
 its own (their pieces are told apart by a number); an empty table gives an empty result; extra
-columns are ignored; a text of any length is cut into pieces of ``capacity``, of which only
-the first may be shorter.
+columns are ignored, whatever their names; a text of any length is cut into pieces of ``capacity``, of which only
+the first may be shorter; pieces of one length take their places in the order of salt, id and row.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import os
 import zlib
@@ -38,10 +43,9 @@ from oreline.llm import common as C
 
 CAPACITY = 2048
 END = 0  #: id that ends every document
-GROUPS = 48  #: size groups of large lengths
-LARGE = 8  #: lengths above capacity / LARGE are large
-SALT_ROWS = 5_000  #: one salt for about so many pieces,
-MAX_SALTS = 1_024  #: but no more salts than this
+TRIES = ((8, 48), (8, 128), (4, 128), (2, 48))  #: (lengths above capacity / share are large, size groups of them)
+SALT_ROWS = 5_000  #: pieces of one length that are numbered together, about,
+CELLS = 1_000_000  #: or more of them, so that their groups are about so many at most
 
 
 # ---------------------------------------------------------------- tokens
@@ -49,26 +53,14 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """text -> ids. A byte-level BPE file of the tokenizers library; where the same vocabulary lies
-    beside it as ranks, the faster library reads that and gives the same ids."""
+    """texts -> lists of ids, by a byte-level BPE file of the tokenizers library."""
     if path not in _encoders:
-        ranks = os.path.splitext(path)[0] + ".tiktoken"
-        if os.path.exists(ranks):
-            import base64
-
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            enc = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-            _encoders[path] = enc.encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
-            _encoders[path] = lambda text: tok.encode(text, add_special_tokens=False).ids
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        _encoders[path] = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     return _encoders[path]
 
 
@@ -81,11 +73,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         encode = encoder(path)
         for b in batches:
             row = b.column(b.schema.get_field_index("__row")).to_numpy()
-            for r0, r1, ids, data, offs in C.chunks(b):
+            for r0, r1, ids, data, offs in C.chunks(b, 1 << 19):
                 raw = data.tobytes()
                 cols: list[list] = [[] for _ in schema]
-                for i in range(r1 - r0):
-                    tokens = np.array([*encode(raw[offs[i] : offs[i + 1]].decode("utf-8", "replace")), END], "<u4")
+                for i, got in enumerate(encode([raw[a:z].decode("utf-8", "replace") for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])):
+                    tokens = np.array([*got, END], "<u4")
                     n = -(-len(tokens) // capacity)
                     cuts = [0, *range(len(tokens) - capacity * (n - 1), len(tokens) + 1, capacity)]
                     for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -144,37 +136,47 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
 
 
 def knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits, by dynamic programming over capacity."""
-    order = np.argsort(sizes)
-    small, worth = np.array(sizes)[order], np.asarray(values)[order]
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        n = int(np.searchsorted(small, c, "right"))
-        if n:
-            got = best[c - small[:n]] + worth[:n]
-            i = int(got.argmax())
-            if got[i] > best[c] + 1e-12:
-                best[c], last[c] = got[i], order[i]
-    col, c = np.zeros(len(sizes)), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            col[last[c]] += 1
-            c -= sizes[last[c]]
-    return float(best[capacity]), col
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in order, bins) of every class of bins for pieces counted by length."""
+    """The most valuable multiset of sizes that fits, by dynamic programming over the sizes."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for i in range(len(sizes)):
+        s = sizes[i]
+        if values[i] <= 1e-12:
+            continue
+        for lo in range(s, capacity + 1, s):  # a unit more in every step
+            hi = min(lo + s, capacity + 1)
+            got = best[lo - s : hi - s] + values[i]
+            more = got > best[lo:hi] + 1e-12
+            best[lo:hi][more] = got[more]
+            last[lo:hi][more] = i
+    col, c = np.zeros(len(sizes)), int(best.argmax())
+    value = float(best[c])
+    while c > 0 and last[c] >= 0:
+        col[last[c]] += 1
+        c -= sizes[last[c]]
+    return value, col
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in order, bins) of every class of bins for pieces counted by length: the best of ``TRIES``."""
     counts = {k: v for k, v in counts.items() if v}
+    bound = max(-(-sum(k * n for k, n in counts.items()) // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    for share, groups in TRIES:
+        got = _plan(counts, capacity, share, groups)
+        if best is None or sum(n for _, n in got) < sum(n for _, n in best):
+            best = got
+        if sum(n for _, n in best) <= bound:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, share: int, groups: int) -> list[tuple[tuple[int, ...], int]]:
+    """One plan, with lengths above ``capacity / share`` in ``groups`` groups."""
     classes: list[tuple[tuple[int, ...], int]] = []
     if counts.get(capacity):
         classes.append(((capacity,), counts[capacity]))
-    large = sorted((k for k in counts if capacity // LARGE < k < capacity), reverse=True)
-    small = sorted((k for k in counts if k <= capacity // LARGE), reverse=True)
+    large = sorted((k for k in counts if capacity // share < k < capacity), reverse=True)
+    small = sorted((k for k in counts if k <= capacity // share and k < capacity), reverse=True)
     total = sum(counts[k] for k in large)
     size_of, demand, members = [], [], []
     per, room = -(-total // groups) if total else 1, 0
@@ -222,8 +224,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
             bins -= run
             open_bins[capacity - sum(actual)].append((tuple(actual), run))
     gaps = sorted(open_bins)
-    import bisect
-
+    gaps_set = set(gaps)
     def put(rest: int, item: tuple[tuple[int, ...], int]) -> None:
         if rest not in open_bins or not open_bins[rest]:
             if rest not in gaps_set:
@@ -231,7 +232,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                 gaps_set.add(rest)
         open_bins[rest].append(item)
 
-    gaps_set = set(gaps)
     for k in small:
         n = counts[k]
         while n:
@@ -250,8 +250,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                 break
             gap = gaps[at]
             have, bins = open_bins[gap].pop()
-            each = max(1, min(gap // k, n // bins)) if bins <= n else 1
-            take = min(bins, n // each if each > 1 else n)
+            each = min(gap // k, n)  # a bin is filled before the next one
+            take = min(bins, n // each)
             if take < bins:
                 open_bins[gap].append((have, bins - take))
             n -= take * each
@@ -278,19 +278,22 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         base += bins
     lens, first, seq, off = (np.array(x, np.int64) for x in zip(*sorted(rows), strict=True)) if rows else (np.zeros(0, np.int64),) * 4
     begin = np.searchsorted(lens, np.arange(capacity + 2))
-    salts = min(MAX_SALTS, max(1, sum(counts.values()) // SALT_ROWS))
     table = docs.sparkSession.sparkContext.broadcast((first, seq, off, begin))  # its size follows the number of classes
 
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("__id", "row", "piece"), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # <= capacity x salts rows
-    ahead: dict[tuple[int, int], int] = {}
-    run = defaultdict(int)
-    for r in sorted(sizes, key=lambda r: (r["length"], r["salt"])):
-        ahead[int(r["length"]), r["salt"]] = run[r["length"]]
-        run[r["length"]] += r["n"]
-    start = np.zeros((capacity + 1) * salts, np.int64)
-    for (k, s), n in ahead.items():
-        start[k * salts + s] = n
+    # the pieces of a length are dealt over cells by a hash; a cell's first number follows from the cells before it
+    rows_each = max(SALT_ROWS, sum(counts.values()) // CELLS)
+    known = np.array(sorted(counts), np.int64)
+    salts = np.array([-(-counts[int(k)] // rows_each) for k in known], np.int64)
+    cell0 = np.cumsum(salts) - salts
+    if not len(known):
+        return cut.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    cells = F.broadcast(docs.sparkSession.createDataFrame([(int(k), int(c), int(n)) for k, c, n in zip(known, cell0, salts, strict=True)], "length long, cell0 long, salts long"))  # <= capacity rows
+    salted = cut.join(cells, "length").withColumn("cell", F.col("cell0") + F.pmod(F.xxhash64("__id", "row", "piece"), F.col("salts"))).select(*cut.columns, "cell")
+    sizes = salted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()  # <= capacity + CELLS rows
+    count = np.zeros(int(salts.sum()), np.int64)
+    count[sizes["cell"].to_numpy()] = sizes["n"].to_numpy()
+    start = np.cumsum(count) - count
+    start -= np.repeat(start[cell0], salts)
     start_b = docs.sparkSession.sparkContext.broadcast(start)
     ddl = T._parse_datatype_string("__id long, row long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     schema = C._arrow_schema(ddl)
@@ -301,7 +304,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         seen: dict[int, int] = {}
         for b in batches:
             k = b.column(4).to_numpy()
-            key = k * salts + b.column(b.schema.get_field_index("salt")).to_numpy()
+            key = b.column(b.schema.get_field_index("cell")).to_numpy()
             order = np.argsort(key, kind="stable")
             ks = key[order]
             head = np.flatnonzero(np.append(True, ks[1:] != ks[:-1])) if len(ks) else np.zeros(0, np.int64)
@@ -316,5 +319,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             arrays = [b.column(i) for i in range(6)] + [pa.array(seq[at] + number - first[at]), pa.array(off[at])]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
-    dealt = salted.repartition(C.partitions(docs.sparkSession), "length", "salt").sortWithinPartitions("length", "salt", "__id", "row", "piece")
+    dealt = salted.repartition(C.partitions(docs.sparkSession), "cell").sortWithinPartitions("cell", "__id", "row", "piece")
     return dealt.mapInArrow(place, ddl)
