@@ -37,6 +37,8 @@ STREAMS, WINDOW, RATE = 64, 24, 0.01
 SHARD_STREAMS = 512  #: streams of a shard: more of them make a token cheaper
 SHARD_BYTES = 16 << 20  #: text a shard holds before it trains on it
 SCORE_WINDOW = 48
+SCORE_ROWS = 100_000  #: states whose outputs are computed together, about
+SCORE_BYTES = 32 << 20  #: text whose documents are scored together, about
 END = np.uint64(0xE4D0E4D0E4D0E4D1)  #: hash of the end token
 
 
@@ -294,13 +296,15 @@ def score_batch(net: Network, word: np.ndarray, ending: np.ndarray, at: np.ndarr
     order = np.argsort(-n, kind="stable")
     starts, lens = at[:-1][order], n[order]
     out = np.zeros(len(n))
-    x = np.empty(len(word), np.int64)
+    x = np.empty(len(word), np.int32)
     x[1:] = net.inputs(word[:-1], ending[:-1])
     x[at[:-1]] = net.begin
     h = np.zeros((len(n), HIDDEN), np.float32)
-    for lo in range(0, int(lens[0]) if len(lens) else 0, SCORE_WINDOW):
+    lo, longest = 0, int(lens[0]) if len(lens) else 0
+    while lo < longest:
         states, targets, owners = [], [], []
-        for t in range(lo, min(lo + SCORE_WINDOW, int(lens[0]))):
+        size = min(SCORE_WINDOW, max(1, SCORE_ROWS // len(h)))
+        for t in range(lo, min(lo + size, longest)):
             live = int(np.searchsorted(-lens, -t, "left"))
             h = h[:live]
             i = starts[:live] + t
@@ -310,6 +314,7 @@ def score_batch(net: Network, word: np.ndarray, ending: np.ndarray, at: np.ndarr
             owners.append(order[:live])
         lp = net.log_probs(np.concatenate(states), np.concatenate(targets))
         out += np.bincount(np.concatenate(owners), lp, len(n))
+        lo += size
     return out
 
 
@@ -337,13 +342,25 @@ def score(docs: DataFrame, in_training: F.Column) -> DataFrame:
 
     def run(batches):
         v, net = held.value, model.value
+        waiting: list[tuple[dict, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush():
+            """Score the documents that wait together: a step costs little more for many documents than for one."""
+            at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, _, _, a in waiting]))])
+            lp = score_batch(net, np.concatenate([w for _, w, _, _ in waiting]), np.concatenate([e for _, _, e, _ in waiting]), at) / np.log(10)
+            done = 0
+            for cols, _, _, a in waiting:
+                cols["own"] = pa.array(lp[done : done + len(a) - 1])
+                done += len(a) - 1
+                yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema], schema=schema)
+
+        size = 0
         for b in batches:
-            for _, _, ids, data, offs in C.chunks(b, 2 * C.CHUNK):
+            for _, _, ids, data, offs in C.chunks(b):
                 h, e, at = tokens(data, offs)
                 c, w = look_up(v, h)
-                doc = np.repeat(np.arange(len(ids)), np.diff(at))
                 n = len(ids)
-                lp = score_batch(net, w, e, at)
+                doc = np.repeat(np.arange(n), np.diff(at))
                 known, last = c >= 0, w < 0
                 logs = np.where(known, np.log10(np.maximum(c, 0) + 0.5), 0.0)
                 rare = np.flatnonzero(~known)
@@ -353,12 +370,18 @@ def score(docs: DataFrame, in_training: F.Column) -> DataFrame:
                 times = np.diff(np.append(first, len(order))).astype(np.int32)
                 cuts = np.searchsorted(doc[order][first], np.arange(n + 1)).astype(np.int32)
                 items = pa.StructArray.from_arrays([pa.array(h[order][first].view(np.int64)), pa.array(times)], fields=list(schema.field("rare").type.value_type))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(np.diff(at)), pa.array(np.bincount(doc, known, n).astype(np.int64)), pa.array(np.bincount(doc, last, n).astype(np.int64)),
-                     pa.array(lp / np.log(10)), pa.array(np.bincount(doc, logs, n)), pa.array(np.bincount(doc, logs * last, n)),
-                     pa.ListArray.from_arrays(pa.array(cuts), items, type=schema.field("rare").type)],
-                    schema=schema,
-                )
+                cols = {
+                    "__id": pa.array(ids), "n_tokens": pa.array(np.diff(at)), "n_known": pa.array(np.bincount(doc, known, n).astype(np.int64)), "n_last": pa.array(np.bincount(doc, last, n).astype(np.int64)),
+                    "frequent": pa.array(np.bincount(doc, logs, n)), "last": pa.array(np.bincount(doc, logs * last, n)),
+                    "rare": pa.ListArray.from_arrays(pa.array(cuts), items, type=schema.field("rare").type),
+                }
+                waiting.append((cols, w.astype(np.int16), e.astype(np.int16), at))
+                size += len(data)
+                if size > SCORE_BYTES:
+                    yield from flush()
+                    waiting, size = [], 0
+        if waiting:
+            yield from flush()
 
     part = C.materialize(base.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
     rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n")
