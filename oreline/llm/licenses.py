@@ -1,19 +1,19 @@
 """Licence scans: a trained paragraph classifier on word n-grams, confirmed by templates.
 
-The classifier is a multinomial logistic regression on the words and word pairs of a paragraph, with a class for
+The classifier is a multinomial logistic regression on the words and word pairs of a paragraph (a line), with a class for
 each licence family, one for licence-like text of no known family and one for other text. It is trained on the driver
 from public notice templates (whole, cut and perturbed), made-up licence-like sentences, and a bounded sample of
 the corpus's own paragraphs as other text; its temperature is fitted on examples left out of training, so the
 probability of the unknown class is calibrated. A prediction is confirmed if enough word pairs of one of the
 family's templates are in the paragraph, or enough of the paragraph's are in the template; one that is not confirmed becomes unknown.
 
-The main path is DataFrame expressions only. Paragraphs (lines) that hold no word of the vocabulary score as
-other text by construction and go no further; the n-grams of the rest meet their weights in a broadcast join with
-at most ``MAX_FEATURES`` rows for each class.
+The main path is DataFrame expressions only. Paragraphs that hold no n-gram of the model score as other text
+(the bias alone) and go no further; the n-grams of the rest meet their weights in a broadcast join with at most
+``MAX_FEATURES`` rows.
 
 Defined results: null or empty texts, and texts without licence-like lines, give no row; repeated rows give their
-rows again; a null doc_id stays null; extra columns are ignored; an empty table gives an empty result. A paragraph
-of any length is read whole.
+rows again; a null doc_id stays null; of families with equal probability the first in the list is taken; extra columns,
+whatever their names, are ignored; an empty table gives an empty result. A paragraph of any length is read whole.
 """
 
 from __future__ import annotations
@@ -64,7 +64,6 @@ def grams(ws: list[str]) -> list[str]:
 @dataclass
 class Model:
     classes: list[str]
-    vocabulary: list[str]  # words without which a paragraph is other text
     weights: dict[str, list[float]]  # n-gram -> a weight for each class
     bias: list[float]
     temperature: float
@@ -98,50 +97,69 @@ def fit(background: list[str], seed: int = 5) -> Model:
     licence = {w for texts in [*TEMPLATES.values(), UNKNOWN_TEMPLATES] for t in texts for w in words(t)}
     seen: dict[str, int] = {}
     for line in background:
-        for w in set(words(line)):
-            seen[w] = seen.get(w, 0) + 1
-    vocabulary = sorted(w for w in licence if len(w) > 2 and seen.get(w, 0) * 100 <= max(1, len(background)))
-    known = set(vocabulary)
-    data = [(ws, y) for ws, y in examples(background, seed) if y == OTHER or known & set(ws)]
-    classes = [*TEMPLATES, UNKNOWN, OTHER]
+        for g in set(grams(words(line))):
+            seen[g] = seen.get(g, 0) + 1
+    data = examples(background, seed)
     count: dict[str, int] = {}
     for ws, y in data:
         if y != OTHER:
             for g in set(grams(ws)):
-                if licence.issuperset(g.split()) and (" " in g or seen.get(g, 0) * 20 <= max(1, len(background))):
+                if licence.issuperset(g.split()) and seen.get(g, 0) * 20 <= max(1, len(background)):
                     count[g] = count.get(g, 0) + 1
-    feats = sorted(sorted(count, key=lambda g: (-count[g], g))[:MAX_FEATURES])
-    feats = [g for g in feats if count[g] >= 3 or g in known]
+    feats = sorted(g for g in sorted(count, key=lambda g: (-count[g], g))[:MAX_FEATURES] if count[g] >= 3)
     at = {g: i for i, g in enumerate(feats)}
-    x = np.zeros((len(data), len(feats)), np.float32)
-    for r, (ws, _) in enumerate(data):
-        for g in set(grams(ws)):
-            if g in at:
-                x[r, at[g]] = 1
-    y = np.array([classes.index(c) for _, c in data])
+    rows = [(sorted({at[g] for g in grams(ws) if g in at}), y) for ws, y in data]
+    rows = [(r, y) for r, y in rows if r or y == OTHER]
+    classes = [*TEMPLATES, UNKNOWN, OTHER]
+    y = np.array([classes.index(c) for _, c in rows])
     held = np.arange(len(y)) % 5 == 4
     k = len(classes)
+    x, xh = Sparse([r for (r, _), h in zip(rows, held, strict=True) if not h], len(feats)), Sparse([r for (r, _), h in zip(rows, held, strict=True) if h], len(feats))
     w, b = np.zeros((len(feats), k), np.float32), np.zeros(k, np.float32)
     b[-1] = 3.0
     weight = (1.0 / np.bincount(y, minlength=k).clip(1))[y].astype(np.float32)
     weight /= weight[~held].sum()
-    xt, yt, wt = x[~held], np.eye(k, dtype=np.float32)[y[~held]], weight[~held, None]
+    yt, wt = np.eye(k, dtype=np.float32)[y[~held]], weight[~held, None]
     mw, mb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(300):
-        z = xt @ w + b
+        z = x.times(w) + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - yt) * wt
-        mw = 0.9 * mw + xt.T @ g + 1e-5 * w
+        mw = 0.9 * mw + x.turned_times(g) + 1e-5 * w
         mb = 0.9 * mb + g.sum(0)
         w -= 4.0 * mw
         b -= 4.0 * mb
-    z, best = x[held] @ w + b, (np.inf, 1.0)
+    z, best = xh.times(w) + b, (np.inf, 1.0)
     for t in np.geomspace(0.3, 5, 40):  # calibration on what was left out
         q = z / t
         loss = float((np.log(np.exp(q - q.max(1, keepdims=True)).sum(1)) + q.max(1) - q[np.arange(len(q)), y[held]]).mean()) if held.any() else 0
         best = min(best, (loss, float(t)))
-    return Model(classes, vocabulary, {g: [round(float(v), 5) for v in w[i]] for g, i in at.items()}, [round(float(v), 5) for v in b], best[1])
+    return Model(classes, {g: [round(float(v), 5) for v in w[i]] for g, i in at.items()}, [round(float(v), 5) for v in b], best[1])
+
+
+class Sparse:
+    """A matrix of zeros and ones, by the columns of each row's ones."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.shape = (len(rows), width)
+        self.col = np.array([c for r in rows for c in r], np.int64)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.by_col = np.argsort(self.col, kind="stable")
+
+    @staticmethod
+    def _sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, values.shape[1]), np.float32)
+        if len(key):
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            out[key[at]] = np.add.reduceat(values, at, axis=0)
+        return out
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self._sums(w[self.col], self.row, self.shape[0])
+
+    def turned_times(self, g: np.ndarray) -> np.ndarray:
+        return self._sums(g[self.row[self.by_col]], self.col[self.by_col], self.shape[1])
 
 
 # ---------------------------------------------------------------- main path
@@ -160,18 +178,22 @@ def pair_array(ws: F.Column) -> F.Column:
 
 
 def sample_lines(docs: DataFrame) -> list[str]:
-    """At most ``SAMPLE_LINES`` lines of other text: those that do not speak of licences, by hash of the row."""
-    some = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("i", "line"))
-    some = some.where("length(line) > 0").where(~F.lower("line").rlike("licen|copyright|rights reserved|creative commons|public domain"))
-    got = some.select("line", F.xxhash64("line", F.lit(11)).alias("k")).orderBy("k", "line").limit(SAMPLE_LINES).select("line").collect()
-    return [r["line"] for r in got]
+    """At most ``SAMPLE_LINES`` different lines of other text, by hash: those that do not speak of licences. Lines are thinned
+    by their hash first, so that few of a large corpus are ordered; copies of a line count once."""
+    share = min(1.0, 8 * SAMPLE_LINES / max(1, docs.count()))
+    some = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).where("length(line) > 0")
+    some = some.withColumn("k", F.xxhash64("line", F.lit(11))).where(F.pmod("k", F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    some = some.where(~F.lower("line").rlike("licen|copyright|rights reserved|creative commons|public domain")).distinct()
+    return [r["line"] for r in some.orderBy("k", "line").limit(SAMPLE_LINES).select("line").collect()]
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each licence-like paragraph: ``doc_id``, paragraph, family, probability, similarity, confirmed."""
     spark = docs.sparkSession
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "line"))
-    lines = lines.withColumn("ws", word_array(F.col("line"))).where(F.exists("ws", lambda w: w.isin(model.vocabulary)))
+    single, double = [g for g in model.weights if " " not in g], [g for g in model.weights if " " in g]
+    lines = lines.withColumn("ws", word_array(F.col("line")))
+    lines = lines.where(F.exists("ws", lambda w: w.isin(single)) | F.exists(pair_array(F.col("ws")), lambda p: p.isin(double)))
     lines = lines.select("doc_id", "row", "paragraph", "ws", F.array_distinct(pair_array(F.col("ws"))).alias("pairs"))
     table = F.broadcast(_table(spark, [{"gram": g, "w": v} for g, v in model.weights.items()], "gram: string, w: array<double>"))
     terms = lines.select("doc_id", "row", "paragraph", "ws", "pairs", F.explode(F.concat(F.array_distinct("ws"), "pairs")).alias("gram")).join(table, "gram")
