@@ -5,8 +5,13 @@ both (least ratio of the unlabelled to the positive score density), and a small
 minimises the non-negative unbiased risk: the positive risk, plus the unlabelled negative risk less the
 positives' share of it, which is never let fall below zero.
 
-Defined results: a null or empty text is scored from all-zero statistics; repeated rows get equal scores; extra columns
-are ignored; an empty table gives an empty result; without any labelled positive all scores are the prior 0.5.
+Means, densities and the risk are taken over all unlabelled rows outside the held-out fold: their statistics are a written
+table. The network begins on the driver with a bounded part of them, then each shard goes over all its own
+rows against the (at most ``SAMPLE_POSITIVE``) positives, and the shards' weights are averaged by their rows.
+
+Defined results: a null or empty text is scored from all-zero statistics; repeated rows get equal scores; a score of exactly
+the threshold is good; a null doc_id is learned from as unlabelled text; a text of any length is read whole; extra columns,
+whatever their names, are ignored; an empty table gives an empty result; without any labelled positive all scores are the prior 0.5.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from pyspark.sql import functions as F
 from oreline.llm import common as C
 
 SAMPLE_POSITIVE = 8_000  #: labelled positives read for training, at most about this many
-SAMPLE_UNLABELLED = 16_000  #: unlabelled rows read for training, at most about this many
+WARM_UNLABELLED = 16_000  #: unlabelled rows the network begins with, at most about this many
+SHARD_ROWS = 20_000  #: unlabelled rows a shard holds before it goes over them
 HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 1024, 0.01
 N_FEATURES = 22
 
@@ -88,11 +94,11 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 0) -> list:
+def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 0, start: list | None = None, epochs: int = EPOCHS, first_rate: float = RATE) -> list:
     """Adam on the non-negative risk with the logistic loss."""
     rng = np.random.default_rng(seed)
     k = pos.shape[1]
-    layers = [rng.normal(0, 1 / np.sqrt(k), (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
+    layers = [p.copy() for p in start] if start else [rng.normal(0, 1 / np.sqrt(k), (k, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v, t = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers], 0
 
     def grads(x: np.ndarray, dz: np.ndarray) -> list:
@@ -101,9 +107,9 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 0) -> list
         return [x.T @ dh, dh.sum(0), hidden.T @ dz, np.array([dz.sum()])]
 
     steps = max(1, len(unl) // BATCH)
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         up, pp = rng.permutation(len(unl)), rng.permutation(len(pos))
-        rate = RATE * (1 - epoch / EPOCHS) + 1e-4
+        rate = first_rate * (1 - epoch / epochs) + 1e-4
         for s in range(steps):
             u, p = unl[up[s::steps]], pos[pp[s::steps]]
             if not len(p):
@@ -124,59 +130,136 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 0) -> list
     return layers
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives among the unlabelled: the least ratio of densities of the scores of a
-    positive-against-unlabelled classifier, over upper quantile ranges of the positives."""
-    x = np.vstack([pos, unl])
+def scorer(pos: np.ndarray, unl: np.ndarray) -> np.ndarray:
+    """Weights of a balanced classifier of positives against unlabelled rows; the last one is the bias."""
+    a = np.hstack([np.vstack([pos, unl]), np.ones((len(pos) + len(unl), 1))])
     y = np.concatenate([np.ones(len(pos)), np.zeros(len(unl))])
-    a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     weight = np.where(y > 0, len(y) / (2 * max(1, len(pos))), len(y) / (2 * max(1, len(unl))))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         h = (a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a / len(y) + 1e-2 * np.eye(len(w))
         w -= np.linalg.solve(h, a.T @ (weight * (p - y)) / len(y) + 1e-2 * w)
-    zp, zu = np.sort(a[: len(pos)] @ w), np.sort(a[len(pos) :] @ w)
-    best = 1.0
-    for q in np.linspace(0.02, 0.9, 45):
-        t = zp[int(q * (len(zp) - 1))]
-        fp = (len(zp) - np.searchsorted(zp, t)) / len(zp)
-        fu = (len(zu) - np.searchsorted(zu, t)) / len(zu)
-        slack = np.sqrt(1 / (fp * len(zp)) + 1 / max(fu * len(zu), 1))
-        best = min(best, fu / fp * (1 + slack))
-    return float(np.clip(best, 0.05, 0.98))
+    return w
+
+
+def cuts(zp: np.ndarray) -> np.ndarray:
+    """Scores at which the densities are compared: upper quantiles of the positives'."""
+    return np.sort(zp)[(np.linspace(0.02, 0.9, 45) * (len(zp) - 1)).astype(int)]
+
+
+def least_ratio(zp: np.ndarray, above: np.ndarray, n: int) -> float:
+    """Share of positives among ``n`` unlabelled rows, of which ``above`` score at least each of the cuts: the least ratio
+    of the densities, with a margin for small numbers."""
+    fp = (zp[None, :] >= cuts(zp)[:, None]).mean(1)
+    fu = above / max(1, n)
+    slack = np.sqrt(1 / (fp * len(zp)) + 1 / np.maximum(above, 1))
+    return float(np.clip(min(1.0, (fu / fp * (1 + slack)).min()), 0.05, 0.98))
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows."""
+    w = scorer(pos, unl)
+    zp, zu = pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1]
+    return least_ratio(zp, (zu[None, :] >= cuts(zp)[:, None]).sum(1), len(zu))
+
+
+def _statistics(docs: DataFrame) -> DataFrame:
+    """``__id`` and ``x``, the statistics as packed numbers, of every row."""
+
+    def run(ids, data, offs):
+        return {"__id": ids, "x": [r.tobytes() for r in features(data, offs).astype(np.float32)]}
+
+    return C.map_chunks(docs, run, "__id long, x binary")
+
+
+def _rows(batches):
+    """The statistics of each batch of packed rows."""
+    for b in batches:
+        if b.num_rows:
+            yield np.frombuffer(b"".join(b.column(b.schema.get_field_index("x")).to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(float)
+
+
+def _sums(df: DataFrame, fn, width: int) -> np.ndarray:
+    """Sum of ``fn(rows)``, a vector for each batch, over all rows; one vector for each task goes to the driver."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = sum((fn(x) for x in _rows(batches)), np.zeros(width))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+    each = df.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(width)
+    for r in each:
+        out[r["i"]] = r["v"]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, exclude_fold: int = 2, folds: int = 4) -> Model:
     """Learn from rows outside the held-out fold."""
+    import pickle
+
+    import pyarrow as pa
+
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % folds
+    spark = docs.sparkSession
     pos = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__lab")).where(fold("__lab") != exclude_fold).distinct()
-    n_pos, n_all = pos.count(), docs.count()
     pick = lambda c, n, want: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, want / max(1, n)))
-    base = C.doc_bytes(docs)
-    trusted = base.join(pos.where(pick("__lab", n_pos, SAMPLE_POSITIVE)), F.col("__id") == F.col("__lab"), "left_semi").select("__id", "__text", F.lit(1).alias("__y"))
-    rest = base.where(pick("__id", n_all, SAMPLE_UNLABELLED)).where(fold("__id") != exclude_fold).select("__id", "__text", F.lit(0).alias("__y"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float32()))])
-        for b in batches:
-            y = b.column(2).to_numpy()
-            for r0, r1, _, data, offs in C.chunks(b):
-                yield pa.RecordBatch.from_arrays([pa.array(y[r0:r1], pa.int32()), pa.array(features(data, offs).astype(np.float32).tolist(), pa.list_(pa.float32()))], schema=schema)
-
-    got = trusted.union(rest).mapInArrow(run, "y int, x array<float>").toPandas()
-    y = got["y"].to_numpy()
-    if not (y == 1).any() or not (y == 0).any():
+    rest = C.materialize(_statistics(docs).where((F.col("__id") == C.NULL_ID) | (fold("__id") != exclude_fold)), "pu-statistics")
+    trusted = rest.join(pos.where(pick("__lab", pos.count(), SAMPLE_POSITIVE)), F.col("__id") == F.col("__lab"), "left_semi")
+    local = lambda df: np.concatenate([np.zeros((0, N_FEATURES)), *_rows(df.select("x").toArrow().to_batches())])
+    raw, n = local(trusted), rest.count()
+    if not len(raw) or not n:
         return Model(0.5, np.zeros(N_FEATURES), np.ones(N_FEATURES), [])
-    x = np.stack(got["x"].to_list()).astype(float)
-    order = np.lexsort((*x.T, y))  # rows arrive in any order
-    x, y = x[order], y[order]
-    center, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.clip((x - center) / scale, -8, 8)
-    prior = estimate_prior(z[y == 1], z[y == 0])
-    return Model(prior, center, scale, train(z[y == 1], z[y == 0], prior))
+    begin = local(rest.where(pick("__id", n, WARM_UNLABELLED)))
+    begin = begin if len(begin) else raw
+    raw, begin = raw[np.lexsort(raw.T)], begin[np.lexsort(begin.T)]  # rows arrive in any order
+    moments = _sums(rest, lambda x: np.concatenate([x.sum(0), (x**2).sum(0)]), 2 * N_FEATURES) / n
+    center = moments[:N_FEATURES]
+    scale = np.sqrt(np.maximum(moments[N_FEATURES:] - center**2, 0)) + 1e-6
+    norm = lambda x: np.clip((x - center) / scale, -8, 8)
+    zpos = norm(raw)
+    w = scorer(zpos, norm(begin))
+    zp = zpos @ w[:-1] + w[-1]
+    at = cuts(zp)
+    above = _sums(rest, lambda x: (norm(x) @ w[:-1] + w[-1] >= at[:, None]).sum(1).astype(float), len(at))
+    prior = least_ratio(zp, above, n)
+    first = train(zpos, norm(begin), prior)
+    held = spark.sparkContext.broadcast((zpos, first))  # at most about SAMPLE_POSITIVE rows
+
+    def shard(batches):
+        zpos, layers = held.value
+        used, waiting = 0, []
+        for x in _rows(batches):
+            waiting.append(norm(x))
+            if sum(map(len, waiting)) >= SHARD_ROWS:
+                layers = train(zpos, np.vstack(waiting), prior, start=layers, epochs=2, first_rate=RATE / 10)
+                used, waiting = used + sum(map(len, waiting)), []
+        if waiting:
+            layers = train(zpos, np.vstack(waiting), prior, start=layers, epochs=2, first_rate=RATE / 10)
+            used += sum(map(len, waiting))
+        if used:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([p * used for p in layers])], pa.binary()), pa.array([used])], ["p", "n"])
+
+    def add(batches):
+        total, n = None, 0
+        for b in batches:
+            for p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = pickle.loads(p)
+                total = p if total is None else [a + c for a, c in zip(total, p, strict=True)]
+                n += k
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary()), pa.array([n])], ["p", "n"])
+
+    shards = C.materialize(rest.mapInArrow(shard, "p binary, n long"), "pu-shards")
+    count = shards.count()
+    while count > 64:
+        shards = C.materialize(shards.repartition(max(1, count // 64)).mapInArrow(add, "p binary, n long"), "pu-shards")
+        count = shards.count()
+    got = sorted((bytes(r["p"]), r["n"]) for r in shards.collect())
+    layers = [sum(pickle.loads(p)[i] for p, _ in got) / sum(k for _, k in got) for i in range(4)]
+    C.release(rest)
+    return Model(prior, center, scale, layers)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -19,13 +19,18 @@ def fold(col: str, n: int) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def held_out(n: int, rest: int) -> F.Column:
+    """Whether the row is left out of training; null for a null id, which belongs to no fold."""
+    return (F.crc32(C.back().cast("string").cast("binary")) % n == rest).alias("held_out")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from oreline.llm import toxicity
 
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), exclude_fold=1, folds=3)
     return toxicity.score(docs, model, threshold=0.7).select(
-        C.back().alias("doc_id"), (fold("__id", 3) == 1).alias("held_out"), "score", "predicted"
+        C.back().alias("doc_id"), held_out(3, 1), "score", "predicted"
     )
 
 
@@ -65,7 +70,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), exclude_fold=2, folds=4)
     return quality.score(docs, model, threshold=0.7).select(
-        C.back().alias("doc_id"), (fold("__id", 4) == 2).alias("held_out"), "score", "predicted"
+        C.back().alias("doc_id"), held_out(4, 2), "score", "predicted"
     )
 
 
@@ -74,7 +79,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = language_model.score(table(spark, sf_dir, "documents"), (F.col("__id") != C.NULL_ID) & (fold("__id", 5) != 1))
     return got.select(
-        C.back().alias("doc_id"), (fold("__id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        C.back().alias("doc_id"), held_out(5, 1), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 
 
