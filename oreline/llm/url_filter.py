@@ -1,14 +1,15 @@
 """URL verdicts: list rules first, gradient-boosted trees on lexical features for the rest.
 
 A rule is a host and a path prefix, and fits its host and all subdomains; the longest fitting rule decides. URLs that
-rules decide are the labelled ones the trees learn from, unless labels are given. Features are the length, the depth of
-the path, the share of digits, the entropy of host and path, the number of parameters, hyphens, labels of the
-host, and how often URLs with the same suffix of the host are blocked (smoothed counts over all
-labelled rows, in ``SUFFIX_CELLS`` hashed cells, so the table is bounded).
+rules decide are the labelled ones the trees learn from, unless ``labels`` (url, block) are given. Features are the length, the
+depth of the path, the share of digits, the entropy of host and path, the number of parameters, hyphens, labels of the
+host, the lengths of its labels, and how often URLs with the same last label, and the same last two labels of the host, are
+blocked (smoothed counts over all labelled rows, in ``SUFFIX_CELLS`` hashed cells each, so the tables are bounded; a URL that
+is learned from is left out of its own counts).
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the
-trees on its features; repeated rows get equal verdicts; extra columns are ignored; an empty table
-gives an empty result. If the labels hold one class only, that class is the verdict; without labels it is ``allow``.
+trees on its features; a null page_id stays null; repeated rows get equal verdicts; a block probability of exactly one half blocks;
+a url of any length is read whole; extra columns, whatever their names, are ignored; an empty table gives an empty result. If the labels hold one class only, that class is the verdict; without labels it is ``allow``.
 """
 
 from __future__ import annotations
@@ -68,9 +69,9 @@ def rule_for(host: F.Column, path: F.Column, rules: list[Rule]) -> tuple[F.Colum
     return text, verdict
 
 
-def suffix_cell(host: F.Column) -> F.Column:
-    """Hashed cell of the host's last label."""
-    return F.pmod(F.xxhash64(F.element_at(F.split(host, r"\."), -1)), F.lit(SUFFIX_CELLS)).cast("int")
+def suffix_cells(host: F.Column) -> list[F.Column]:
+    """Hashed cells of the host's last label and of its last two."""
+    return [F.pmod(F.xxhash64(F.substring_index(host, ".", -n), F.lit(n)), F.lit(SUFFIX_CELLS)).cast("int").alias(f"cell{n}") for n in (1, 2)]
 
 
 # ---------------------------------------------------------------- features
@@ -82,17 +83,19 @@ def _entropy(x: bytes) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def features(urls: list[str], hosts: list[str], paths: list[str], cells: np.ndarray, rates: np.ndarray) -> np.ndarray:
+def features(urls: list[str], hosts: list[str], paths: list[str], rates: np.ndarray) -> np.ndarray:
+    """A row for each URL; ``rates``: how often its suffixes are blocked."""
     rows = []
-    for u, h, p, c in zip(urls, hosts, paths, cells.tolist(), strict=True):
+    for u, h, p, r in zip(urls, hosts, paths, rates.tolist(), strict=True):
         n = max(1, len(u))
         query = u.partition("?")[2].partition("#")[0]
+        labels = h.split(".")
         rows.append((
             len(u), len(h), len(p), p.count("/"), sum(ch.isdigit() for ch in u) / n, _entropy(h.encode()), _entropy(p.encode()),
-            query.count("=") if query else 0, h.count("-"), h.count("."), "#" in u, u.startswith("https"), h.startswith("www."), len(p.split("/")[1]) if p.count("/") > 1 else 0,
-            int.from_bytes(p.split("/")[1][:2].encode().ljust(2), "big") if p.count("/") > 1 else 0, rates[c],
+            query.count("=") if query else 0, h.count("-"), len(labels), "#" in u, u.startswith("https"), h.startswith("www."), len(p.split("/")[1]) if p.count("/") > 1 else 0,
+            len(labels[-1]), max(map(len, labels)), *r,
         ))
-    return np.array(rows, float).reshape(len(urls), 16)
+    return np.array(rows, float).reshape(len(urls), 18)
 
 
 # ---------------------------------------------------------------- boosting
@@ -151,33 +154,49 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 # ---------------------------------------------------------------- operator
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id") -> DataFrame:
-    """``page_id``, host, path, rule, verdict, score (block probability by the trees, also where a rule decides)."""
+def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, id_col: str = "page_id") -> DataFrame:
+    """``page_id``, host, path, rule, verdict, score (block probability by the trees, also where a rule decides). ``labels``: url
+    and block (0 or 1) of URLs to learn from, in place of those the rules decide."""
     host, path = host_path(F.col("url"))
-    base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
+    parts = (host.alias("host"), path.alias("path"))
+    base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), *parts)
     text, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    base = base.select("page_id", "url", "host", "path", text.alias("rule"), verdict.alias("listed"), suffix_cell(F.col("host")).alias("cell"))
-    known = base.where("listed is not null").select("url", "host", "path", "cell", (F.col("listed") == "block").cast("int").alias("y"))
-    counts = known.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).collect()  # <= SUFFIX_CELLS rows
-    n, bad = sum(r["n"] for r in counts), sum(r["bad"] for r in counts)
-    prior = bad / n if n else 0.0
-    rates = np.full(SUFFIX_CELLS, prior)
-    for r in counts:
-        rates[r["cell"]] = (r["bad"] + 10 * prior) / (r["n"] + 10)
+    base = base.select("page_id", "url", "host", "path", text.alias("rule"), verdict.alias("listed"), *suffix_cells(F.col("host")))
+    if labels is None:
+        known = base.where("listed is not null").select("url", "host", "path", "cell1", "cell2", (F.col("listed") == "block").cast("int").alias("y"))
+    else:
+        known = labels.where("url is not null and block is not null").select("url", F.col("block").cast("int").alias("y"), *parts)
+        known = known.select("url", "host", "path", *suffix_cells(F.col("host")), "y")
+    rates, prior = [], 0.0
+    tables = []
+    for c in ("cell1", "cell2"):
+        counts = known.groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).collect()  # <= SUFFIX_CELLS rows
+        n, bad = np.zeros(SUFFIX_CELLS), np.zeros(SUFFIX_CELLS)
+        for r in counts:
+            n[r[c]], bad[r[c]] = r["n"], r["bad"]
+        prior = bad.sum() / max(1.0, n.sum())
+        tables.append((n, bad))
+        rates.append((bad + 10 * prior) / (n + 10))
+    total = int(tables[0][0].sum())
     model = Trees(-40.0)
-    if n:
-        share = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_URLS / n))
-        # a url that fills many rows counts with the weight of a few
-        sample = known.where(share).groupBy("url", "host", "path", "cell").agg(F.max("y").alias("y")).orderBy(F.xxhash64("url"), "url").limit(SAMPLE_URLS).toPandas()
+    if total:
+        share = F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_URLS / total)) + 1
+        # a url that fills many rows is learned from once
+        sample = known.where(share).groupBy("url", "host", "path", "cell1", "cell2").agg(F.max("y").alias("y"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
+        sample = sample.orderBy(F.xxhash64("url"), "url").limit(SAMPLE_URLS).toPandas()
         if len(sample):
-            x = features(list(sample["url"]), list(sample["host"]), list(sample["path"]), sample["cell"].to_numpy(), rates)
-            model = boost(x, sample["y"].to_numpy(float))
+            own = []
+            for c, (n, bad) in zip(("cell1", "cell2"), tables, strict=True):
+                at = sample[c].to_numpy()
+                own.append((bad[at] - sample["bad"].to_numpy() + 10 * prior) / (n[at] - sample["n"].to_numpy() + 10))
+            model = boost(features(list(sample["url"]), list(sample["host"]), list(sample["path"]), np.stack(own, 1)), sample["y"].to_numpy(float))
     ddl = T._parse_datatype_string("page_id long, host string, path string, rule string, verdict string, score double")
 
     def run(batches):
         for b in batches:
             url, host, path, listed = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("url", "host", "path", "listed"))
-            x = features(url, host, path, b.column(b.schema.get_field_index("cell")).to_numpy(), rates)
+            cells = [b.column(b.schema.get_field_index(c)).to_numpy() for c in ("cell1", "cell2")]
+            x = features(url, host, path, np.stack([r[c] for r, c in zip(rates, cells, strict=True)], 1))
             s = 1 / (1 + np.exp(-np.clip(model.raw(x), -40, 40)))
             said = [v if v is not None else ("block" if p >= 0.5 else "allow") for v, p in zip(listed, s.tolist(), strict=True)]
             cols = [b.column(0).cast(pa.int64()), pa.array(host), pa.array(path), b.column(b.schema.get_field_index("rule")), pa.array(said), pa.array(s)]
