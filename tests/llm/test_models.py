@@ -86,6 +86,40 @@ def test_licences(spark):
     assert all(g[0] not in (3, 4, 5) for g in got) and all(g[2] == "unknown" for g in got if not g[3])
 
 
+def test_licence_scan_equals_brute_force(spark):
+    """Every line of a table against the model and the templates, in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = [(-1, "CC BY 4.0\nCC BY-SA 4.0\nCC BY-NC 4.0\nCC0"), (-2, "MIT"), (-3, None), (-4, ""), (-5, "GNU\nlicensed under\nof the terms")]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    model = licenses.fit(licenses.sample_lines(docs))
+    got = {(r.doc_id, r.paragraph): r for r in licenses.scan(docs, model).collect()}
+    seen = set()
+    for r in docs.collect():
+        for n, line in enumerate((r.text or "").split("\n")):
+            ws = licenses.words(line)
+            gs = set(licenses.grams(ws))
+            if not gs & set(model.weights):
+                continue
+            z = (np.array(model.bias) + sum(np.array(model.weights[g]) for g in gs if g in model.weights)) / model.temperature
+            p = np.exp(z)
+            p /= p.sum()
+            if p[-1] >= licenses.FLOOR - 1e-9:
+                assert (r.doc_id, n) not in got or abs(p[-1] - licenses.FLOOR) < 1e-6
+                continue
+            seen.add((r.doc_id, n))
+            mine, guess = got[r.doc_id, n], model.classes[int(p[:-1].argmax())]
+            pairs = set(licenses.grams(ws)[len(ws) :])
+            alike = 0.0
+            for t in licenses.TEMPLATES.get(guess, []):
+                own = set(licenses.grams(licenses.words(t))[len(licenses.words(t)) :])
+                if own:
+                    alike = max(alike, len(own & pairs) / len(own), len(own & pairs) / len(pairs) if len(pairs) >= 3 else 0)
+            assert abs(mine.similarity - alike) < 1e-9 and abs(mine.probability - p[:-1].max()) < 1e-9
+            assert mine.family == (guess if alike >= licenses.CONFIRM else "unknown") and mine.confirmed == (alike >= licenses.CONFIRM)
+    assert seen == set(got)
+    assert [got[-1, i].family for i in range(3)] == ["CC-BY", "CC-BY-SA", "CC-BY-NC"]
+
+
 def test_licence_scores_equal_the_model(spark):
     model = licenses.fit([f"plain text number {i}" for i in range(50)])
     line = "This work is licensed under the GNU General Public License, version 3."
@@ -113,6 +147,18 @@ def test_urls(spark):
         assert best is None or r.verdict == best.verdict
 
 
+def test_urls_learn_from_given_labels(spark):
+    rng = np.random.default_rng(4)
+    name = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    urls = [(f"http://{name()}.org/{name()}?{'&'.join(f'p{j}=1' for j in range(6))}" if i % 2 else f"https://{name()}.org/{name()}", i % 2) for i in range(600)]
+    labels = spark.createDataFrame(urls[:400], "url string, block int")
+    pages = spark.createDataFrame([(i, u, "z") for i, (u, _) in enumerate(urls[400:])] + [(None, None, None)] * 2, "page_id long, url string, cell1 string")
+    got = url_filter.judge(pages, url_filter.parse_rules(["block q.org/"]), labels).collect()
+    by = {r.page_id: r.verdict for r in got}
+    assert len(got) == 202 and all(by[i] == ("block" if y else "allow") for i, (_, y) in enumerate(urls[400:]))
+    assert url_filter.judge(pages, []).select("verdict").distinct().collect()[0][0] == "allow"
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (3000, 5))
