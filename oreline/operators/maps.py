@@ -92,6 +92,14 @@ def bsp_state(nodes: DataFrame, subsectors: DataFrame, segs: DataFrame) -> DataF
     return j.select(*KEYS, ok.alias("usable"), (F.col("nodes") - 1).alias("root"))
 
 
+def drop_bad_trees(t: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, warnings): the three tree tables of a map go together if its tree cannot be used; the map stays, with one warning."""
+    state = bsp_state(t["nodes"], t["subsectors"], t["segs"])
+    bad = state.where(~F.col("usable")).select(*KEYS)
+    kept = {n: t[n].join(bad, KEYS, "left_anti") for n in ("nodes", "subsectors", "segs")}
+    return t | kept, bad.withColumn("warning", F.lit("tree dropped"))
+
+
 # ---------------------------------------------------------------- REJECT and BLOCKMAP
 def reject(data: bytes, sectors: int, options: Options = Options()) -> bytes | None:
     """The bit matrix, padded with zeros where the blob is short; None where there is none."""

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from oreline import steps
+
 
 def diff(first: DataFrame, second: DataFrame, name: str, order: str, digest: str) -> DataFrame:
     """Names whose ordered lists of payload digests differ: ``status`` is only_in_first, only_in_second or
@@ -92,11 +94,32 @@ def merge_ranges(df: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
     return d.groupBy(*by, "__g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__g")
 
 
-def reach(edges: DataFrame, roots: DataFrame, limit: int = 64) -> DataFrame:
-    """Breadth-first levels over an edge table (src, dst) from ``roots`` (node); a node keeps its first level."""
+def reach(edges: DataFrame, roots: DataFrame, limit: int | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Breadth-first levels over an edge table (src, dst) from ``roots`` (node): ``node``, ``level``. Nodes seen are never
+    looked at again, so cycles end. Each level is a written table; with ``checkpoint``, a folder, a run that was broken off goes
+    on after its last whole level, unless it began from other roots."""
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("__reach_edges")
-    roots.createOrReplaceTempView("__reach_roots")
-    return spark.sql(f"""WITH RECURSIVE r (node, level) MAX RECURSION LEVEL {limit} AS (
-        SELECT node, 0 FROM __reach_roots UNION ALL SELECT e.dst, r.level + 1 FROM r JOIN __reach_edges e ON e.src = r.node)
-      SELECT node, min(level) AS level FROM r GROUP BY node""")
+    first = roots.select("node").distinct().withColumn("level", F.lit(0))
+    base = None
+    if checkpoint is not None:
+        mark = first.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")).first()
+        base = f"{checkpoint.rstrip('/')}/roots-{mark['n']}-{mark['h']}"
+
+    def level(df: DataFrame, n: int) -> DataFrame:
+        path = f"{base}/level={n:06d}" if base else None
+        if base and steps.children(spark, path)[:1] == ["_SUCCESS"]:
+            return spark.read.schema(first.schema).parquet(path)
+        return steps.written(df, f"reach-{n}", path)
+
+    front = seen = level(first, 0)
+    n = 0
+    while limit is None or n < limit:
+        n += 1
+        new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        front = level(new.withColumn("level", F.lit(n)), n)
+        if front.isEmpty():
+            break
+        seen = seen.union(front)
+        if n % 16 == 0 and not base:  # keep the plan short
+            seen = steps.written(seen, "reach-seen")
+    return seen

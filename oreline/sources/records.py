@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oreline.operators import relational as R
+from oreline.options import FormatError, Options
 
 FILE = "id long, title string, dir string, filename string, size long, age long, date string, author string, description string, rating double, votes long, url string, idgamesurl string"
 MEMBER = "name string, compressed long, uncompressed long, method string, encrypted boolean"
@@ -20,8 +25,12 @@ LISTING_CAP = 256 * 2**20
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, unreadable lines): one record a line; lines that do not parse are kept apart, to be counted."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    got = lines.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return parse_jsonl(spark.read.text(path), schema)
+
+
+def parse_jsonl(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_jsonl` of a table of lines (value)."""
+    got = lines.where("trim(value) <> ''").withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return got.where("r._bad is null").select("r.*").drop("_bad"), got.where("r._bad is not null").select("value")
 
 
@@ -35,13 +44,38 @@ def ledger(df: DataFrame) -> DataFrame:
     return df.select("path", "action", "kind", "detail", "attempts").orderBy("path", "action", "kind", "detail", "attempts")
 
 
-def listing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def listing(spark: SparkSession, path: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(files: dir, name, size; malformed lines) of an ``ls -lR`` text, gzip or plain. Section headers scope the rows after
-    them; a file is one partition, since its order carries meaning."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    raw = raw.where(F.octet_length("value") <= LISTING_CAP)
-    lines = raw.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return parse_listing(lines)
+    them; a file is one partition, since its order carries meaning. Its lines are read one by one, and a text of more than
+    ``LISTING_CAP`` bytes fails the job or, in lenient mode, is one malformed row: a cut listing must not pass for a small one."""
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+
+    def run(batches):
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                lines, size, n = [], 0, 0
+                data = content.as_buffer()
+                source = io.BytesIO(data)
+                source = gzip.GzipFile(fileobj=source) if data[:2].to_pybytes() == b"\x1f\x8b" else source
+                for line in source:
+                    size += len(line)
+                    if size > LISTING_CAP:
+                        if options.strict:
+                            raise FormatError("listing_too_large", file)
+                        lines, n = [], -1
+                        break
+                    lines.append(line.decode("utf-8", "replace").rstrip("\n"))
+                    if len(lines) == 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([file] * len(lines)), pa.array(range(n, n + len(lines)), pa.int32()), pa.array(lines)], ["file", "n", "line"])
+                        n, lines = n + len(lines), []
+                if n < 0:
+                    lines = [f"listing_too_large: more than {LISTING_CAP} bytes"]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(lines), pa.string()), pa.array(range(n, n + len(lines)), pa.int32()), pa.array(lines, pa.string())], ["file", "n", "line"])
+
+    lines = raw.mapInArrow(run, "file string, n int, line string")
+    over = lines.where("n < 0").select("file").distinct()
+    files, bad = parse_listing(lines.join(over, "file", "left_anti"))
+    return files, bad.union(lines.where("n < 0").select("file", "n", "line"))
 
 
 def parse_listing(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,9 +112,45 @@ def envelope(body: Column, field: str, item: str) -> Column:
 
 
 def scrub(df: DataFrame) -> DataFrame:
-    """Without the columns that hold personal data: any ``email``, and text files and reviews."""
-    gone = [c for c in df.columns if "email" in c.lower() or c.lower() in ("textfile", "reviews")]
-    return df.drop(*gone)
+    """Without the fields that hold personal data, at any depth: names with ``email`` in them, text files and reviews. JSON
+    text inside a string column is :func:`scrub_json`'s."""
+    return df.select(*[clean.alias(f.name) for f in df.schema if not _personal(f.name) and (clean := _scrubbed(F.col(f"`{f.name}`"), f.dataType)) is not None])
+
+
+def _personal(name: str) -> bool:
+    low = name.lower()
+    return "email" in low or low in ("textfile", "reviews")
+
+
+def _scrubbed(c: Column, kind: T.DataType) -> Column | None:
+    """``c`` without personal fields; None if nothing else is left."""
+    if isinstance(kind, T.StructType):
+        kept = [x.alias(f.name) for f in kind if not _personal(f.name) and (x := _scrubbed(c.getField(f.name), f.dataType)) is not None]
+        return F.when(c.isNotNull(), F.struct(*kept)) if kept else None
+    if isinstance(kind, T.ArrayType) and _nested(kind.elementType):
+        return F.transform(c, lambda x: _scrubbed(x, kind.elementType)) if _scrubbed(F.lit(None).cast(kind.elementType), kind.elementType) is not None else None
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(c, lambda k, v: ~(F.contains(F.lower(k.cast("string")), F.lit("email")) | F.lower(k.cast("string")).isin("textfile", "reviews")))
+        return F.transform_values(kept, lambda k, v: _scrubbed(v, kind.valueType)) if _nested(kind.valueType) else kept
+    return c
+
+
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+
+
+def scrub_json(body: Column) -> Column:
+    """A JSON text without the same fields, at any depth; null stays null."""
+    def clean(v):
+        if isinstance(v, dict):
+            return {k: clean(x) for k, x in v.items() if not _personal(k)}
+        return [clean(x) for x in v] if isinstance(v, list) else v
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(clean(json.loads(t)), separators=(",", ":"), ensure_ascii=False))
+
+    return run(body)
 
 
 def listed_sizes(records: DataFrame, files: DataFrame) -> DataFrame:

@@ -11,34 +11,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from oreline import steps
 from oreline.operators import relational as R
 
 
-def upsert(table_path: str, key: str, order: str):
+def upsert(table_path: str, key: str, order: str, buckets: int = 16):
     """A ``foreachBatch`` function that merges a batch into the table at ``table_path``: the last record of a key wins.
-    The merged table is written beside the old one under the batch's number, so readers never see half of it."""
+    The merged table is written beside the old one under the batch's number, so readers never see half of it; versions older
+    than the one before are removed. Keys are dealt over ``buckets`` folders, and only those a batch touches are written
+    again (:func:`current` reads the newest of each)."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = R.dedup(batch, [key], [F.col(order)], "last")
-        before = current(spark, table_path, number)
-        if before is not None:
-            now = R.dedup(before.unionByName(now), [key], [F.col(order)], "last")
-        now.write.mode("overwrite").parquet(f"{table_path}/v={number:012d}")
+        now = R.dedup(batch, [key], [F.col(order)], "last").withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        for b in sorted(r["__bucket"] for r in now.select("__bucket").distinct().collect()):  # <= buckets rows
+            at = f"{table_path}/b={b:04d}"
+            mine = now.where(F.col("__bucket") == b).drop("__bucket")
+            known = [v for v in _whole(spark, at) if int(v[2:]) < number]
+            if known:
+                mine = R.dedup(spark.read.parquet(f"{at}/{known[-1]}").unionByName(mine), [key], [F.col(order)], "last")
+            mine.write.mode("overwrite").parquet(f"{at}/v={number:012d}")
+            for old in known[:-1]:
+                steps.delete(spark, f"{at}/{old}")
 
     return merge
 
 
-def current(spark, table_path: str, below: int | None = None) -> DataFrame | None:
-    """The newest merged table, or the newest before version ``below``."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    found = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))
-    found = [f for f in found if below is None or int(f[2:]) < below]
-    return spark.read.parquet(f"{table_path}/{found[-1]}") if found else None
+def _whole(spark, path: str) -> list[str]:
+    """Versions whose write has ended."""
+    return [v for v in steps.children(spark, path) if v.startswith("v=") and "_SUCCESS" in steps.children(spark, f"{path}/{v}")]
+
+
+def current(spark, table_path: str) -> DataFrame | None:
+    """The newest merged rows of all keys."""
+    paths = []
+    for b in steps.children(spark, table_path):
+        found = _whole(spark, f"{table_path}/{b}")
+        paths += [f"{table_path}/{b}/{found[-1]}"] if found else []
+    return spark.read.parquet(*paths) if paths else None
 
 
 def replay(log: DataFrame, table_path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:

@@ -197,6 +197,62 @@ def test_listing_and_jsonl(spark, tmp_path):
     assert [len(r[0]) for r in env.select(records.envelope(F.col("b"), "file", "id:long")).collect()] == [1, 2, 0]
 
 
+def test_listing_cap_and_gzip(spark, tmp_path, monkeypatch):
+    import gzip
+
+    text = "./levels:\n" + "".join(f"-rw-r--r-- 1 a b {i} Jan 1 2000 f{i}.zip\n" for i in range(50))
+    (tmp_path / "ls.gz").write_bytes(gzip.compress(text.encode()))
+    assert records.listing(spark, str(tmp_path / "ls.gz"))[0].count() == 50
+    monkeypatch.setattr(records, "LISTING_CAP", 100)
+    with pytest.raises(Exception, match="listing_too_large"):
+        records.listing(spark, str(tmp_path / "ls.gz"))[0].count()
+    files, bad = records.listing(spark, str(tmp_path / "ls.gz"), Options(strict=False))
+    assert files.count() == 0 and [r.n for r in bad.collect()] == [-1]
+
+
+def test_scrub_at_any_depth(spark):
+    d = spark.createDataFrame([("a", "m", ("n", "q"), [("r", "s")], {"Email2": "x", "k": "y"})], "id string, authorEmail string, s struct<name:string,eMail:string>, l array<struct<reviews:string,b:string>>, m map<string,string>")
+    got = records.scrub(d)
+    assert got.schema.simpleString() == "struct<id:string,s:struct<name:string>,l:array<struct<b:string>>,m:map<string,string>>"
+    r = got.first()
+    assert (r.s.name, r.l[0].b, r.m) == ("n", "s", {"k": "y"})
+    body = spark.createDataFrame([('{"a": [{"email": 1, "b": {"TextFile": 2, "c": 3}}]}',), (None,)], "b string")
+    assert [x[0] for x in body.select(records.scrub_json(F.col("b"))).collect()] == ['{"a":[{"b":{"c":3}}]}', None]
+
+
+def test_reports_are_never_cut(spark):
+    from oreline.functions import report
+
+    assert report.table_markdown(spark.range(3), limit=3).count("\n") == 5
+    for f in (report.table_markdown, report.table_json):
+        with pytest.raises(ValueError):
+            f(spark.range(4), limit=3)
+
+
+def test_reach_ends_on_cycles_and_resumes(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "c"), ("x", "y")], "src string, dst string")
+    roots = spark.createDataFrame([("a",)], "node string")
+    want = {("a", 0), ("b", 1), ("c", 2)}
+    at = str(tmp_path / "ck")
+    assert set(map(tuple, R.reach(edges, roots).collect())) == want
+    assert set(map(tuple, R.reach(edges, roots, limit=1, checkpoint=at).collect())) == {("a", 0), ("b", 1)}
+    assert set(map(tuple, R.reach(edges, roots, checkpoint=at).collect())) == want
+    other = spark.createDataFrame([("x",)], "node string")
+    assert set(map(tuple, R.reach(edges, other, checkpoint=at).collect())) == {("x", 0), ("y", 1)}
+
+
+def test_score_bytes():
+    ev = lambda kind, channel, a, b, tick: {"kind": kind, "channel": channel, "a": a, "b": b, "tick": tick}
+    body = audio.to_midi([ev("play", 0, 60, 100, 0), ev("controller", 15, 3, 200, 0), ev("release", 0, 60, None, 140), ev("end", 3, None, None, 140)])[22:]
+    assert body == bytes([0, 0xB0, 0x7B, 0, 0, 0x90, 60, 100, 0, 0xB9, 7, 127, 0x81, 0x0C, 0x80, 60, 0, 0, 0xFF, 0x2F, 0])
+    many = audio.to_midi([ev("play", c, 60, 1, 0) for c in range(11)])
+    assert bytes([0x9A, 60, 1]) in many and bytes([0x99, 60, 1]) not in many
+
+
+def test_split_points_round_half_away():
+    assert [bsp.half_away(n, d) for n, d in ((1, 2), (-1, 2), (3, 2), (-3, 2), (5, -2), (7, 3), (0, 5))] == [1, -1, 2, -2, -3, 2, 0]
+
+
 def test_log_replay(spark, tmp_path):
     schema = "id long, seq long, v string"
     src, out = str(tmp_path / "log"), str(tmp_path / "table")
