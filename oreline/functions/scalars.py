@@ -153,6 +153,7 @@ def flatten_control(s: Column) -> Column:
 
 def name_hash(name: Column) -> Column:
     """16-bit hash of the first 8 bytes of a name, upper-cased, with 32-bit wrap-around."""
+    # The start, the shifts (times 32, right by 2) and the mask of the hash.
     mask = 0xFFFFFFFF
     raw = ascii_upper(F.substring(name, 1, 8))
     codes = F.transform(F.filter(F.split(raw, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
@@ -217,8 +218,18 @@ def bam_angle(dx: Column, dy: Column) -> Column:
 def le_uint(data: Column, offset: Column | int, size: int) -> Column:
     """Unsigned little-endian integer of 1 to 4 bytes at a 0-based offset."""
     at = (F.lit(offset) if isinstance(offset, int) else offset).cast("int")
-    digits = F.concat(*[F.hex(F.call_function("substring", data, at + (i + 1), F.lit(1))) for i in reversed(range(size))])
-    return F.conv(digits, 16, 10).cast("long")
+    part = F.call_function("substring", data, at + 1, F.lit(size))
+    return swap_bytes(F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("long")), size)
+
+
+def swap_bytes(v: Column, size: int) -> Column:
+    """The whole number of so many bytes with their order turned round."""
+    out = None
+    for i in range(size):
+        byte = F.shiftright(v, 8 * i).bitwiseAND(0xFF) if i else v.bitwiseAND(0xFF)
+        byte = F.shiftleft(byte, 8 * (size - 1 - i)) if i < size - 1 else byte
+        out = byte if out is None else out.bitwiseOR(byte)
+    return out
 
 
 def le_int(data: Column, offset: Column | int, size: int) -> Column:

@@ -7,27 +7,29 @@ from pyspark.sql import functions as F
 
 from oreline.operators import relational as R
 from oreline.plans.catalogue import register, table
+from oreline.sources import records as S
 
 
-def _blobs(spark, sf_dir, source):
-    return table(spark, sf_dir, "documents").where(F.col("source") == source).select(F.concat(F.lit("D"), (F.col("doc_id") % 60).cast("string")).alias("name"), F.col("doc_id").alias("idx"), F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size"))
+def _blobs(spark, sf_dir, mine):
+    """The documents of the sources whose last character's code fits, as blobs."""
+    return table(spark, sf_dir, "documents").where(mine(F.ascii(F.substring("source", -1, 1)))).select(F.concat(F.lit("D"), (F.col("doc_id") % 60).cast("string")).alias("name"), F.col("doc_id").alias("idx"), F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size"))
 
 
-_SIDE = "SELECT 'D' || (doc_id % 60) AS name, list(sha256(text) ORDER BY doc_id) AS l, min(doc_id) AS at FROM documents WHERE source = '{}' GROUP BY 1"
+_SIDE = "SELECT 'D' || (doc_id % 60) AS name, list(sha256(text) ORDER BY doc_id) AS l, min(doc_id) AS at FROM documents WHERE ascii(right(source, 1)) % 2 = {} GROUP BY 1"
 
 
-@register(f"""WITH a AS ({_SIDE.format("src0")}), b AS ({_SIDE.format("src1")}), j AS (SELECT coalesce(a.name, b.name) AS name,
+@register(f"""WITH a AS ({_SIDE.format(0)}), b AS ({_SIDE.format(1)}), j AS (SELECT coalesce(a.name, b.name) AS name,
     CASE WHEN b.l IS NULL THEN 'only_in_first' WHEN a.l IS NULL THEN 'only_in_second' WHEN a.l <> b.l THEN 'changed' END AS status, a.at IS NULL AS s, coalesce(a.at, b.at) AS o FROM a FULL JOIN b ON a.name = b.name)
   SELECT name, status, row_number() OVER (ORDER BY s, o) AS rank FROM j WHERE status IS NOT NULL""")
 def diff_lists(spark, sf_dir):
-    d = R.diff(_blobs(spark, sf_dir, "src0"), _blobs(spark, sf_dir, "src1"), "name", "idx", "digest")
+    d = R.diff(_blobs(spark, sf_dir, lambda c: c % 2 == 0), _blobs(spark, sf_dir, lambda c: c % 2 == 1), "name", "idx", "digest")
     return d.select("name", "status", F.row_number().over(W.orderBy("ordinal")).cast("long").alias("rank"))
 
 
 @register("""SELECT input, CAST(row_number() OVER (PARTITION BY input ORDER BY doc_id) - 1 AS BIGINT) AS idx, 'D' || (doc_id % 60) AS name, CAST(strlen(text) AS INTEGER) AS size
-  FROM (SELECT *, CASE source WHEN 'src0' THEN 0 ELSE 1 END AS input FROM documents WHERE source IN ('src0', 'src1'))""")
+  FROM (SELECT *, ascii(right(source, 1)) % 8 AS input FROM documents)""")
 def merge_union_all(spark, sf_dir):
-    both = R.concat(_blobs(spark, sf_dir, "src0"), _blobs(spark, sf_dir, "src1"))
+    both = R.concat(*[_blobs(spark, sf_dir, lambda c, i=i: c % 8 == i) for i in range(8)])
     return both.select("input", (F.row_number().over(W.partitionBy("input").orderBy("idx")) - 1).cast("long").alias("idx"), "name", "size")
 
 
@@ -139,7 +141,9 @@ def scoped_limit(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(F.startswith("o_orderpriority", F.lit("1-"))).orderBy("o_orderkey").limit(100).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@register("SELECT user_id, CAST(trim(json_extract_string(props, '$.k')) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+@register("""SELECT coalesce(k, -1) AS k, count(*) AS n FROM (SELECT CASE WHEN event_id % 9 <> 0 THEN TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events WHERE event_id % 10 <> 0) GROUP BY ALL""")
 def json_records(spark, sf_dir):
-    k = F.from_json("props", "k long", {"mode": "PERMISSIVE"})["k"]
-    return table(spark, sf_dir, "events").groupBy("user_id", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    """Lines of JSON with empty and broken ones among them; broken lines are counted under -1."""
+    line = F.when(F.col("event_id") % 10 == 0, " ").when(F.col("event_id") % 9 == 0, F.concat(F.lit("x"), "props")).otherwise(F.col("props"))
+    good, bad = S.parse_jsonl(table(spark, sf_dir, "events").select(line.alias("value")), "k long")
+    return good.select("k").union(bad.select(F.lit(-1))).groupBy("k").agg(F.count(F.lit(1)).alias("n"))

@@ -43,11 +43,7 @@ def top_bucket(spark, sf_dir):
     return _paths(spark, sf_dir).groupBy(S.top_bucket(d).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _under(roots):
-    return " OR ".join(f"starts_with(d, '{r}')" for r in roots)
-
-
-@register(f"""SELECT decision, count(*) AS n FROM (SELECT CASE WHEN d = '' OR starts_with(d, 'levels/reviews/') THEN 'skip' WHEN {_under(S.MAP_ROOTS)} THEN 'include' WHEN {_under(S.OTHER_ROOTS)} THEN 'skip' ELSE 'triage' END AS decision
+@register("""SELECT decision, count(*) AS n FROM (SELECT CASE WHEN d = '' THEN 'skip' WHEN starts_with(d, 'levels/reviews/') OR starts_with(d, 'music/') THEN 'skip' WHEN starts_with(d, 'levels/') OR starts_with(d, 'themes/') THEN 'include' ELSE 'triage' END AS decision
   FROM (SELECT CASE doc_id % 6 WHEN 0 THEN 'levels/' || source || '/' WHEN 1 THEN 'levels/reviews/' || lang || '/' WHEN 2 THEN 'music/' || lang || '/' WHEN 3 THEN '' WHEN 4 THEN source || '/' ELSE 'themes/' END AS d FROM documents)) GROUP BY 1""")
 def scope_triage(spark, sf_dir):
     k = F.col("doc_id") % 6
