@@ -214,6 +214,125 @@ def bam_angle(dx: Column, dy: Column) -> Column:
     return F.pmod(F.round(F.atan2(dy, dx) * (65536 / (2 * 3.141592653589793))).cast("int"), F.lit(65536))
 
 
+def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    return F.hypot((ax - bx).cast("double"), (ay - by).cast("double"))
+
+
+def bbox_union(a: Column, b: Column) -> Column:
+    """Box around two boxes of (top, bottom, left, right)."""
+    pick = lambda f, i: f(F.element_at(a, i), F.element_at(b, i))
+    return F.array(pick(F.greatest, 1), pick(F.least, 2), pick(F.least, 3), pick(F.greatest, 4))
+
+
+def name8(name: Column) -> tuple[Column, Column]:
+    """(first 8 bytes of a name, whether more were cut off)."""
+    raw = name.cast("string").cast("binary")
+    return F.call_function("substring", raw, F.lit(1), F.lit(8)), F.octet_length(raw) > 8
+
+
+def coerce_u16(x: Column) -> tuple[Column, Column]:
+    """(value within 0 to 65535, whether it had to be moved there)."""
+    return F.least(F.greatest(x, F.lit(0)), F.lit(0xFFFF)).cast("int"), (x < 0) | (x > 0xFFFF)
+
+
+def drop_field(is_set: Column, field: str) -> Column:
+    """Warning for a field that the target format cannot hold; null where it holds nothing."""
+    return F.when(is_set, F.lit(f"{field} dropped"))
+
+
+def fixed_16_16(x: Column) -> Column:
+    """A coordinate rounded to whole units, with 16 fraction bits; null beyond 32 bits."""
+    return _in_32(F.round(x).cast("decimal(38,0)") * 65536)
+
+
+def fixed_16_16_exact(x: Column) -> Column:
+    """A coordinate to the nearest of 65536ths; null beyond 32 bits or not finite."""
+    finite = ~(F.isnan(x) | (F.abs(x) == float("inf"))) & (F.abs(x) < 2.0**40)
+    return _in_32(F.round(F.when(finite, x) * 65536.0).cast("decimal(38,0)"))
+
+
+def _in_32(v: Column) -> Column:
+    return F.when((v >= -(2**31)) & (v < 2**31), v.cast("long"))
+
+
+def cross_from_start(rx: Column, ry: Column, pdx: Column, pdy: Column) -> Column:
+    """Signed area of a point, from a line's start, against the line; negative on its left."""
+    return rx.cast("long") * pdy.cast("long") - ry.cast("long") * pdx.cast("long")
+
+
+def within_half_unit(cross: Column, length_squared: Column) -> Column:
+    """Whether a point is closer than half a unit to a line, in whole numbers."""
+    c = cross.cast("decimal(19,0)")
+    return c * c * 4 < length_squared.cast("decimal(38,0)")
+
+
+def clamp_dimension(v: Column) -> tuple[Column, Column]:
+    """(size, whether it was negative): a negative size is 0."""
+    return F.greatest(v, F.lit(0)), v < 0
+
+
+def linedef_id_unset(format: Column) -> Column:
+    """The number that stands for no line id."""
+    return F.when(format == "udmf", -1).otherwise(0)
+
+
+def text_node_dialect(wanted: Column) -> Column:
+    """Node dialect written for a text map: classic nodes are not for these."""
+    return F.when(wanted == "classic", "gl").otherwise(wanted)
+
+
+def script_lump(conversation: Column) -> Column:
+    """Name of the blob of a conversation script; null beyond 0 to 99."""
+    return F.when((conversation >= 0) & (conversation <= 99), F.concat(F.lit("SCRIPT"), F.lpad(conversation.cast("string"), 2, "0")))
+
+
+def instrument_flags(flags: Column) -> Column:
+    """fixed_pitch, double_voice."""
+    return F.struct((flags.bitwiseAND(1) != 0).alias("fixed_pitch"), (flags.bitwiseAND(4) != 0).alias("double_voice"))
+
+
+def palette_color(palette: Column, index: Column) -> Column:
+    """Red, green and blue of a colour in a table of 3-byte entries; null beyond its end."""
+    at = (index * 3 + 1).cast("int")
+    rgb = F.call_function("substring", palette, at, F.lit(3))
+    part = lambda i, n: le_uint(rgb, i, 1).cast("int").alias(n)
+    return F.when((index >= 0) & (F.octet_length(rgb) == 3), F.struct(part(0, "red"), part(1, "green"), part(2, "blue")))
+
+
+def gl_level_matches(text: Column, map_name: Column) -> Column:
+    """Whether a marker's text holds a line ``LEVEL=`` with the map's name."""
+    value = lambda ln: F.trim(F.regexp_replace(F.substring(ln, 7, 1 << 20), "[\r\\x00]+$", ""))
+    return F.exists(F.split(text, "\n"), lambda ln: F.startswith(ln, F.lit("LEVEL=")) & (value(ln) == map_name))
+
+
+def utf8_fault(data: Column) -> Column:
+    """Whether bytes are no valid UTF-8."""
+    return data.isNotNull() & ~F.is_valid_utf8(data.cast("string"))
+
+
+def clockwise_key(ref_dx: Column, ref_dy: Column, dx: Column, dy: Column) -> tuple[Column, Column, Column]:
+    """(rank, x, y) of a direction in the frame of a reference: directions with a smaller rank come first clockwise; within
+    a rank, :func:`turns_before` tells."""
+    x, y = _frame(ref_dx, ref_dy, dx, dy)
+    return F.when((y == 0) & (x > 0), 0).when(y < 0, 1).when(y == 0, 2).otherwise(3), x, y
+
+
+def counter_clockwise_key(ref_dx: Column, ref_dy: Column, dx: Column, dy: Column) -> tuple[Column, Column, Column]:
+    x, y = _frame(ref_dx, ref_dy, dx, dy)
+    return F.when((y == 0) & (x > 0), 0).when(y > 0, 1).when(y == 0, 2).otherwise(3), x, y
+
+
+def _frame(ref_dx: Column, ref_dy: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
+    n = lambda c: c.cast("decimal(18,0)")
+    return n(dx) * n(ref_dx) + n(dy) * n(ref_dy), n(ref_dx) * n(dy) - n(ref_dy) * n(dx)
+
+
+def turns_before(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column], clockwise: bool = True) -> Column:
+    """-1, 0 or 1: whether direction ``a`` comes before, with or after ``b``, exactly, in whole numbers."""
+    side = F.sign((a[1].cast("decimal(19,0)") * b[2].cast("decimal(19,0)") - a[2].cast("decimal(19,0)") * b[1].cast("decimal(19,0)")).cast("double")).cast("int")
+    return F.when(a[0] != b[0], F.when(a[0] < b[0], -1).otherwise(1)).otherwise(side if clockwise else -side)
+
+
 # ---------------------------------------------------------------- little-endian integers in binary columns
 def le_uint(data: Column, offset: Column | int, size: int) -> Column:
     """Unsigned little-endian integer of 1 to 4 bytes at a 0-based offset."""

@@ -86,9 +86,8 @@ def archive_roundtrip(spark, sf_dir):
     return m.groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("data")).alias("bytes"), F.count_if(F.col("method") == "stored").alias("stored"))
 
 
-@register()
-def section_scan(spark, sf_dir):
-    """Markers around each language's documents in each source, then the sections they make."""
+def section_lumps(spark, sf_dir):
+    """Markers around each language's documents in each source, as a directory."""
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), "lang", "doc_id")
     letters = {"en": "S", "de": "F", "fr": "P", "es": "T"}
     mark = F.create_map(*[F.lit(x) for kv in letters.items() for x in kv])[F.col("lang")]
@@ -98,7 +97,14 @@ def section_scan(spark, sf_dir):
     from pyspark.sql import Window as W
 
     rows = rows.withColumn("lump_idx", F.row_number().over(W.partitionBy("path").orderBy("lang", "k", "doc_id")) - 1)
-    return directory.section_rows(rows.select("path", "lump_idx", "name")).select("path", "kind", "first", "last", F.size("names").alias("n"))
+    return rows.select("path", "lump_idx", "name")
+
+
+@register("""WITH l AS (SELECT source AS path, lang, count(*) AS n FROM documents GROUP BY 1, 2), o AS (SELECT *, sum(n + 2) OVER (PARTITION BY path ORDER BY lang ROWS UNBOUNDED PRECEDING) AS e FROM l)
+  SELECT path, CASE lang WHEN 'en' THEN 'sprites' WHEN 'de' THEN 'flats' WHEN 'fr' THEN 'patches' ELSE 'textures' END AS kind, CAST(e - n - 2 AS INTEGER) AS first, CAST(e - 1 AS INTEGER) AS last, CAST(n AS INTEGER) AS n FROM o""")
+def section_scan(spark, sf_dir):
+    """The sections of :func:`section_lumps`."""
+    return directory.section_rows(section_lumps(spark, sf_dir)).select("path", "kind", "first", "last", F.size("names").alias("n"))
 
 
 @register()
