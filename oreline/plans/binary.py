@@ -107,7 +107,7 @@ def section_scan(spark, sf_dir):
     return directory.section_rows(section_lumps(spark, sf_dir)).select("path", "kind", "first", "last", F.size("names").alias("n"))
 
 
-@register()
+@register("SELECT n_regionkey AS region, CAST(n_nationkey AS DOUBLE) AS x, n_nationkey / 4.0 AS y FROM nation")
 def udmf_parse(spark, sf_dir):
     """Text maps written from nations and read back."""
 
@@ -121,7 +121,9 @@ def udmf_parse(spark, sf_dir):
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").applyInPandas(run, "region int, x double, y double")
 
 
-@register()
+@register("""WITH g AS (SELECT p_partkey, p_size AS s, p_size % 12 AS x0, least(8, 16 - p_size % 12) AS w0, p_size % 5 AS x1, p_size % 7 AS y1 FROM part),
+  o AS (SELECT *, greatest(0, least(x0 + w0, x1 + 4) - greatest(x0, x1)) AS ox, greatest(0, least(10, y1 + 4) - greatest(2, y1)) AS oy FROM g)
+  SELECT p_partkey, CAST(w0 * 8 + 16 - ox * oy AS INTEGER) AS opaque, CAST(16 - (w0 + 4 - ox) AS INTEGER) AS empty_columns, CAST(255 * 16 + s * (w0 * 8 - ox * oy) AS BIGINT) AS total FROM o""")
 def texture_compose(spark, sf_dir):
     """Textures of two flat patches each, composed: opaque pixels and empty columns."""
 

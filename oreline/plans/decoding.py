@@ -441,3 +441,133 @@ def textmap_to_classic(spark, sf_dir):
     """Whole text maps written as classic map groups."""
     blobs, _ = assemble.to_classic(assemble.text_tables(assemble.text_blocks(_text_maps(spark, sf_dir), Options())))
     return blobs.select("map", "name", F.octet_length("data").cast("long").alias("size"))
+
+
+@register(f"""WITH {_ORD} SELECT 'C' || c AS map, CAST(i AS INTEGER) AS idx, CAST(i AS INTEGER) AS start, CASE WHEN k % 3 <> 0 THEN 0 END AS "right", CASE WHEN k % 5 = 0 THEN 0 END AS "left", CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS flags, CAST(k % 7 AS INTEGER) AS special FROM o""")
+def textmap_rewritten(spark, sf_dir):
+    """Linked tables of text maps, written as text maps again and read once more."""
+    t = assemble.text_tables(assemble.text_blocks(_text_maps(spark, sf_dir), Options()))
+    again = assemble.text_tables(assemble.text_blocks(assemble.to_text(t), Options()))
+    return again["linedefs"].select("map", "idx", "start", "right", "left", "flags", "special")
+
+
+@register(f"""WITH {_ORD}, m AS (SELECT DISTINCT c, n FROM o) SELECT 'f' || (c % 7) AS path, count(*) * 11 + 1 AS lumps, CAST(sum(14 * n) AS BIGINT) AS line_bytes, 'README' AS first FROM m GROUP BY c % 7""")
+def converted_files(spark, sf_dir):
+    """Files of text maps behind a note, converted to classic groups: eleven blobs for each map, the note where it was."""
+    m = _text_maps(spark, sf_dir).select((F.substring("map", 2, 20).cast("long") % 7).alias("f"), F.substring("map", 2, 20).cast("int").alias("c"), "map", "data")
+    rows = m.select("f", F.inline(F.array(*[F.struct((F.col("c") * 3 + i).alias("o"), n.alias("name"), d.alias("data")) for i, (n, d) in enumerate([(F.col("map"), F.lit(b"")), (F.lit("TEXTMAP"), F.col("data")), (F.lit("ENDMAP"), F.lit(b""))])])))
+    rows = rows.union(m.select("f").distinct().select("f", F.lit(-1), F.lit("README"), F.lit(b"x")))
+    from pyspark.sql import Window as W
+
+    lumps = rows.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("path"), (F.row_number().over(W.partitionBy("f").orderBy("o")) - 1).alias("lump_idx"), "name", "data")
+    got, _ = assemble.convert(lumps, "doom")
+    size = F.when(F.col("name") == "LINEDEFS", F.octet_length("data")).otherwise(0)
+    return got.groupBy("path").agg(F.count(F.lit(1)).alias("lumps"), F.sum(size).cast("long").alias("line_bytes"), F.min_by("name", "lump_idx").alias("first"))
+
+
+@register("""SELECT 'MAP' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS map, CAST(i AS INTEGER) AS idx, i / 2.0 AS x, CAST(i AS INTEGER) AS start, CAST(CASE WHEN i < 3 THEN i + 1 ELSE 0 END AS INTEGER) AS "end", CASE WHEN i % 2 = 0 THEN 0 END AS "right", CAST(n_nationkey AS INTEGER) AS arg0,
+    CASE WHEN i = 3 THEN 1 ELSE 0 END + CASE WHEN i % 2 = 1 THEN 1 ELSE 0 END AS warnings, CASE WHEN n_nationkey % 2 = 0 THEN 'T' || n_nationkey END AS floor_name, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE 70 END AS floor_index, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 256 ELSE 0 END AS INTEGER) AS color, 257 AS lights
+  FROM nation, (SELECT unnest(generate_series(0, 3)) AS i)""")
+def doom64_maps(spark, sf_dir):
+    """Maps in containers of their own, a file for each region: points, lines, a side, a sector and a light each."""
+    n = table(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("long"))
+    name = F.concat(F.lit("MAP"), F.lpad(F.col("k").cast("string"), 2, "0"))
+    i = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    key = ["n_regionkey", "k", "n_name"]
+    hashed = S.name_hash(F.concat(F.lit("T"), F.col("k").cast("string"))).cast("int")
+    zero = lambda *names: [F.lit(0).alias(x) for x in names]
+    tables = {
+        "VERTEXES": ("d64_vertex", i.select(*key, "i", (F.col("i") * 32768).alias("x"), F.lit(0).alias("y"))),
+        "LINEDEFS": ("d64_linedef", i.select(*key, "i", F.col("i").alias("start"), F.when(F.col("i") < 3, F.col("i") + 1).otherwise(99).alias("end"), F.lit(70_000).alias("flags"), F.lit(0).alias("special"), F.col("k").alias("tag"), F.when(F.col("i") % 2 == 0, 0).otherwise(5).alias("right"), F.lit(65535).alias("left"))),
+        "SIDEDEFS": ("d64_sidedef", n.select(*key, F.lit(0).alias("i"), *zero("x_offset", "y_offset", "upper", "lower", "middle", "sector"))),
+        "SECTORS": ("d64_sector", n.select(*key, F.lit(0).alias("i"), *zero("floor", "ceiling"), F.when(F.col("k") % 2 == 0, hashed).otherwise(70).alias("floor_tex"), *zero("ceiling_tex"), F.when(F.col("k") % 3 == 0, 256).otherwise(999).alias("floor_color"), *zero("ceiling_color", "thing_color", "top_color", "bottom_color", "special", "tag", "flags"))),
+        "LIGHTS": ("d64_light", n.select(*key, F.lit(0).alias("i"), F.lit(9).alias("red"), *zero("green", "blue", "pad", "tag"))),
+    }
+    blobs = None
+    for j, (lump, (record, rows)) in enumerate(tables.items()):
+        b = decoders.pack_native(rows, record, key, "i").select(*key, F.lit(j).alias("j"), F.lit(lump).alias("name"), "data")
+        blobs = b if blobs is None else blobs.union(b)
+    inner = wad.pack(blobs.withColumn("who", F.concat_ws("/", F.col("n_regionkey").cast("string"), F.col("k").cast("string"))), "who", "j").select(F.split("who", "/")[0].alias("r"), F.split("who", "/")[1].cast("long").alias("k"), "content")
+    outer = inner.select(F.concat(F.lit("r"), "r").alias("path"), F.col("k").alias("lump_idx"), F.concat(F.lit("MAP"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("name"), F.col("content").alias("data"))
+    held = verbs.nested(wad.scan(verbs.build(outer)))
+    lumps = held.select(F.split("path", "/")[0].alias("path"), F.split("path", "/")[1].alias("map"), "lump_idx", "name", "data")
+    names = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), hashed.alias("hash"), F.concat(F.lit("T"), F.col("k").cast("string")).alias("name")).where("k % 2 = 0")
+    t = assemble.doom64_tables(lumps, names)
+    lines = t["linedefs"].select("path", "map", "idx", "start", "end", "right", "arg0", F.size("warnings").alias("warnings"))
+    sectors = t["sectors"].select("path", "map", F.col("floor_tex.name").alias("floor_name"), F.col("floor_tex.index").alias("floor_index"), F.col("floor_color").alias("color"))
+    lights = t["lights"].groupBy("path", "map").agg(F.count(F.lit(1)).cast("int").alias("lights"))
+    points = t["vertexs"].select("path", "map", "idx", "x")
+    return lines.join(points, ["path", "map", "idx"]).join(sectors, ["path", "map"]).join(lights, ["path", "map"]).drop("path")
+
+
+@register("""SELECT p_partkey, CASE WHEN p_partkey % 5 IN (1, 2, 3) THEN 0 ELSE CAST(p_size % 4 + 1 AS INTEGER) END AS leafs, CASE WHEN p_partkey % 5 IN (1, 2, 3) THEN 1 ELSE 0 END AS leaf_warnings, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE CAST(p_size % 3 AS INTEGER) END AS macros, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS macro_warnings FROM part""")
+def leafs_and_macros(spark, sf_dir):
+    """Leaf and macro blobs, some with a wrong count, a dangling point, a cut record or bytes too many."""
+
+    def run(batches):
+        import struct
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for k, size in zip(pdf["p_partkey"].tolist(), pdf["p_size"].tolist(), strict=True):
+                n = size % 4 + 1
+                data = b"".join(struct.pack("<HHHHH", 2, 0, 0xFFFF, 9 if k % 5 == 2 else 1, 0) for _ in range(n))
+                data = data[:-1] if k % 5 == 3 else data
+                got, w = assemble.leafs(data, n + (k % 5 == 1), 2, 1, Options(strict=False))
+                m = size % 3
+                macro = struct.pack("<hh", m, 0) + b"".join(struct.pack("<h6h", 1, *range(6)) for _ in range(m)) + (b"x" if k % 3 == 0 else b"")
+                acts, w2 = assemble.macros(macro, Options(strict=False))
+                out.append((k, len(got), len(w), len(acts), len(w2)))
+            yield pd.DataFrame(out, columns=["p_partkey", "leafs", "leaf_warnings", "macros", "macro_warnings"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, leafs int, leaf_warnings int, macros int, macro_warnings int")
+
+
+@register("""SELECT 'z' || (c_custkey % 16) AS path, CASE WHEN c_custkey % 2 = 1 THEN 'sounds/' ELSE 'Flats/' END || lower(c_mktsegment) || c_custkey || '.txt' AS name, CAST(length(c_mktsegment) AS BIGINT) AS size, 'deflate' AS method FROM customer""")
+def archive_tails(spark, sf_dir):
+    """Members of archives of which only the last bytes are at hand; the rest is fetched as it is needed."""
+
+    def run(pdf):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        out, a = io.BytesIO(), int(pdf["a"].iloc[0])
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, name in zip(pdf["c_custkey"].tolist(), pdf["c_mktsegment"].tolist(), strict=True):
+                z.writestr(f"{'sounds' if k % 2 else 'Flats'}/{name.lower()}{k}.txt", name)
+        data = out.getvalue()
+        got = archives.tail_members(data[-64:], len(data), lambda at, n: data[at : at + n])
+        return pd.DataFrame({"path": [f"z{a}"] * len(got), "name": [m["name"] for m in got], "size": [m["uncompressed"] for m in got], "method": [m["method"] for m in got]})
+
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 16).alias("a"), "c_custkey", "c_mktsegment")
+    return c.groupBy("a").applyInPandas(run, "path string, name string, size long, method string")
+
+
+@register("""WITH n AS (SELECT n_regionkey AS r, n_nationkey AS k, 'N' || n_nationkey AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS c FROM nation)
+  SELECT 'r' || r AS path, 'TEX' || k AS texture, p AS part, CASE WHEN p = 0 THEN name END AS patch, CASE WHEN p = 0 AND i % 2 = 0 THEN CAST(2 + i // 2 AS INTEGER) END AS lump_idx, CAST(k AS INTEGER) AS x FROM n, (SELECT unnest([0, 1]) AS p)""")
+def texture_patches(spark, sf_dir):
+    """A texture for each nation of two patches: one of its own name, whose blob half of the nations have, and one that is not listed."""
+
+    def run(pdf):
+        import struct
+
+        import pandas as pd
+
+        pdf = pdf.sort_values("n_nationkey")
+        ks, names = pdf["n_nationkey"].tolist(), [f"N{k}" for k in pdf["n_nationkey"]]
+        pnames = struct.pack("<i", len(names)) + b"".join(x.encode().ljust(8, b"\0") for x in names)
+        body = [struct.pack("<8sihhih", f"TEX{k}".encode(), 0, 64, 64, 0, 2) + struct.pack("<5h", k, 0, i, 0, 0) + struct.pack("<5h", k, 0, 999, 0, 0) for i, k in enumerate(ks)]
+        at, offs = 4 + 4 * len(body), []
+        for b in body:
+            offs.append(at)
+            at += len(b)
+        tex = struct.pack("<i", len(body)) + struct.pack(f"<{len(offs)}i", *offs) + b"".join(body)
+        lumps = [("PNAMES", pnames), ("TEXTURE1", tex)] + [(x, b"") for i, x in enumerate(names) if i % 2 == 0]
+        return pd.DataFrame({"path": [f"r{int(pdf['n_regionkey'].iloc[0])}"] * len(lumps), "lump_idx": range(len(lumps)), "name": [x for x, _ in lumps], "data": [d for _, d in lumps]})
+
+    lumps = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").groupBy("n_regionkey").applyInPandas(run, "path string, lump_idx int, name string, data binary")
+    return verbs.texture_patches(lumps).select("path", "texture", "part", "patch", "lump_idx", "x")

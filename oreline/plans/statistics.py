@@ -160,7 +160,17 @@ def size_stats(spark, sf_dir):
     return g.select(F.coalesce("o_orderstatus", F.lit("ALL")).alias("bucket"), F.coalesce("y", F.lit("ALL")).alias("year"), "n", "total")
 
 
-@register()
+_M64 = "18446744073709551616"
+
+
+@register(f"""WITH RECURSIVE n AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders WHERE o_orderstatus = 'O'), c AS (SELECT count(*) AS n FROM n),
+  f AS (SELECT CAST(-1 AS BIGINT) AS i, CAST(20260812 AS UBIGINT) AS state, MAP([CAST(-1 AS BIGINT)], [CAST(-1 AS BIGINT)]) AS moved, CAST(-1 AS BIGINT) AS pos UNION ALL
+    SELECT i, state, map_concat(moved, MAP([j], [coalesce(map_extract(moved, i)[1], i)])), coalesce(map_extract(moved, j)[1], j) FROM (
+    SELECT i, state, moved, i + CAST(xor(z2, z2 >> 31) % CAST(n - i AS UBIGINT) AS BIGINT) AS j FROM (
+    SELECT i, state, moved, n, CAST((CAST(xor(z1, z1 >> 27) AS UHUGEINT) * 10723151780598845931) % {_M64} AS UBIGINT) AS z2 FROM (
+    SELECT i, state, moved, n, CAST((CAST(xor(state, state >> 30) AS UHUGEINT) * 13787848793156543929) % {_M64} AS UBIGINT) AS z1 FROM (
+    SELECT f.i + 1 AS i, CAST((CAST(f.state AS UHUGEINT) + 11400714819323198485) % {_M64} AS UBIGINT) AS state, f.moved, c.n FROM f, c WHERE f.i + 1 < least(50, c.n))))))
+  SELECT CAST(i AS INTEGER) AS draw, o_orderkey, o_totalprice FROM f JOIN n ON n.position = f.pos WHERE i >= 0""")
 def seeded_sample(spark, sf_dir, seed: int = 20260812, count: int = 50):
     """A drawing without replacement; positions are few, so they travel to the data."""
     from pyspark.sql import Window as W
