@@ -11,8 +11,8 @@ Counts of the ``HOT`` most frequent tokens go to all executors; rarer tokens are
 counts, so no table that grows with the vocabulary is broadcast, and no rare token is a hot key.
 
 Tokens are hashes of 64 bits. Defined results: a null or empty text is the end token alone; repeated rows get
-equal scores, each its own row; a null doc_id hashes as null, belongs to no fold and is not learned from; extra
-columns are ignored; an empty table gives an empty result; with no training token at all both scores are
+equal scores, each its own row; of equally frequent tokens those with the lesser hash come first; a null doc_id belongs to no fold
+and is not learned from; a text of any length is scored whole; extra columns, whatever their names, are ignored; an empty table gives an empty result; with no training token at all both scores are
 those of a token out of one possible.
 """
 
@@ -79,7 +79,14 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     t = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HOT).toPandas()
+    # how frequent a token must be to be among the first, to within a tenth, so that no task orders or sends more than a few of its own
+    steps = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("s")).collect()  # a few hundred rows
+    least, seen = 1, 0
+    for r in steps:
+        least, seen = r["c"], seen + r["n"]
+        if seen >= HOT:
+            break
+    top = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(HOT).toPandas()
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     m = min(WORDS, len(h))
     word = np.full(len(h), -1)
