@@ -109,8 +109,9 @@ def test_op10_keeps_one_decides_by_row(spark):
     assert sum(n for (i, t), n in got.items() if t in (f, f + " x")) == 1
 
 
-def repeats(rows, size=100):
-    seen, out = {}, []
+def covers(rows, size=100):
+    """(id, bytes, flags of the bytes to remove) of every row, in the order of ids."""
+    seen = {}
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     for i, t in rows:
         key = (i is not None, i or 0)
@@ -123,6 +124,16 @@ def repeats(rows, size=100):
         for p in range(len(b) - size + 1):
             if seen[b[p : p + size]] < (key, p):
                 cover[p : p + size] = b"\1" * size
+        yield i, b, cover
+
+
+def kept_bytes(rows):
+    return [bytes(c for c, m in zip(b, cover, strict=True) if not m) for _, b, cover in covers(rows)]
+
+
+def repeats(rows, size=100):
+    out = []
+    for i, b, cover in covers(rows, size):
         spans = sum(cover[j] and (j == 0 or not cover[j - 1]) for j in range(len(cover)))
         out.append((str(i), len(b), sum(cover), spans, hashlib.sha256(bytes(c for c, m in zip(b, cover, strict=True) if not m)).hexdigest()))
     return sorted(out)
@@ -202,6 +213,17 @@ def best_fit_decreasing(counts, capacity):
     return len(rooms)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(codec="utf-8") | st.sampled_from(list(" \t\n\r\x0b\x1c\x85\xa0\u2028'sdtß×²ªÀ你<|>")), max_size=40), max_size=8))
+def test_ids_are_the_library_s(texts):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    enc = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*texts, "it's  <|endoftext|> x\n\n y  ", ""]
+    for _ in range(2):
+        got = [a.tolist() for a in enc(texts)]
+        assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("kind", ["uniform", "middle", "log-normal"])
 def test_plans_of_many_pieces(kind):
     rng = np.random.default_rng(1)

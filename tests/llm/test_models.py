@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from oreline.llm import common as C
+from oreline.llm import queries as llm_queries
 from oreline.llm import decontamination, licenses, quality, toxicity, url_filter
 
 WORD = st.text(alphabet="abcd", min_size=1, max_size=8)
@@ -181,6 +182,77 @@ def test_tiles(a, b, least):
                 assert not (set(range(i, i + least)) <= free_a and set(range(j, j + least)) <= free_b)
 
 
+def longest_first(a, b, least):
+    """Greedy string tiling as it is defined: the longest common unmarked string, the earliest of equal ones, again and again."""
+    ma, mb, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not ma[i + k] and not mb[j + k]:
+                    k += 1
+                best = min(best, (-k, i, j))
+        k, i, j = best
+        if -k < least:
+            return sorted(out, key=lambda t: t[1])
+        ma[i : i - k] = mb[j : j - k] = [True] * -k
+        out.append((i, j, -k))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=24), st.lists(st.integers(0, 2), max_size=16), st.integers(1, 4))
+def test_tiles_are_the_longest_first(a, b, least):
+    assert decontamination.tiles(a, b, least) == longest_first(a, b, least)
+
+
+def test_tiles_of_one_repeated_word():
+    assert sum(n for _, _, n in decontamination.tiles([7] * 20_000, [7] * 40, 4)) == 40
+
+
+def bare(text):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    good = lambda c: c.isascii() and c.isalnum() or not c.isascii()
+    out = []
+    for w in re.split("[\x20\x09-\x0d]+", low):
+        keep = [i for i, c in enumerate(w) if good(c)]
+        if keep:
+            out.append(w[keep[0] : keep[-1] + 1])
+    return out
+
+
+@pytest.mark.parametrize("block", [1_000_000, 300])
+def test_leaks_equal_brute_force(spark, block, monkeypatch):
+    """The whole query on a table: every document against every item that shares a string of four words with it."""
+    monkeypatch.setattr(decontamination, "BLOCK_SEEDS", block)
+    monkeypatch.setattr(decontamination, "FILTER_BITS", 16)
+    sf = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.item_id): (r.matched_words, r.item_words, r.n_tiles) for r in llm_queries.op1_decontamination(spark, sf).collect()}
+    tables = [[tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id"))]
+    want = leaked(*tables)
+    assert got == want and want
+
+
+def leaked(docs, bench):
+    """{(doc, item): (matched words, item words, tiles)} of rows (id, text)."""
+    items = {i: bare(t) for i, t in bench}
+    number: dict[str, int] = {}
+    ids = lambda ws: [number.setdefault(x, len(number) + 1) for x in ws]
+    grams = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or {tuple(w)} for i, w in items.items()}
+    want = {}
+    for i, text in docs:
+        w = bare(text)
+        mine = {tuple(w[k : k + n]) for n in (1, 2, 3, 4) for k in range(len(w) - n + 1)}
+        for item, words in items.items():
+            covered = {k + x for k in range(len(words) - 3) if tuple(words[k : k + 4]) in mine for x in range(4)}
+            if not words or not grams[item] & mine or (len(words) > 3 and len(covered) < 0.5 * len(words)):
+                continue
+            t = decontamination.tiles(ids(w), ids(words), min(4, len(words)))
+            if sum(n for _, _, n in t) >= 0.5 * len(words):
+                want[i, item] = (sum(n for _, _, n in t), len(words), len(t))
+    return want
+
+
 @pytest.mark.parametrize("block", [1_000_000, 30])
 def test_leaks_are_found_in_any_order(spark, block, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_SEEDS", block)
