@@ -28,6 +28,8 @@ the first may be shorter; pieces of one length take their places in the order of
 from __future__ import annotations
 
 import bisect
+import itertools
+import json
 import math
 import os
 import zlib
@@ -49,18 +51,65 @@ CELLS = 1_000_000  #: or more of them, so that their groups are about so many at
 
 
 # ---------------------------------------------------------------- tokens
+# Fixed value: how byte-level BPE files split a text into words before they look at it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters about which two libraries' tables cannot differ: ASCII but for odd control characters, Latin letters, punctuation.
+PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*"
+KNOWN = 1 << 18  #: words whose ids are kept for the next ones, at most
 _encoders: dict[str, object] = {}
 
 
-def encoder(path: str):
-    """texts -> lists of ids, by a byte-level BPE file of the tokenizers library."""
-    if path not in _encoders:
+class Encoder:
+    """texts -> arrays of ids, by a file of the tokenizers library. Byte-level BPE looks at each word of a text on its own, so a
+    word that was met before needs no second look; texts with characters beyond ``PLAIN`` go to the library whole."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import regex
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _encoders[path] = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        by_word = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
+        self.split = regex.compile(SPLIT).findall if by_word else None
+        self.plain = regex.compile(PLAIN).fullmatch
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: those of a space and letters in runs, which are split just there again, the others one by one."""
+        runs = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        for lo in range(0, len(runs), 1000):
+            part = runs[lo : lo + 1000]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            raw, cuts = np.array(e.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1
+            if len(cuts) + 1 == len(part):
+                at = [0, *(4 * cuts).tolist(), len(raw)]
+                self.known.update(zip(part, [raw[a:z] for a, z in itertools.pairwise(at)], strict=True))
+            else:
+                rest += part
+        self.known.update(zip(rest, self._ids(rest), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words = [self.split(t) if self.split and self.plain(t) else None for t in texts]
+        new = list(set(itertools.chain.from_iterable(w for w in words if w)).difference(self.known))
+        if len(self.known) + len(new) > KNOWN:
+            self.known = {}
+            new = list(set(itertools.chain.from_iterable(w for w in words if w)))
+        self._learn(new)
+        whole = iter(self._ids([t for t, w in zip(texts, words, strict=True) if w is None]))
+        look = self.known.__getitem__
+        return [np.frombuffer(next(whole) if w is None else b"".join(map(look, w)), "<u4") for w in words]
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -77,7 +126,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 raw = data.tobytes()
                 cols: list[list] = [[] for _ in schema]
                 for i, got in enumerate(encode([raw[a:z].decode("utf-8", "replace") for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])):
-                    tokens = np.array([*got, END], "<u4")
+                    tokens = np.append(got, np.uint32(END))
                     n = -(-len(tokens) // capacity)
                     cuts = [0, *range(len(tokens) - capacity * (n - 1), len(tokens) + 1, capacity)]
                     for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
