@@ -206,8 +206,9 @@ def trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return np.minimum(after[starts], ends), np.maximum(before[ends - 1] + 1, np.minimum(after[starts], ends))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of lower-cased (A-Z) words; spans of up to ``CHUNK`` bytes at a time."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of words, lower-cased (A-Z) unless told otherwise; spans of up to ``CHUNK`` bytes at a time."""
+    table = _RAND_LOW if lower else _RAND
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -215,7 +216,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         lo, hi = int(starts[i]), int(ends[j - 1])
         pw, inv = _powers(hi - lo + 1)
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_RAND_LOW[data[lo:hi]] * pw[: hi - lo], out=sums[1:])
+        np.cumsum(table[data[lo:hi]] * pw[: hi - lo], out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64))
         i = j

@@ -28,7 +28,6 @@ the first may be shorter; pieces of one length take their places in the order of
 from __future__ import annotations
 
 import bisect
-import itertools
 import json
 import math
 import os
@@ -51,60 +50,172 @@ CELLS = 1_000_000  #: or more of them, so that their groups are about so many at
 
 
 # ---------------------------------------------------------------- tokens
-# Fixed value: how byte-level BPE files split a text into words before they look at it.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Characters about which two libraries' tables cannot differ: ASCII but for odd control characters, Latin letters, punctuation.
-PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*"
-KNOWN = 1 << 18  #: words whose ids are kept for the next ones, at most
-_encoders: dict[str, object] = {}
+KNOWN, KNOWN_IDS = 1_200_000, 8_000_000  #: words, and ids of words, that are kept for the next texts, at most
+LETTER, DIGIT, SPACE, OTHER = range(4)
+_encoders: dict[str, Encoder] = {}
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of a character by its first byte, and by the second one after 0xC2. 255: not among the plain ones."""
+    one, two = np.full(256, 255, np.uint8), np.full(256, 255, np.uint8)
+    one[0x20:0x7F], one[[9, 10, 13, 32]] = OTHER, SPACE
+    one[48:58], one[65:91], one[97:123] = DIGIT, LETTER, LETTER
+    one[0xC2], one[0xC3:0xCA], one[0xE2] = OTHER, LETTER, OTHER
+    two[0xA1:0xC0], two[0xAD] = OTHER, 255
+    two[[0xAA, 0xB5, 0xBA]], two[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = LETTER, DIGIT
+    return one, two
+
+
+_ONE, _TWO = _kinds()
+
+
+def split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the words, flags of the texts that were not split) as byte-level BPE files split texts: endings after an apostrophe
+    ('s 't 're 've 'm 'll 'd), runs of letters, of digits and of other characters, each with a space before it, and runs of
+    white space but for its last character where something follows. Only texts of plain characters are split: ASCII
+    without odd control characters, Latin letters and common punctuation, on whose kinds all tables agree."""
+    n = len(data)
+    kind = _ONE[data]
+    cont = (data & 0xC0) == 0x80
+    want = np.zeros(n + 2, bool)  # continuation bytes that the first bytes ask for
+    lead2, lead3 = np.flatnonzero((data >= 0xC2) & (data < 0xE0)), np.flatnonzero(data == 0xE2)
+    want[lead2 + 1] = want[lead3 + 1] = want[lead3 + 2] = True
+    bad = (kind == 255) & ~cont
+    bad |= cont != want[:n]
+    for at in (lead2[lead2 < n - 1],):
+        second = data[at + 1]
+        c2, c3, c9 = at[data[at] == 0xC2], at[data[at] == 0xC3], at[data[at] == 0xC9]
+        kind[c2] = _TWO[data[c2 + 1]]
+        bad[c2] |= kind[c2] == 255
+        kind[c3[(data[c3 + 1] == 0x97) | (data[c3 + 1] == 0xB7)]] = OTHER
+        bad[c9] |= data[c9 + 1] > 0x8F
+        kind[at + 1] = np.where((second & 0xC0) == 0x80, kind[at], kind[at + 1])
+    three = lead3[lead3 < n - 2]
+    b, c = data[three + 1], data[three + 2]
+    known = ((b == 0x80) & (((c >= 0x90) & (c <= 0xA7)) | (c >= 0xB0))) | ((b == 0x81) & (c <= 0x9E)) | ((b == 0x82) & (c == 0xAC))
+    bad[three] |= ~known
+    bad[lead3[lead3 >= n - 2]] = True
+    kind[three + 1] = kind[three + 2] = OTHER
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    start = np.ones(n, bool)
+    start[1:] = kind[1:] != kind[:-1]
+    start |= edge[:n]
+    # the last of a run of white space, where something of the same text follows
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~edge[1:n]) if n > 1 else np.zeros(0, np.int64)
+    start[last] = True
+    start[last[data[last] == 32] + 1] = False
+    # endings after an apostrophe that no space was joined to
+    q = np.flatnonzero((data == 39) & start)
+    q = q[q + 1 < n]
+    q = q[~edge[q + 1]]
+    single = np.isin(data[q + 1], np.frombuffer(b"stmd", np.uint8))
+    r = q[(q + 2 < n) & ~single]
+    r = r[~edge[r + 2]]
+    pair = data[r + 1].astype(np.int32) * 256 + data[r + 2]
+    r = r[np.isin(pair, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])]
+    for at, size in ((q[single], 2), (r, 3)):
+        for k in range(1, size):
+            start[at + k] = False
+        after = at + size
+        start[after[after < n]] = True
+    doc_bad = np.zeros(len(offs) - 1, bool)
+    if bad.any():
+        doc_bad[np.searchsorted(offs, np.flatnonzero(bad), "right") - 1] = True
+        start &= ~np.repeat(doc_bad, np.diff(offs)) | edge[:n]
+    return np.flatnonzero(start), doc_bad
 
 
 class Encoder:
-    """texts -> arrays of ids, by a file of the tokenizers library. Byte-level BPE looks at each word of a text on its own, so a
-    word that was met before needs no second look; texts with characters beyond ``PLAIN`` go to the library whole."""
+    """Ids of texts by a file of the tokenizers library. Byte-level BPE looks at each word of a text on its own, so a word that was
+    met before needs no second look; a text that :func:`split` leaves whole is one word here and goes to the library as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
-        by_word = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
-        self.split = regex.compile(SPLIT).findall if by_word else None
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: those of a space and letters in runs, which are split just there again, the others one by one."""
-        runs = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        for lo in range(0, len(runs), 1000):
-            part = runs[lo : lo + 1000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            raw, cuts = np.array(e.ids, "<u4").tobytes(), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1
+        self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes of known words, ascending, and their places
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # bytes of the word at a place
+        self.ids, self.ids_at = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # its ids
+
+    def _learn(self, raw: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, ids, number of each word's ids) of words: those of a space and letters are encoded in runs, which are split
+        just there again, the others one by one."""
+        words = [w.decode("utf-8", "replace") for w in raw]
+        easy = [w[0] == " " and w[1:].isalpha() for w in words]
+        runs, rest = [i for i, e in enumerate(easy) if e], [i for i, e in enumerate(easy) if not e]
+        order, ids, sizes = [], [], []
+        for lo in range(0, len(runs), 2000):
+            part = runs[lo : lo + 2000]
+            e = self.tokenizer.encode("".join([words[i] for i in part]), add_special_tokens=False)
+            got = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1
             if len(cuts) + 1 == len(part):
-                at = [0, *(4 * cuts).tolist(), len(raw)]
-                self.known.update(zip(part, [raw[a:z] for a, z in itertools.pairwise(at)], strict=True))
+                order += part
+                ids.append(got)
+                sizes.append(np.diff(np.concatenate([[0], cuts, [len(got)]])))
             else:
                 rest += part
-        self.known.update(zip(rest, self._ids(rest), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.split(t) if self.split and self.plain(t) else None for t in texts]
-        new = list(set(itertools.chain.from_iterable(w for w in words if w)).difference(self.known))
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = list(set(itertools.chain.from_iterable(w for w in words if w)))
-        self._learn(new)
-        whole = iter(self._ids([t for t, w in zip(texts, words, strict=True) if w is None]))
-        look = self.known.__getitem__
-        return [np.frombuffer(next(whole) if w is None else b"".join(map(look, w)), "<u4") for w in words]
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        ids.append(np.array([x for e in each for x in e], np.uint32))
+        sizes.append(np.array([len(e) for e in each], np.int64))
+        return order + rest, np.concatenate(ids), np.concatenate(sizes)
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts in ``data``."""
+        starts = split(data, offs)[0] if self.by_word else np.unique(offs[:-1][np.diff(offs) > 0])
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        size = np.diff(np.append(starts, len(data)))
+        h = C.word_hashes(data, starts, starts + size, lower=False)
+        u, rep, inv = np.unique(h, return_index=True, return_inverse=True)
+        self._equal(data, starts, size, data, starts[rep][inv], size[rep][inv])
+        if len(self.keys) + len(u) > KNOWN or len(self.ids) > KNOWN_IDS:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
+        known = self.keys[at] == u if len(self.keys) else np.zeros(len(u), bool)
+        slot = np.full(len(u), -1, np.int64)
+        slot[known] = self.slot[at[known]]
+        self._equal(data, starts[rep][known], size[rep][known], self.text, self.text_at[slot[known]], np.diff(self.text_at)[slot[known]])
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw, first = data.tobytes(), starts[rep[new]]
+            order, ids, sizes = self._learn([raw[a:z] for a, z in zip(first.tolist(), (first + size[rep[new]]).tolist(), strict=True)])
+            new = new[order]
+            slot[new] = len(self.text_at) - 1 + np.arange(len(new))
+            s, n = starts[rep[new]], size[rep[new]]
+            self.text = np.concatenate([self.text, data[_spread(s, n)]])
+            self.text_at = np.concatenate([self.text_at, self.text_at[-1] + np.cumsum(n)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(sizes)])
+            keys, places = np.concatenate([self.keys, np.sort(u[new])]), np.concatenate([self.slot, slot[np.sort(new)].astype(np.int32)])
+            merged = np.argsort(keys, kind="stable")  # two ascending runs
+            self.keys, self.slot = keys[merged], places[merged]
+        slot = slot[inv]
+        first, count = self.ids_at[slot], self.ids_at[slot + 1] - self.ids_at[slot]
+        done = np.concatenate([[0], np.cumsum(count)])
+        return self.ids[_spread(first, count)], done[np.searchsorted(starts, offs)]
+
+    @staticmethod
+    def _equal(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> None:
+        """Words of one hash must be one word; the hash has 64 bits."""
+        if (a_size != b_size).any() or (a[_spread(a_at, a_size)] != b[_spread(b_at, b_size)]).any():
+            raise AssertionError("two words have the same hash")
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, … of each run of so many."""
+    kind = np.int32 if not len(first) or int(first.max()) < 2**30 else np.int64
+    ends = np.cumsum(size)
+    return np.repeat((first - (ends - size)).astype(kind), size) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=kind)
 
 
 def encoder(path: str) -> Encoder:
@@ -122,11 +233,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         encode = encoder(path)
         for b in batches:
             row = b.column(b.schema.get_field_index("__row")).to_numpy()
-            for r0, r1, ids, data, offs in C.chunks(b, 1 << 19):
-                raw = data.tobytes()
+            for r0, r1, ids, data, offs in C.chunks(b):
                 cols: list[list] = [[] for _ in schema]
-                for i, got in enumerate(encode([raw[a:z].decode("utf-8", "replace") for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])):
-                    tokens = np.append(got, np.uint32(END))
+                got, at = encode(data, offs)
+                for i, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    tokens = np.append(got[a:z], np.uint32(END)).astype("<u4")
                     n = -(-len(tokens) // capacity)
                     cuts = [0, *range(len(tokens) - capacity * (n - 1), len(tokens) + 1, capacity)]
                     for p, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

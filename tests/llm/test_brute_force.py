@@ -218,10 +218,22 @@ def best_fit_decreasing(counts, capacity):
 def test_ids_are_the_library_s(texts):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     enc = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = [*texts, "it's  <|endoftext|> x\n\n y  ", ""]
+    texts = [*texts, "it's  <|endoftext|> x\n\n y  ", "", "we'll 's ''re'd don't've\n's  'm"]
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     for _ in range(2):
-        got = [a.tolist() for a in enc(texts)]
-        assert got == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids, at = enc(data, offs)
+        assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_plain_texts_are_split():
+    """Texts of plain characters, all of them, never go to the library whole."""
+    plain = "".join(map(chr, [9, 10, 13, *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]))
+    data = np.frombuffer(plain.encode(), np.uint8)
+    assert not packing.split(data, np.array([0, len(data)]))[1].any()
+    for odd in ("\x0b", "\xa0", "\xad", "\u0250", "\u2028", "你", "😀", "\x7f"):
+        data = np.frombuffer(odd.encode(), np.uint8)
+        assert packing.split(data, np.array([0, len(data)]))[1].all()
 
 
 @pytest.mark.parametrize("kind", ["uniform", "middle", "log-normal"])
