@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oreline.functions import scalars as S
-from oreline.operators import archives, assemble, directory, grid, maps, verbs
+from oreline.operators import archives, assemble, bsp, directory, gl, grid, maps, oneshot, verbs
 from oreline.options import Options
 from oreline.plans.catalogue import register, table
-from oreline.sources import archive, audio, decoders, graphics, records, textmap, wad
+from oreline.sources import archive, audio, decoders, graphics, nodes, records, textmap, wad
 
 LENIENT = Options(strict=False)
 
@@ -571,3 +571,66 @@ def texture_patches(spark, sf_dir):
 
     lumps = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").groupBy("n_regionkey").applyInPandas(run, "path string, lump_idx int, name string, data binary")
     return verbs.texture_patches(lumps).select("path", "texture", "part", "patch", "lump_idx", "x")
+
+
+# ---------------------------------------------------------------- trees
+def _room(size: int) -> tuple[list[tuple[int, int]], list[dict]]:
+    """A room as wide as a part's size tells, with a pillar in it and a two-sided line across."""
+    w = 200 + 8 * size
+    points = [(0, 0), (0, 96), (w, 96), (w, 0), (40, 40), (40, 56), (56, 56), (56, 40), (100, 96), (120, 0)]
+    ring = lambda ps, back=0xFFFF: [{"start": a, "end": b, "right": 0, "left": back} for a, b in zip(ps, [*ps[1:], ps[0]], strict=True)]
+    return points, ring([0, 1, 8, 2, 3, 9]) + ring([7, 6, 5, 4]) + [{"start": 8, "end": 9, "right": 0, "left": 0}]
+
+
+@register("SELECT p_partkey, CAST((200 + 8 * p_size) * 96 - 256 AS BIGINT) AS area, 0 AS faults, 0 AS classic_faults, 11 AS lines, 12 AS sides, true AS again FROM part")
+def tree_builds(spark, sf_dir):
+    """GL and classic trees of a room for each part: the leaves' areas make up the room, no loop is open, every side of every line
+    has its seg, and the written tree reads back the same."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for k, size in zip(pdf["p_partkey"].tolist(), pdf["p_size"].tolist(), strict=True):
+                points, lines = _room(size)
+                t, c = gl.build(points, lines), bsp.build(points, lines)
+                back = nodes.extended(nodes.write_extended(t, t["dialect"], compress=size % 2 == 0))
+                sides = {(s["linedef"], s["side"]) for s in t["segs"] if s["linedef"] is not None}
+                again = back["subsectors"] == t["subsectors"] and back["segs"] == t["segs"]
+                out.append((k, bsp.near(gl.area(t, points)), len(gl.check(t)), len(bsp.check(c)), len({s["linedef"] for s in c["segs"]}), len(sides), again))
+            yield pd.DataFrame(out, columns=["p_partkey", "area", "faults", "classic_faults", "lines", "sides", "again"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey long, area long, faults int, classic_faults int, lines int, sides int, again boolean")
+
+
+@register("""SELECT 'p' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'MAP01,TEXTMAP,ZNODES,ENDMAP' ELSE 'MAP01,THINGS,LINEDEFS,SIDEDEFS,VERTEXES,SEGS,SSECTORS,NODES,SECTORS,REJECT,BLOCKMAP' END AS lumps, p_partkey % 2 = 0 AS gl, p_partkey % 2 = 1 AS grid FROM part""")
+def files_with_nodes(spark, sf_dir):
+    """Files of one map each, half of them text maps and half classic groups, with trees put in."""
+
+    def made(pdf_batches):
+        import pandas as pd
+
+        for pdf in pdf_batches:
+            rows = []
+            for k, size in zip(pdf["p_partkey"].tolist(), pdf["p_size"].tolist(), strict=True):
+                points, lines = _room(size)
+                if k % 2 == 0:
+                    blocks = [("vertex", {"x": float(x), "y": float(y)}) for x, y in points]
+                    blocks += [("linedef", {"v1": ln["start"], "v2": ln["end"], "sidefront": 0, **({"sideback": 0} if ln["left"] == 0 else {})}) for ln in lines]
+                    blocks += [("sidedef", {"sector": 0}), ("sector", {"texturefloor": "F", "textureceiling": "F"})]
+                    body = [("TEXTMAP", textmap.write("doom", blocks).encode()), ("ENDMAP", b"")]
+                else:
+                    full = [{**ln, "flags": 0, "special": 0, "tag": 0} for ln in lines]
+                    side = {"x_offset": 0, "y_offset": 0, "upper": "-", "lower": "-", "middle": "-", "sector": 0}
+                    sector = {"floor": 0, "ceiling": 64, "floor_tex": "F", "ceiling_tex": "F", "light": 160, "special": 0, "tag": 0}
+                    blob = {"LINEDEFS": decoders.encode(full, "linedef"), "SIDEDEFS": decoders.encode([side], "sidedef"), "VERTEXES": decoders.encode([{"x": x, "y": y} for x, y in points], "vertex"), "SECTORS": decoders.encode([sector], "sector")}
+                    body = [(n, blob.get(n, b"")) for n in directory.MAP_LUMPS[:10]]
+                rows += [(f"p{k}", i, n, d) for i, (n, d) in enumerate([("MAP01", b""), *body])]
+            yield pd.DataFrame(rows, columns=["path", "lump_idx", "name", "data"])
+
+    lumps = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(made, "path string, lump_idx int, name string, data binary")
+    got = oneshot.with_nodes(lumps)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lump_idx", "name"))), lambda p: p["name"]), ",")
+    head = F.decode(F.call_function("substring", F.col("data"), F.lit(1), F.lit(4)), "US-ASCII")
+    return got.groupBy("path").agg(names.alias("lumps"), F.max((F.col("name") == "ZNODES") & head.isin("XGLN", "XGL3")).alias("gl"), F.max((F.col("name") == "BLOCKMAP") & (F.octet_length("data") > 8)).alias("grid"))
