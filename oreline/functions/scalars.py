@@ -333,6 +333,16 @@ def turns_before(a: tuple[Column, Column, Column], b: tuple[Column, Column, Colu
     return F.when(a[0] != b[0], F.when(a[0] < b[0], -1).otherwise(1)).otherwise(side if clockwise else -side)
 
 
+def seg_angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Direction of a seg between two points; 0 where they are one."""
+    return bam_angle((bx - ax).cast("double"), (by - ay).cast("double"))
+
+
+def seg_offset(ax: Column, ay: Column, x: Column, y: Column) -> Column:
+    """Distance along its line at which a seg starts, from the line's end it runs from, in whole units."""
+    return F.round(F.sqrt((x - ax).cast("double") * (x - ax) + (y - ay).cast("double") * (y - ay))).cast("int")
+
+
 # ---------------------------------------------------------------- little-endian integers in binary columns
 def le_uint(data: Column, offset: Column | int, size: int) -> Column:
     """Unsigned little-endian integer of 1 to 4 bytes at a 0-based offset."""

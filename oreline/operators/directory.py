@@ -140,6 +140,21 @@ def gl_groups(lumps: DataFrame, groups: DataFrame) -> DataFrame:
     return j.select("path", "map", "lump_idx", "name")
 
 
+def gl_sibling_groups(lumps: DataFrame, names: DataFrame) -> DataFrame:
+    """For each map name (``names``: map), its group in a file of GL blobs (path, lump_idx, name, data): path, map, lump_idx, name. A
+    group begins at ``GL_`` and the map's name, where that fits in 8 bytes, or at a ``GL_LEVEL`` whose text tells the name; the first
+    one counts, and only if all four blobs come before the next marker."""
+    need = ["GL_VERT", "GL_SEGS", "GL_SSECT", "GL_NODES"]
+    marker = F.startswith("name", F.lit("GL_")) & ~F.col("name").isin([*need, "GL_PVS"])
+    told = F.trim(F.regexp_replace(F.regexp_extract(F.decode("data", "ISO-8859-1"), r"(?m)^LEVEL=(.*)$", 1), "[\r\\x00]+$", ""))
+    m = lumps.where(marker).select("path", F.col("lump_idx").alias("from"), F.when(F.col("name") == "GL_LEVEL", told).otherwise(F.substring("name", 4, 8)).alias("map"))
+    m = m.withColumn("until", F.coalesce(F.lead("from").over(W.partitionBy("path").orderBy("from")), F.lit(2**31 - 1)))
+    m = m.join(names.select("map").distinct(), "map").withColumn("n", F.row_number().over(W.partitionBy("path", "map").orderBy("from"))).where("n = 1")
+    j = lumps.where(F.col("name").isin(need)).select("path", "lump_idx", "name").join(m, "path").where("lump_idx > `from` and lump_idx < until")
+    whole = j.groupBy("path", "map").agg(F.countDistinct("name").alias("k")).where(F.col("k") == len(need)).select("path", "map")
+    return j.join(whole, ["path", "map"], "left_semi").select("path", "map", "lump_idx", "name")
+
+
 def game_of(lumps: DataFrame) -> DataFrame:
     """``strife`` for files with a dialogue script of whole pages, else ``doom``."""
     script = F.col("name").rlike("^SCRIPT[0-9]{2}$") & (F.col("size") > 0) & ((F.col("size") % 1516 == 0) | (F.col("size") % 1488 == 0))

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from oreline.plans import binary, containers, corpus, decoding, geometry, harvest, names, statistics  # noqa: F401
+    from oreline.plans import binary, containers, corpus, decoding, geometry, harvest, names, statistics, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

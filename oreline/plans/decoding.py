@@ -8,7 +8,7 @@ from oreline.functions import scalars as S
 from oreline.operators import archives, assemble, bsp, directory, gl, grid, maps, oneshot, verbs
 from oreline.options import Options
 from oreline.plans.catalogue import register, table
-from oreline.sources import archive, audio, decoders, graphics, nodes, records, textmap, wad
+from oreline.sources import archive, audio, decoders, graphics, nodes, records, scripts, textmap, wad
 
 LENIENT = Options(strict=False)
 
@@ -634,3 +634,72 @@ def files_with_nodes(spark, sf_dir):
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lump_idx", "name"))), lambda p: p["name"]), ",")
     head = F.decode(F.call_function("substring", F.col("data"), F.lit(1), F.lit(4)), "US-ASCII")
     return got.groupBy("path").agg(names.alias("lumps"), F.max((F.col("name") == "ZNODES") & head.isin("XGLN", "XGL3")).alias("gl"), F.max((F.col("name") == "BLOCKMAP") & (F.octet_length("data") > 8)).alias("grid"))
+
+
+# ---------------------------------------------------------------- scripts
+@register("""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT 'p' || k AS path, 'A' || s AS sequence, 0 AS step, 'play' AS command, 'snd' || s AS sound, CAST(NULL AS BIGINT) AS low, CAST(NULL AS BIGINT) AS high FROM p
+  UNION ALL SELECT 'p' || k, 'A' || s, 1, 'delayrand', NULL, 1, s FROM p WHERE k % 3 <> 0 UNION ALL SELECT 'p' || k, 'A' || s, CASE WHEN k % 3 <> 0 THEN 2 ELSE 1 END, 'end', NULL, NULL, NULL FROM p
+  UNION ALL SELECT 'p' || k, 'B', 0, 'playtime', 'x', k, NULL FROM p""")
+def sound_sequences(spark, sf_dir):
+    """Scripts of two sequences with comments, a bad number in some, an unknown command and no end of the second."""
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    rand = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" delayrand one "), s)).otherwise(F.concat(F.lit(" DelayRand 1 "), s))
+    text = F.concat(F.lit("stray\n:A"), s, F.lit(" ; note\n Play snd"), s, F.lit("\n"), rand, F.lit("\n end\n:B // two\n jump\n playtime x "), k, F.lit("\n"))
+    lumps = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("path"), text.cast("binary").alias("data"))
+    return scripts.sequence_rows(lumps)
+
+
+@register("""SELECT s_suppkey, 2 + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS pairs, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS songs, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END AS warnings, 'DEFAULT' AS second,
+    CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 2 END AS patches, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS patch_warnings FROM supplier""")
+def sound_tables(spark, sf_dir):
+    """Sound tables and patch tables with a bad map number, a missing value or a cut line in some."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for k in pdf["s_suppkey"].tolist():
+                text = f"$ARCHIVEPATH x\n$map {'one' if k % 3 == 0 else k % 30 + 1} d_e1m1\n$map 0 none\n$other\na b ; c\nd\n?\nlast" + (" one" if k % 2 == 0 else "")
+                pairs, songs, w = scripts.sound_table(text, LENIENT)
+                gus, w2 = scripts.gus_patches(f"# head\n0, 1, 2, 3, {k}, acpiano\n1, 1, 2, 3" + ("" if k % 4 == 0 else ", 4, brite # x") + "\n\n", LENIENT)
+                out.append((k, len(pairs), len(songs), len(w), pairs[1][1], len(gus), len(w2)))
+            yield pd.DataFrame(out, columns=["s_suppkey", "pairs", "songs", "warnings", "second", "patches", "patch_warnings"])
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey").mapInPandas(run, "s_suppkey long, pairs int, songs int, warnings int, second string, patches int, patch_warnings int")
+
+
+@register("""SELECT 'g' || (s_suppkey % 3) AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'M' || s_suppkey ELSE 'LONGMAP' || s_suppkey END AS map, count(*) * 4 AS blobs FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY s_suppkey""")
+def gl_sibling_groups(spark, sf_dir):
+    """Files of GL groups: markers by name or by their text, each fifth of them without its nodes."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 2 == 0, F.concat(F.lit("M"), k.cast("string"))).otherwise(F.concat(F.lit("LONGMAP"), k.cast("string")))
+    head = F.struct(F.when(k % 2 == 0, F.concat(F.lit("GL_"), name)).otherwise(F.lit("GL_LEVEL")).alias("name"), F.when(k % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("BUILDER=x\nLEVEL="), name, F.lit("\r\n"))).cast("binary").alias("data"))
+    body = [F.struct(F.lit(n).alias("name"), F.lit(b"").alias("data")) for n in ("GL_VERT", "GL_SEGS", "GL_SSECT", "GL_PVS")]
+    last = F.when(k % 5 != 0, F.array(F.struct(F.lit("GL_NODES").alias("name"), F.lit(b"").alias("data")))).otherwise(F.array().cast("array<struct<name:string,data:binary>>"))
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("g"), (k % 3).cast("string")).alias("path"), k.alias("k"), F.posexplode(F.concat(F.array(head, *body), last)).alias("j", "x"))
+    from pyspark.sql import Window as W
+
+    lumps = rows.select("path", (F.row_number().over(W.partitionBy("path").orderBy("k", "j")) - 1).alias("lump_idx"), "x.name", "x.data")
+    names = table(spark, sf_dir, "supplier").select(name.alias("map"))
+    return directory.gl_sibling_groups(lumps, names).groupBy("path", "map").agg(F.count(F.lit(1)).alias("blobs"))
+
+
+@register("""SELECT l_orderkey, l_linenumber, CAST((round(atan2(v, u) / (2 * pi()) * 65536) + 65536) % 65536 AS INTEGER) AS angle, CAST(round(sqrt(u * u + v * v)) AS INTEGER) AS "offset" FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 41 - 20 AS BIGINT) AS u, CAST(l_linenumber - 3 AS BIGINT) AS v FROM lineitem)""")
+def seg_places(spark, sf_dir):
+    u, v, zero = F.col("l_partkey") % 41 - 20, F.col("l_linenumber").cast("long") - 3, F.lit(0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.seg_angle(zero, zero, u, v).alias("angle"), S.seg_offset(zero, zero, u, v).alias("offset"))
+
+
+@register("""SELECT 'r' || n_regionkey AS path, 'MAP' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS map, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 2 END AS nodes, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 3 END AS subsectors, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END AS warnings FROM nation""")
+def bad_trees_dropped(spark, sf_dir):
+    """Tree tables of maps, of which each third names a subsector too many: its three tables go together."""
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), F.concat(F.lit("MAP"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("map"), (F.col("n_nationkey") % 3 == 0).alias("bad"))
+    i = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("idx")
+    nodes_ = n.select("path", "map", "bad", i(2)).withColumn("right", F.when(F.col("idx") == 1, 0).otherwise(0x8000)).withColumn("left", F.when(F.col("idx") == 1, F.when(F.col("bad"), 0x8009).otherwise(0x8002)).otherwise(0x8001))
+    subs = n.select("path", "map", i(3)).withColumn("seg_count", F.lit(2)).withColumn("first_seg", F.col("idx") * 2)
+    segs = n.select("path", "map", i(6))
+    t, warnings = maps.drop_bad_trees({"nodes": nodes_.drop("bad"), "subsectors": subs, "segs": segs})
+    count = lambda d, c: d.groupBy("path", "map").agg(F.count(F.lit(1)).cast("int").alias(c))
+    j = n.select("path", "map").join(count(t["nodes"], "nodes"), ["path", "map"], "left").join(count(t["subsectors"], "subsectors"), ["path", "map"], "left").join(count(warnings, "warnings"), ["path", "map"], "left")
+    return j.fillna(0)
