@@ -94,7 +94,7 @@ def examples(background: list[str], seed: int = 5) -> list[tuple[list[str], str]
 
 def fit(background: list[str], seed: int = 5) -> Model:
     """Train from templates and lines of other text."""
-    licence = {w for texts in [*TEMPLATES.values(), UNKNOWN_TEMPLATES] for t in texts for w in words(t)}
+    own = {g for texts in [*TEMPLATES.values(), UNKNOWN_TEMPLATES] for t in texts for g in grams(words(t))}
     seen: dict[str, int] = {}
     for line in background:
         for g in set(grams(words(line))):
@@ -104,7 +104,7 @@ def fit(background: list[str], seed: int = 5) -> Model:
     for ws, y in data:
         if y != OTHER:
             for g in set(grams(ws)):
-                if licence.issuperset(g.split()) and seen.get(g, 0) * 20 <= max(1, len(background)):
+                if g in own and seen.get(g, 0) * 100 <= max(1, len(background)):
                     count[g] = count.get(g, 0) + 1
     feats = sorted(g for g in sorted(count, key=lambda g: (-count[g], g))[:MAX_FEATURES] if count[g] >= 3)
     at = {g: i for i, g in enumerate(feats)}
@@ -177,6 +177,11 @@ def pair_array(ws: F.Column) -> F.Column:
     return F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def _pairs(template: str) -> list[str]:
+    """Word pairs of a template."""
+    return sorted(set(grams(words(template))[len(words(template)) :]))
+
+
 def sample_lines(docs: DataFrame) -> list[str]:
     """At most ``SAMPLE_LINES`` different lines of other text, by hash: those that do not speak of licences. Lines are thinned
     by their hash first, so that few of a large corpus are ordered; copies of a line count once."""
@@ -195,11 +200,14 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     lines = lines.withColumn("ws", word_array(F.col("line")))
     lines = lines.where(F.exists("ws", lambda w: w.isin(single)) | F.exists(pair_array(F.col("ws")), lambda p: p.isin(double)))
     lines = lines.select("doc_id", "row", "paragraph", "ws", F.array_distinct(pair_array(F.col("ws"))).alias("pairs"))
+    # of a line's pairs only those of templates go on, and how many there are
+    known = sorted({p for texts in TEMPLATES.values() for t in texts for p in _pairs(t)})
+    lines = lines.withColumns({"told": F.filter("pairs", lambda p: p.isin(known)), "n_pairs": F.size("pairs")})
     table = F.broadcast(_table(spark, [{"gram": g, "w": v} for g, v in model.weights.items()], "gram: string, w: array<double>"))
-    terms = lines.select("doc_id", "row", "paragraph", "ws", "pairs", F.explode(F.concat(F.array_distinct("ws"), "pairs")).alias("gram")).join(table, "gram")
+    terms = lines.select("doc_id", "row", "paragraph", "told", "n_pairs", F.explode(F.concat(F.array_distinct("ws"), "pairs")).alias("gram")).join(table, "gram")
     k = len(model.classes)
     sums = [F.sum(F.element_at("w", i + 1)).alias(f"z{i}") for i in range(k)]
-    got = terms.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("ws").alias("ws"), F.first("pairs").alias("pairs"), *sums)
+    got = terms.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("told").alias("told"), F.first("n_pairs").alias("n_pairs"), *sums)
     logits = [F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), (F.col(f"z{i}") + model.bias[i]) / model.temperature))) for i in range(k)]
     got = got.withColumn("e", F.array(*logits)).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     got = got.withColumn("p", F.transform("e", lambda x: x / F.col("total")))
@@ -211,10 +219,10 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     for family in families:
         each = []
         for t in TEMPLATES[family]:
-            pairs = sorted(set(grams(words(t))[len(words(t)) :]))
+            pairs = _pairs(t)
             if pairs:
-                both = F.size(F.array_intersect("pairs", F.array(*[F.lit(p) for p in pairs])))
-                each.append(F.greatest(both / F.lit(float(len(pairs))), F.when(F.size("pairs") >= 3, both / F.size("pairs")).otherwise(0.0)))
+                both = F.size(F.array_intersect("told", F.array(*[F.lit(p) for p in pairs])))
+                each.append(F.greatest(both / F.lit(float(len(pairs))), F.when(F.col("n_pairs") >= 3, both / F.col("n_pairs")).otherwise(0.0)))
         alike = F.when(F.col("guess") == family, F.greatest(*each) if len(each) > 1 else each[0]).otherwise(alike)
     got = got.withColumn("similarity", alike).withColumn("confirmed", F.col("similarity") >= CONFIRM)
     return got.select("doc_id", F.col("paragraph").cast("int"), F.when(F.col("confirmed"), F.col("guess")).otherwise(UNKNOWN).alias("family"), F.col("best.p").alias("probability"), "similarity", "confirmed")
