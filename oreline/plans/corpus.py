@@ -29,7 +29,7 @@ def _dist(source: str, value: str, keys: str = "") -> str:
     sel, grp = (f"{keys}, ", f"GROUP BY {keys}") if keys else ("", "")
     return f"""SELECT {sel}count(v) AS n, CAST(coalesce(min(v), 0) AS BIGINT) AS min, {ps}, CAST(coalesce(max(v), 0) AS BIGINT) AS max,
       CASE WHEN count(v) = 0 THEN 0.0 ELSE CAST(sum(CAST(v AS HUGEINT)) AS DOUBLE) / count(v) END AS mean,
-      CASE WHEN count(v) = 0 THEN 0.0 ELSE sqrt(greatest(CAST(sum(CAST(v AS HUGEINT) * v) AS DOUBLE) / count(v) - (CAST(sum(CAST(v AS HUGEINT)) AS DOUBLE) / count(v)) ** 2, 0.0)) END AS stddev
+      CASE WHEN count(v) = 0 THEN 0.0 ELSE sqrt(greatest(CAST(sum(CAST(v AS HUGEINT) * v) AS DOUBLE) / count(v) - (CAST(sum(CAST(v AS HUGEINT)) AS DOUBLE) / count(v)) * (CAST(sum(CAST(v AS HUGEINT)) AS DOUBLE) / count(v)), 0.0)) END AS stddev
       FROM (SELECT {sel}CAST({value} AS BIGINT) AS v FROM {source}) {grp}"""
 
 
@@ -82,7 +82,7 @@ _WPS = ", ".join(f"CAST(coalesce(min(CASE WHEN cum * 1000 >= {t} * total THEN u
   c AS (SELECT *, sum(w) OVER (ORDER BY u ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER () AS total FROM b),
   a AS (SELECT CAST(sum(k) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS total_weight, {_WPS}, sum(CAST(u AS HUGEINT) * w) AS s1, sum(CAST(u AS HUGEINT) * u * w) AS s2 FROM c)
   SELECT n, total_weight, (SELECT count(*) FROM pm WHERE votes = 0) AS excluded, {", ".join(X.TENTHS)}, CAST(s1 AS DOUBLE) / total_weight AS mean,
-    sqrt(greatest(CAST(s2 AS DOUBLE) / total_weight - (CAST(s1 AS DOUBLE) / total_weight) ** 2, 0.0)) AS stddev FROM a""")
+    sqrt(greatest(CAST(s2 AS DOUBLE) / total_weight - (CAST(s1 AS DOUBLE) / total_weight) * (CAST(s1 AS DOUBLE) / total_weight), 0.0)) AS stddev FROM a""")
 def corpus_weighted_sizes(spark, sf_dir):
     return corpus.weighted_size_stats(entries(spark, sf_dir))
 

@@ -196,7 +196,7 @@ def scalar_names(spark, sf_dir):
     )
 
 
-@register("""SELECT l_orderkey, l_linenumber, sqrt((x - u) * (x - u) + (y - v) * (y - v)) AS distance, array_to_string(list_value(greatest(x, u), least(y, v), least(x, u), greatest(y, v)), ',') AS box,
+@register("""SELECT l_orderkey, l_linenumber, round(sqrt((x - u) * (x - u) + (y - v) * (y - v)), 6) AS distance, array_to_string(list_value(greatest(x, u), least(y, v), least(x, u), greatest(y, v)), ',') AS box,
     CASE WHEN abs(round(c) * 65536) < 2147483648 THEN CAST(round(c) * 65536 AS BIGINT) END AS whole, CAST(round(c * 65536) AS BIGINT) AS exact, x * v - y * u AS area, CAST((x * v - y * u) AS HUGEINT) * (x * v - y * u) * 4 < u * u + v * v AS near,
     greatest(x, 0) AS size, x < 0 AS negative, (flags & 1) <> 0 AS fixed, (flags & 4) <> 0 AS double, CAST((round(atan2(v, u) / (2 * pi()) * 65536) + 65536) % 65536 AS INTEGER) AS angle
   FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 41 - 20 AS BIGINT) AS x, CAST(l_suppkey % 37 - 18 AS BIGINT) AS y, CAST(l_quantity AS BIGINT) - 25 AS u, CAST(l_linenumber AS BIGINT) AS v, l_discount * 1000 - 40 AS c, CAST(l_orderkey % 8 AS BIGINT) AS flags FROM lineitem)""")
@@ -207,7 +207,7 @@ def scalar_geometry(spark, sf_dir):
     size, negative = S.clamp_dimension(x)
     flags = S.instrument_flags(F.col("flags"))
     return li.select(
-        "l_orderkey", "l_linenumber", S.distance(x, y, u, v).alias("distance"), F.array_join(S.bbox_union(F.array(x, y, x, y), F.array(u, v, u, v)).cast("array<string>"), ",").alias("box"), S.fixed_16_16(F.col("c")).alias("whole"), S.fixed_16_16_exact(F.col("c")).alias("exact"),
+        "l_orderkey", "l_linenumber", F.round(S.distance(x, y, u, v), 6).alias("distance"), F.array_join(S.bbox_union(F.array(x, y, x, y), F.array(u, v, u, v)).cast("array<string>"), ",").alias("box"), S.fixed_16_16(F.col("c")).alias("whole"), S.fixed_16_16_exact(F.col("c")).alias("exact"),
         area.alias("area"), S.within_half_unit(area, u * u + v * v).alias("near"), size.alias("size"), negative.alias("negative"), flags["fixed_pitch"].alias("fixed"), flags["double_voice"].alias("double"), S.bam_angle(u.cast("double"), v.cast("double")).alias("angle"),
     )
 
