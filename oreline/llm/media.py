@@ -9,9 +9,10 @@ digest and puts every item back at its position.
 Payload bytes are never shuffled: the join moves digests and descriptions only. Both sides of the join are plain
 tables, so adaptive execution splits a digest that very many documents refer to.
 
-Defined results: null or empty HTML is an empty sequence; a null or empty text is a payload of 192 spaces; a reference
-without a stored payload stays in its place, unresolved; repeated rows give repeated results; extra columns are
-ignored; empty tables give empty results.
+Defined results: null or empty HTML is an empty sequence; a null or empty text is a payload of 192 spaces; a text of any length is
+one payload; a reference without a stored payload stays in its place, unresolved; equal payloads have one digest and one
+description; repeated rows give repeated results; a null doc_id stays null; extra columns, whatever their names, are ignored;
+empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -45,7 +45,7 @@ from oreline.llm import common as C
 CAPACITY = 2048
 END = 0  #: id that ends every document
 TRIES = ((8, 48), (8, 128), (4, 128), (2, 48))  #: (lengths above capacity / share are large, size groups of them)
-SALT_ROWS = 5_000  #: pieces of one length that are numbered together, about,
+SALT_ROWS = 1_000  #: pieces of one length that are numbered together, about,
 CELLS = 1_000_000  #: or more of them, so that their groups are about so many at most
 
 

@@ -274,12 +274,13 @@ def test_op8(spark, sf, source):
 def test_op2(spark, sf, source, monkeypatch):
     if source == "crafted":
         monkeypatch.setattr(Q, "table", lambda *a: crafted(spark))
-    got = {(str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in Q.op2_media_columns(spark, sf).collect()}
-    want = set()
+    got = Counter((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in Q.op2_media_columns(spark, sf).collect())
+    want = Counter()
     for r in Q.table(spark, sf, "documents").select("doc_id", "text").collect():
         b = (r.text or "").encode()
         p = b + b" " * (-len(b) % 192 or (0 if b else 192))
-        want.add((str(r.doc_id), len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
+        stored = b"P6\n64 %d\n255\n" % (len(p) // 192) + p
+        want[str(r.doc_id), len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), media.describe(p)] += 1
     assert got == want
 
 
@@ -385,3 +386,31 @@ def test_odd_rows(spark, query, monkeypatch):
 
 def test_queries_are_whole():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in Q.queries()] == list(range(1, 11))
+
+
+def test_texts_longer_than_a_chunk(spark, monkeypatch):
+    """Texts of several chunks' size are whole in every operator."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rng = np.random.default_rng(8)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 350_000))
+    assert len(long) > 2 * Q.C.CHUNK
+    texts = {1: long, 2: long + " and a tail of its own", 3: "a short text of a few words only", 4: long[:1_200_000].upper()}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "e") for i, t in texts.items()], SCHEMA)
+    tables = {"documents": docs, "labels": spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(7, " ".join(long.split()[300_000:300_030]))], "item_id long, text string")}
+    monkeypatch.setattr(Q, "table", lambda s, d, name: tables[name])
+    got = {r.doc_id: r for r in Q.op10_ngram_jaccard(spark, "").collect()}
+    size = lambda t: len({tuple(w[k : k + 5]) for w in [words(t)] for k in range(len(w) - 4)})
+    assert {i: r.n_shingles for i, r in got.items()} == {i: size(t) for i, t in texts.items()}
+    assert {i: r.component_id for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    got = {r.doc_id: r for r in Q.op5_suffix_dedup(spark, "").collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans) for i, r in got.items()} == {1: (len(long), 0, 0), 2: (len(texts[2]), len(long), 1), 3: (32, 0, 0), 4: (1_200_000, 0, 0)}
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    assert {r.doc_id: r.n for r in Q.op8_packing(spark, "").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
+    assert {r.doc_id: r.n_bytes for r in Q.op2_media_columns(spark, "").collect()} == {i: len(t) for i, t in texts.items()}
+    assert {r.doc_id: r.n_tokens for r in Q.op4_lm_scoring(spark, "").collect()} == {i: len(words(t)) + 1 for i, t in texts.items()}
+    assert {(r.doc_id, r.item_id) for r in Q.op1_decontamination(spark, "").collect()} == {(1, 7), (2, 7)}
+    for query in (Q.op7_quality, Q.op9_toxicity):
+        assert {r.doc_id for r in query(spark, "").collect()} == set(texts)

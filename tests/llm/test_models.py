@@ -48,6 +48,68 @@ def test_stems_quotes_and_misspellings():
     assert x[1, 1] > 0 and x[2, 2] > 0 and x[0, 4] > 0 and not x[4:].any()
 
 
+def bare_bytes(text):
+    """Words of a text without the punctuation around them, as lower-cased bytes."""
+    good = lambda c: 48 <= c <= 57 or 97 <= c <= 122 or c >= 128
+    out = []
+    for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()):
+        keep = [i for i, c in enumerate(w) if good(c)]
+        if keep:
+            out.append(w[keep[0] : keep[-1] + 1])
+    return out
+
+
+def test_toxicity_hits_equal_brute_force(spark):
+    """Every word of a table against every term: exact, a stem of it, or within the edits the term allows."""
+    terms = {"idiot": (1, False), "achl": (1, True), "worthless": (2, False), "the": (0, False), "thion": (1, False), "tion": (0, True)}
+    model = toxicity.Model(terms, toxicity.build(terms))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect()
+    extra = ["an idot, IDIOT idiiot", "achx wrthles worthlesss", 'he said "idiot"', "", None]
+    for text in [*(r.text for r in docs), *extra]:
+        ws = bare_bytes(text)
+        want = []
+        for w in ws:
+            kind = 0
+            for t, (k, stem) in terms.items():
+                row = toxicity.prefix_distances(t, w.decode("utf-8", "ignore")) if w.isascii() else None
+                if row is None:  # bytes that are no whole characters: distances in bytes
+                    row = [distance(t.encode(), w[:n]) for n in range(len(w) + 1)]
+                d = min(row) if stem else row[-1]
+                kind = 1 if d == 0 else 2 if d <= k and kind != 1 else kind
+            want.append(kind)
+        data, offs = view(text or "")
+        starts, ends, _ = C.words(data, offs)
+        s, e = C.trim(data, starts, ends) if len(starts) else (starts, ends)
+        got = model.auto.run(data, s, e)[e > s] if len(starts) else []
+        assert list(got) == want
+
+
+def test_toxicity_misspelled_and_quoted(spark):
+    """Documents whose terms are all misspelled are rejected, those that only quote them are not."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    toxic = [r.doc_id for r in labels.collect() if r.toxic and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    texts = [r.text or "" for r in docs.where(docs["doc_id"].isin(toxic)).collect()]
+    who, data, offs = toxicity.misspell(model.auto, model.terms, *view(*texts))
+    only = toxicity.features(model.auto, data, offs)[:, 0] == 0
+    assert only.sum() > 10 and (model.score(data, offs)[only] >= 0.7).mean() > 0.9
+    quoted = [f'They wrote: "{t}" and went on with other things.' for t in model.terms]
+    assert (model.score(*view(*quoted)) < 0.7).all()
+
+
+def test_quality_scores_equal_the_model(spark):
+    """Every row of a table against the model's features and network, one text at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = {r["__id"]: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        x = np.clip((quality.features(*view(r.text or "")) - model.center) / model.scale, -8, 8)
+        z = np.tanh(x @ model.layers[0] + model.layers[1]) @ model.layers[2] + model.layers[3][0]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z[0]))) < 1e-6
+
+
 def held_out(spark, sf, module, label, folds, fold):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = module.fit(docs, labels, fold, folds)
