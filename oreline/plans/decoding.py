@@ -703,3 +703,18 @@ def bad_trees_dropped(spark, sf_dir):
     count = lambda d, c: d.groupBy("path", "map").agg(F.count(F.lit(1)).cast("int").alias(c))
     j = n.select("path", "map").join(count(t["nodes"], "nodes"), ["path", "map"], "left").join(count(t["subsectors"], "subsectors"), ["path", "map"], "left").join(count(warnings, "warnings"), ["path", "map"], "left")
     return j.fillna(0)
+
+
+@register("""WITH p AS (SELECT p_partkey AS k, p_size AS s, 'P' || p_partkey AS stem FROM part) SELECT stem || '.wav' AS file, CAST(44 + s AS BIGINT) AS size, false AS warned FROM p WHERE k % 5 = 0
+  UNION ALL SELECT stem || '.mus', 24, false FROM p WHERE k % 5 = 1 UNION ALL SELECT stem || '.mid', 39, false FROM p WHERE k % 5 = 1 UNION ALL SELECT stem || '.bin', CAST(4 + s AS BIGINT), true FROM p WHERE k % 5 = 2 AND s < 10 UNION ALL SELECT stem || '.mid', CAST(4 + s AS BIGINT), false FROM p WHERE k % 5 = 2 AND s >= 10
+  UNION ALL SELECT stem || '.wav', CAST(12 + s AS BIGINT), false FROM p WHERE k % 5 = 3 UNION ALL SELECT stem || '.bin', CAST(s AS BIGINT), false FROM p WHERE k % 5 = 4""")
+def extract_outputs(spark, sf_dir):
+    """Sounds, scores, cut MIDI files, WAV files and other blobs, written with their conversions."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("int")
+    sound = raw("0300112B", le(s + 32, 4), F.repeat(F.lit("80"), s + 32))
+    score = raw("4D55531A", "0800", "1000", "0100", "0000", "0000", "0000", "90", "BC", "648C20", "00", "3C", "60")
+    data = F.when(k % 5 == 0, sound).when(k % 5 == 1, score).when(k % 5 == 2, raw("4D546864", F.repeat(F.lit("00"), s)))
+    data = data.when(k % 5 == 3, raw("52494646", "00000000", "57415645", F.repeat(F.lit("00"), s))).otherwise(raw(F.repeat(F.lit("EE"), s)))
+    lumps = table(spark, sf_dir, "part").select(F.lit("f").alias("path"), k.alias("lump_idx"), F.concat(F.lit("P"), k.cast("string")).alias("name"), data.alias("data"))
+    got = verbs.extract(lumps, midi=True)
+    return got.select("file", F.octet_length("data").cast("long").alias("size"), F.col("warning").isNotNull().alias("warned"))
