@@ -92,6 +92,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "8m")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker, which serves other stages next, gives free memory back."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return kept
+
+
+def _trim() -> None:
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def doc_bytes(df: DataFrame, *keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``__id``, ``__text`` (binary, never null) and the columns named in ``keep``."""
     small_batches(df.sparkSession)
@@ -140,7 +162,7 @@ def map_chunks(df: DataFrame, fn: Callable[..., dict | None], schema: str, **col
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return doc_bytes(df, **cols).mapInArrow(run, ddl)
+    return doc_bytes(df, **cols).mapInArrow(lean(run), ddl)
 
 
 def _arrow_schema(ddl: T.StructType) -> pa.Schema:

@@ -179,7 +179,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
                 words = [h[a:z].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(no[r0:r1]), pa.array(ids), pa.array(words, pa.binary()), pa.array(np.diff(first).astype(np.int64))], ["no", "item_id", "words", "n"])
 
-    rows = C.doc_bytes(benchmark, F.monotonically_increasing_id().alias("__no"), id_col="item_id").mapInArrow(run, ddl)
+    rows = C.doc_bytes(benchmark, F.monotonically_increasing_id().alias("__no"), id_col="item_id").mapInArrow(C.lean(run), ddl)
     return C.materialize(rows.withColumn("item_id", C.back("item_id")).where("n > 0"), "bench-items")
 
 
@@ -212,7 +212,7 @@ def _telling(items: DataFrame, seed: int, threshold: float) -> DataFrame:
                 out.append((np.full(len(h), no), h.view(np.int64), times, np.full(len(h), n - k + 1 - max(1, -int(-threshold * n // k)) + 1)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["no", "h", "times", "keep"])
 
-    seeds = C.materialize(items.select("no", "words", "n").mapInArrow(run, "no long, h long, times long, keep long"), "bench-seeds")
+    seeds = C.materialize(items.select("no", "words", "n").mapInArrow(C.lean(run), "no long, h long, times long, keep long"), "bench-seeds")
     common = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("items"))
     w = W.partitionBy("no").orderBy("items", "h").rowsBetween(W.unboundedPreceding, 0)
     ranked = seeds.join(common, "h").withColumn("before", F.sum("times").over(w) - F.col("times"))
@@ -238,7 +238,7 @@ def _filter(telling: DataFrame) -> np.ndarray:
         for p, v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(v).tobytes()], pa.binary())], ["part", "bits"])
 
-    got = rows.repartition(C.partitions(telling.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, "part int, bits binary").collect()
+    got = rows.repartition(C.partitions(telling.sparkSession), "part").sortWithinPartitions("part").mapInArrow(C.lean(run), "part int, bits binary").collect()
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for r in got:
         out[r["part"] << (part - 3) : (r["part"] + 1) << (part - 3)] = np.frombuffer(r["bits"], np.uint8)
@@ -270,7 +270,7 @@ def _joined(docs: DataFrame, items: DataFrame, seed: int, threshold: float) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(ell[row]), pa.array(pair[1].view(np.int64))], ["__k", "__l", "h"])
 
     keyed = _keyed(docs)
-    shared = keyed.mapInArrow(look, "__k long, __l long, h long").join(telling, "h").select("__k", "__l", "no").distinct()
+    shared = keyed.mapInArrow(C.lean(look), "__k long, __l long, h long").join(telling, "h").select("__k", "__l", "no").distinct()
     shared = C.materialize(shared, "bench-pairs")
     texts = keyed.select("__k", "__l", "__id", "__text").join(shared.select("__k", "__l").distinct(), ["__k", "__l"], "left_semi").groupBy("__k", "__l").agg(F.first("__text").alias("__text"))
     pairs = shared.join(texts, ["__k", "__l"]).join(items, "no").select(F.lit(0).cast("long").alias("__id"), "__text", "__k", "__l", "item_id", "words", "n")
@@ -292,7 +292,7 @@ def _joined(docs: DataFrame, items: DataFrame, seed: int, threshold: float) -> D
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return C.materialize(pairs.mapInArrow(tile, ddl), "bench-leaks")
+    return C.materialize(pairs.mapInArrow(C.lean(tile), ddl), "bench-leaks")
 
 
 _DDL = "__id long, item_id long, coverage double, matched_words long, item_words long, n_tiles long"
@@ -319,7 +319,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return C.doc_bytes(docs).mapInArrow(run, _DDL)
+    return C.doc_bytes(docs).mapInArrow(C.lean(run), _DDL)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
@@ -345,4 +345,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: fl
                     keep[d] = False
                 yield b.slice(r0, r1 - r0).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)

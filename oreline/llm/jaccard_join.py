@@ -41,7 +41,7 @@ from oreline.llm.graph import components as connected
 
 SLICES = 3  #: passes over the n-grams when they are counted
 BLOCK = 600_000  #: entries packed at a time
-RUN = 4_000_000  #: n-grams counted at a time when frequent ones are looked for
+RUN = 2_000_000  #: n-grams counted at a time when frequent ones are looked for
 FREQUENT_SHARE = 1024  #: an n-gram is frequent in one of so many documents
 LEADERS = 4  #: leaders a class is compared with in a star round, at most
 TILE = 1024  #: classes of a column in one tile of the product, about
@@ -96,8 +96,12 @@ def _frequent(docs: DataFrame, sets: Sets) -> np.ndarray:
         size = 0
 
         def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 3].view(np.int64)), pa.array(n[n > 3])], ["h", "n"])
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.diff(np.append(at, len(h)))
+            return pa.RecordBatch.from_arrays([pa.array(h[at[n > 3]].view(np.int64)), pa.array(n[n > 3])], ["h", "n"])
 
         for b in batches:
             for _, _, _, data, offs in C.chunks(b):
@@ -106,11 +110,11 @@ def _frequent(docs: DataFrame, sets: Sets) -> np.ndarray:
                 size += len(held[-1])
                 if size > RUN:
                     yield flush()
-                    held, size = [], 0
-        if held:
+                    size = 0
+        if size:
             yield flush()
 
-    top = C.doc_bytes(docs).mapInArrow(run, ddl).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = C.doc_bytes(docs).mapInArrow(C.lean(run), ddl).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return top.orderBy("n", "h").select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
 
 
@@ -213,8 +217,8 @@ def _count_slice(docs: DataFrame, sets: Sets, hot_b, slice_no: int, bits: int, p
         if size:
             yield flush()
 
-    dealt = C.doc_bytes(docs).mapInArrow(deal, packed)
-    return C.materialize(C.by_part(dealt, bits, parts).mapInArrow(count, packed), "jj-counts")
+    dealt = C.doc_bytes(docs).mapInArrow(C.lean(deal), packed)
+    return C.materialize(C.by_part(dealt, bits, parts).mapInArrow(C.lean(count), packed), "jj-counts")
 
 
 def classes(docs: DataFrame, sets: Sets, hot_b=None) -> DataFrame:
@@ -280,7 +284,7 @@ def columns(docs: DataFrame, own: DataFrame, sets: Sets, hot_b) -> DataFrame:
                 ["h", "cls", "n", "p", "lone"],
             )
 
-    out = C.materialize(C.by_part(rows, bits, parts).mapInArrow(order, "h long, cls long, n int, p int, lone float"), "jj-columns")
+    out = C.materialize(C.by_part(rows, bits, parts).mapInArrow(C.lean(order), "h long, cls long, n int, p int, lone float"), "jj-columns")
     C.release(*counts)
     return out
 
@@ -327,7 +331,7 @@ def links(docs: DataFrame, own: DataFrame, sets: Sets, hot_b) -> DataFrame:
     place = F.when(out, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.col("own")))
     tiled = rest.withColumn("own", F.pmod(F.xxhash64("cls"), tiles).cast("int")).select("h", "cls", "n", "p", "root", "own", out.alias("out"), F.explode(place).alias("tile"))
     dealt = tiled.repartition(C.partitions(docs.sparkSession), "h", "tile").sortWithinPartitions("h", "tile")
-    pairs = dealt.mapInArrow(_tile_product, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = dealt.mapInArrow(C.lean(_tile_product), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     pairs = C.materialize(pairs, "jj-pairs")
     out = C.materialize(found.union(_verify(_plausible(pairs, block), values)), "jj-links")
     C.release(rest, block, values)
@@ -369,7 +373,7 @@ def _fetch(docs: DataFrame, own: DataFrame, members: DataFrame, sets: Sets) -> D
                     schema=schema,
                 )
 
-    return C.materialize(d.mapInArrow(run, ddl).join(members, "cls", "left_semi").groupBy("cls").agg(F.first("vals").alias("vals")), "jj-sets")
+    return C.materialize(d.mapInArrow(C.lean(run), ddl).join(members, "cls", "left_semi").groupBy("cls").agg(F.first("vals").alias("vals")), "jj-sets")
 
 
 def _verify(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -390,7 +394,7 @@ def _verify(pairs: DataFrame, values: DataFrame) -> DataFrame:
                 ok = 100 * inter >= 75 * total
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
-    return C.materialize(pairs.join(left, "b").join(right, "a").select("a", "b", "va", "vb").mapInArrow(run, ddl), "jj-links")
+    return C.materialize(pairs.join(left, "b").join(right, "a").select("a", "b", "va", "vb").mapInArrow(C.lean(run), ddl), "jj-links")
 
 
 def _tile_product(batches):
@@ -492,4 +496,4 @@ def _with_class(keyed: DataFrame, sets: Sets) -> DataFrame:
                 row = b.column(b.schema.get_field_index("__row")).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([row, pa.array(ids), pa.array(np.diff(at).astype(np.int64)), pa.array(cls.view(np.int64))], ["__row", "__id", "__n", "__cls"])
 
-    return got.mapInArrow(run, ddl)
+    return got.mapInArrow(C.lean(run), ddl)

@@ -390,7 +390,7 @@ def score(docs: DataFrame, in_training: F.Column) -> DataFrame:
         if waiting:
             yield from flush()
 
-    part = C.materialize(base.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
+    part = C.materialize(base.mapInArrow(C.lean(run), ddl).withColumn("row", F.monotonically_increasing_id()), "lm-parts")
     rare = part.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n")
     c = F.coalesce("c", F.lit(0))
     sums = rare.join(counts, "h", "left").groupBy("row").agg(
@@ -426,7 +426,7 @@ def _trained(training: DataFrame, net: Network, v: Vocabulary, held) -> Network:
                 docs = encode(data, offs, held.value)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([w.tobytes() for w, _ in docs], pa.binary()), pa.array([e.tobytes() for _, e in docs], pa.binary())], ["id", "w", "e"])
 
-    got = warm.mapInArrow(pack, "id long, w binary, e binary").orderBy("id", "w").limit(4 * want).collect()
+    got = warm.mapInArrow(C.lean(pack), "id long, w binary, e binary").orderBy("id", "w").limit(4 * want).collect()
     train(net, [(np.frombuffer(bytes(r["w"]), np.int16).astype(np.int64), np.frombuffer(bytes(r["e"]), np.int16).astype(np.int64)) for r in got], passes=3)
     start = training.sparkSession.sparkContext.broadcast(net)
 
@@ -456,10 +456,10 @@ def _trained(training: DataFrame, net: Network, v: Vocabulary, held) -> Network:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary()), pa.array([n])], ["p", "n"])
 
-    parts = C.materialize(training.mapInArrow(shard, "p binary, n long"), "lm-shards")
+    parts = C.materialize(training.mapInArrow(C.lean(shard), "p binary, n long"), "lm-shards")
     count = parts.count()
     while count > 8:
-        parts = C.materialize(parts.repartition(max(1, count // 8)).mapInArrow(add, "p binary, n long"), "lm-shards")
+        parts = C.materialize(parts.repartition(max(1, count // 8)).mapInArrow(C.lean(add), "p binary, n long"), "lm-shards")
         count = parts.count()
     sums = [(pickle.loads(bytes(r["p"])), r["n"]) for r in parts.collect()]
     n = sum(k for _, k in sums)

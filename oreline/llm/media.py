@@ -108,7 +108,7 @@ def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
                 part = [sequence(x) for x in html.slice(lo, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), pa.array(part, schema.field(1).type)], schema=schema)
 
-    return pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string")).mapInArrow(run, ddl)
+    return pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string")).mapInArrow(C.lean(run), ddl)
 
 
 # ---------------------------------------------------------------- payloads
@@ -173,7 +173,7 @@ def catalogue(stored: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     names = ddl.names[1:]
-    got = stored.select("digest", "media").mapInArrow(run, ddl)
+    got = stored.select("digest", "media").mapInArrow(C.lean(run), ddl)
     return C.materialize(got.groupBy("digest").agg(*[F.first(n).alias(n) for n in names]), "media-catalogue")
 
 

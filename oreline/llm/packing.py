@@ -245,7 +245,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return C.doc_bytes(docs, F.monotonically_increasing_id().alias("__row")).mapInArrow(run, ddl)
+    return C.doc_bytes(docs, F.monotonically_increasing_id().alias("__row")).mapInArrow(C.lean(run), ddl)
 
 
 # ---------------------------------------------------------------- plan
@@ -480,4 +480,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
     dealt = salted.repartition(C.partitions(docs.sparkSession), "cell").sortWithinPartitions("cell", "__id", "row", "piece")
-    return dealt.mapInArrow(place, ddl)
+    return dealt.mapInArrow(C.lean(place), ddl)

@@ -188,7 +188,7 @@ def _sums(df: DataFrame, fn, width: int) -> np.ndarray:
         total = sum((fn(x) for x in _rows(batches)), np.zeros(width))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
 
-    each = df.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    each = df.mapInArrow(C.lean(run), "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(width)
     for r in each:
         out[r["i"]] = r["v"]
@@ -251,10 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, exclude_fold: int = 2, folds: int =
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary()), pa.array([n])], ["p", "n"])
 
-    shards = C.materialize(rest.mapInArrow(shard, "p binary, n long"), "pu-shards")
+    shards = C.materialize(rest.mapInArrow(C.lean(shard), "p binary, n long"), "pu-shards")
     count = shards.count()
     while count > 64:
-        shards = C.materialize(shards.repartition(max(1, count // 64)).mapInArrow(add, "p binary, n long"), "pu-shards")
+        shards = C.materialize(shards.repartition(max(1, count // 64)).mapInArrow(C.lean(add), "p binary, n long"), "pu-shards")
         count = shards.count()
     got = sorted((bytes(r["p"]), r["n"]) for r in shards.collect())
     layers = [sum(pickle.loads(p)[i] for p, _ in got) / sum(k for _, k in got) for i in range(4)]

@@ -114,7 +114,7 @@ def _map(df: DataFrame, fn, schema: str) -> DataFrame:
                 got = fn(b, r0, r1, ids, data, offs)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(C.lean(run), ddl)
 
 
 def spans(keyed: DataFrame, size: int = SIZE) -> DataFrame:
@@ -158,7 +158,7 @@ def spans(keyed: DataFrame, size: int = SIZE) -> DataFrame:
     groups = C.materialize(frags.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m >= 2"), "sa-groups")
     multi = frags.join(groups, "h").withColumn("salt", F.pmod(F.col("f1"), F.ceil(F.col("m") / BLOCK_ROWS)).cast("int"))
     multi = multi.select("h", "salt", "f1", "f2", "frag", F.col("first.doc").alias("doc"), F.col("first.s").alias("s"), (F.col("m") > BLOCK_ROWS).alias("hot"))
-    arrays = multi.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_blocks(size), _BLOCK_DDL)
+    arrays = multi.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(C.lean(_blocks(size)), _BLOCK_DDL)
     arrays = C.materialize(arrays, "sa-blocks")
     # windows of hot anchors that are first in their block
     across = arrays.where("hot").select("h", "f1", "f2", "doc", "s", F.explode("left").alias("x")).select("h", "f1", "f2", "doc", (F.col("s") + F.col("x.j")).alias("p"), "x.*")
@@ -342,7 +342,7 @@ def rewrite(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 new = pa.array([x[0].decode("utf-8", "ignore") for x in kept], pa.string())
                 yield pa.RecordBatch.from_arrays([row.cast(out.field(0).type), new, pa.array([x[1] for x in kept], pa.int64())], schema=out)
 
-    cut = joined.mapInArrow(run, ddl).where("not (__cut > 0 and __new = '')")
+    cut = joined.mapInArrow(C.lean(run), ddl).where("not (__cut > 0 and __new = '')")
     changed = F.col("__cut") > 0
 
     def column(name: str) -> F.Column:

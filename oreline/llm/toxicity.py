@@ -194,7 +194,7 @@ class Model:
 
 
 def _term_rows(batches):
-    """Per training document: a near-copy signature and its distinct words and stems."""
+    """Per training document: a near-copy signature and its distinct words."""
     schema = pa.schema([("y", pa.int32()), ("sig", pa.int64()), ("terms", pa.list_(pa.string()))])
     for b in batches:
         y = b.column(b.schema.get_field_index("__y")).to_numpy()
@@ -208,8 +208,7 @@ def _term_rows(batches):
             raw, terms = data.tobytes(), []
             for i in range(len(offs) - 1):
                 found = {raw[a:b2].lower() for a, b2 in zip(s[first[i] : first[i + 1]].tolist(), e[first[i] : first[i + 1]].tolist(), strict=True) if b2 > a}
-                found = {w.decode("utf-8", "ignore").lower() for w in found}
-                terms.append(sorted(found | {w[:n] + "*" for w in found for n in STEM_LENGTHS if len(w) > n}))
+                terms.append(sorted({w.decode("utf-8", "ignore").lower() for w in found}))
             yield pa.RecordBatch.from_arrays([pa.array(y[r0:r1], pa.int32()), pa.array(least.view(np.int64)), pa.array(terms, schema.field("terms").type)], schema=schema)
 
 
@@ -277,12 +276,14 @@ def fit(docs: DataFrame, labels: DataFrame, exclude_fold: int = 1, folds: int =
     if n > SAMPLE_DOCS:
         lab = lab.where(F.pmod(F.xxhash64("__lab"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_DOCS / n))
     train = C.materialize(C.doc_bytes(docs).join(lab, F.col("__id") == F.col("__lab")).select("__id", "__text", "__y"), "toxtrain")
-    rows = train.mapInArrow(_term_rows, "y int, sig long, terms array<string>")
+    rows = train.mapInArrow(C.lean(_term_rows), "y int, sig long, terms array<string>")
     rows = rows.groupBy("sig", "y").agg(F.min_by("terms", F.size("terms")).alias("terms"))  # one of a group of near copies
     rows = C.materialize(rows, "toxterms")
     n_bad = rows.where("y = 1").count()
     need = max(4, int(EVIDENCE * n_bad))
-    stats = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    stem = lambda w: F.array_compact(F.array(*[F.when(F.length(w) > n, F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEM_LENGTHS]))
+    every = F.array_distinct(F.concat("terms", F.flatten(F.transform("terms", stem))))
+    stats = rows.select("y", F.explode(every).alias("term")).groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     stats = C.materialize(stats, "toxstats")
     # a document has a bounded number of terms on average, so no more than 1 / EVIDENCE as many are in so many documents
     got = [(r["term"], r["bad"]) for r in stats.where((F.col("bad") >= need) & (F.col("good") * PURITY < F.col("bad"))).orderBy(F.desc("bad"), "term").collect()]
@@ -303,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, exclude_fold: int = 1, folds: int =
                 y2 = y[r0:r1][who]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([y[r0:r1], y2]), pa.int32()), pa.array([*x.tolist(), *x2.tolist()], pa.list_(pa.float64()))], schema=schema)
 
-    pts = train.mapInArrow(feats, "y int, x array<double>").collect()
+    pts = train.mapInArrow(C.lean(feats), "y int, x array<double>").collect()
     if pts and any(p["y"] for p in pts):
         x, y = np.array([p["x"] for p in pts]), np.array([p["y"] for p in pts], float)
         order = np.lexsort((*x.T, y))  # rows arrive in any order
@@ -323,7 +324,7 @@ def _taken(words: DataFrame, auto: Automaton) -> list[tuple[str, int]]:
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[offs[i] : offs[i + 1]].decode() for i in hit.tolist()], pa.string()), pa.array(n[hit])], ["term", "n"])
 
-    got = words.select(F.col("good").alias("__id"), F.col("term").cast("binary").alias("__text")).mapInArrow(run, "term string, n long")
+    got = words.select(F.col("good").alias("__id"), F.col("term").cast("binary").alias("__text")).mapInArrow(C.lean(run), "term string, n long")
     return [(r["term"], r["n"]) for r in got.orderBy("term").collect()]
 
 
@@ -388,4 +389,4 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str
     import pyarrow.compute  # noqa: F401
 
     C.small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)

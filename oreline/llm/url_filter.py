@@ -202,4 +202,4 @@ def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None,
             cols = [b.column(0).cast(pa.int64()), pa.array(host), pa.array(path), b.column(b.schema.get_field_index("rule")), pa.array(said), pa.array(s)]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], names=ddl.names)
 
-    return base.mapInArrow(run, ddl)
+    return base.mapInArrow(C.lean(run), ddl)
