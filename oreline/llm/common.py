@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULL_ID = -(2**63)
-CHUNK = 1 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+CHUNK = 1 << 19
+_BATCH, _READ = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -86,10 +86,12 @@ def partitions(spark: SparkSession, floor: int = 1) -> int:
 
 # ---------------------------------------------------------------- documents as bytes
 def small_batches(spark: SparkSession) -> None:
-    """From now on at most 8 MB of rows go to Python at a time in this session, unless it has a bound of its own: by
-    default a batch may hold 64 MB of long documents."""
+    """From now on at most 4 MB of rows go to Python at a time in this session, and 1,024 rows are read from Parquet at a time,
+    unless it has bounds of its own: by default a batch may hold 64 MB of long documents, and 4,096 of them are read together."""
     if spark.conf.get(_BATCH) in ("67108864b", "64MB", "64m"):
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "4m")
+    if spark.conf.get(_READ) == "4096":
+        spark.conf.set(_READ, "1024")
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
