@@ -143,15 +143,12 @@ def scan_native(files: DataFrame, path: str = "path", content: str = "content")
     head = files.select(F.col(path).alias("path"), F.col(content).alias("content")).where(F.octet_length("content") >= HEADER)
     head = head.select("path", "content", F.decode(F.call_function("substring", c, F.lit(1), F.lit(4)), "US-ASCII").alias("kind"), S.le_int(c, 4, 4).alias("n"), S.le_int(c, 8, 4).alias("at"))
     head = head.where("kind in ('IWAD', 'PWAD') and n > 0 and at >= 12 and at + 16 * n <= octet_length(content)")
-    # entries and blobs are cut out of the file before they become rows, so no row carries the whole file
-    def entry(i: F.Column) -> F.Column:
-        at = (F.col("at") + i * 16).cast("int")
-        pos, size = S.le_int(c, at, 4), S.le_int(c, at + 4, 4)
-        name = F.split(F.decode(F.call_function("substring", c, at + 9, F.lit(8)), "US-ASCII"), "\0")[0]
-        data = F.call_function("substring", c, (pos + 1).cast("int"), size.cast("int"))
-        return F.struct(i.cast("int").alias("lump_idx"), name.alias("name"), pos.alias("filepos"), size.alias("size"), data.alias("data"))
-
-    return head.select("path", "kind", F.inline(F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), entry)))
+    # generated code reads the file's bytes once for all its entries; a lambda over them would copy the file for each
+    e = head.withColumn("lump_idx", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    at = F.col("at") + F.col("lump_idx") * 16
+    name = F.split(F.decode(F.call_function("substring", c, (at + 9).cast("int"), F.lit(8)), "US-ASCII"), "\0")[0]
+    e = e.select("path", "kind", "lump_idx", name.alias("name"), S.le_int(c, at, 4).alias("filepos"), S.le_int(c, at + 4, 4).alias("size"), "content")
+    return e.select("path", "kind", "lump_idx", "name", "filepos", "size", F.call_function("substring", F.col("content"), (F.col("filepos") + 1).cast("int"), F.col("size").cast("int")).alias("data"))
 
 
 def pack(lumps: DataFrame, by: str, order: str, name: str = "name", data: str = "data", kind: str = "PWAD", options: Options = Options(strict=False)) -> DataFrame:
