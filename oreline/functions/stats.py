@@ -144,3 +144,40 @@ def sample_positions(n: int, count: int, seed: int) -> list[int]:
         out.append(moved.get(j, j))
         moved[j] = moved.get(i, i)
     return out
+
+
+def rows_at(df: DataFrame, key: str, positions: list[int]) -> DataFrame:
+    """Rows of ``df`` at some positions (from 0) of the order by ``key``, a whole number (nulls last), with ``position`` and ``draw``,
+    the place in ``positions``.
+
+    Spans of keys that hold a position are divided, by exact counts, until they are short; only their rows are put in order. Bounds
+    of spans are values, so both passes over the data agree on them however its rows are dealt."""
+    k, few, most = F.col(key), 1_024, 50_000
+    one = df.agg(F.count(key), F.min(key), F.max(key), F.count(F.lit(1))).first()
+    spans, ready = [(one[1], one[2], 0, one[0])], []  # least key, greatest key, rows before, rows
+    if any(one[0] <= p < one[3] for p in positions):
+        ready.append((None, None, one[0], one[3] - one[0]))
+    while spans := [s for s in spans if any(s[2] <= p < s[2] + s[3] for p in positions)]:
+        long = [s for s in spans if s[3] > most and s[0] < s[1]]
+        ready += [s for s in spans if s not in long]
+        spans = []
+        if not long:
+            break
+        which, width = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, (lo, hi, _, _) in enumerate(long):
+            inside = k.between(lo, hi)
+            which, width = F.when(inside, i).otherwise(which), F.when(inside, max(1, (hi - lo) // few)).otherwise(width)
+        parts = df.select(k, which.alias("__i"), width.alias("__w")).where("__i is not null").groupBy("__i", F.expr(f"`{key}` div __w").alias("__p")).agg(F.min(key), F.max(key), F.count(F.lit(1)))
+        ahead = [s[2] for s in long]
+        for i, _, lo, hi, n in sorted(map(tuple, parts.collect())):  # at most some thousand for each position
+            spans.append((lo, hi, ahead[i], n))
+            ahead[i] += n
+    span, before = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for i, (lo, hi, ahead, _) in enumerate(ready):
+        inside = k.isNull() if lo is None else k.between(lo, hi)
+        span, before = F.when(inside, i).otherwise(span), F.when(inside, F.lit(ahead)).otherwise(before)
+    rest = [c for c in df.columns if c != key]
+    rows = df.withColumns({"__i": span, "__before": before}).where("__i is not null")
+    rows = rows.withColumn("position", F.col("__before") + F.row_number().over(W.partitionBy("__i").orderBy(k.asc_nulls_last(), *rest)) - 1)
+    at = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(positions)], "position long, draw int")
+    return rows.join(F.broadcast(at), "position").drop("__i", "__before")

@@ -172,13 +172,6 @@ _M64 = "18446744073709551616"
     SELECT f.i + 1 AS i, CAST((CAST(f.state AS UHUGEINT) + 11400714819323198485) % {_M64} AS UBIGINT) AS state, f.moved, c.n FROM f, c WHERE f.i + 1 < least(50, c.n))))))
   SELECT CAST(i AS INTEGER) AS draw, o_orderkey, o_totalprice FROM f JOIN n ON n.position = f.pos WHERE i >= 0""")
 def seeded_sample(spark, sf_dir, seed: int = 20260812, count: int = 50):
-    """A drawing without replacement; positions are few, so they travel to the data."""
-    from pyspark.sql import Window as W
-
+    """A drawing without replacement; positions are few, and only the spans of keys that hold one are put in order."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
-    drawn = X.sample_positions(o.count(), count, seed)
-    at = spark.createDataFrame([(p, i) for i, p in enumerate(drawn)], "position long, draw int")
-    parts = o.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").withColumn("part", F.spark_partition_id())
-    sizes = parts.groupBy("part").count().select("part", (F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("count")).alias("ahead"))
-    ranked = parts.withColumn("n", F.row_number().over(W.partitionBy("part").orderBy("o_orderkey")) - 1).join(F.broadcast(sizes), "part")
-    return ranked.withColumn("position", F.col("n") + F.col("ahead")).join(F.broadcast(at), "position").select("draw", "o_orderkey", "o_totalprice")
+    return X.rows_at(o, "o_orderkey", X.sample_positions(o.count(), count, seed)).select("draw", "o_orderkey", "o_totalprice")

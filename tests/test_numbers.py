@@ -82,3 +82,24 @@ def test_lenient(spark, text, value, error):
     v, e = S.lenient_long(F.col("t"))
     r = spark.createDataFrame([(text,)], "t string").select(v.alias("v"), e.alias("e")).first()
     assert (r.v, bool(r.e)) == (value, error)
+
+
+def test_seeded_sample_of_dealt_rows(spark, tmp_path):
+    """Many files with keys in no order: every draw has its row, the one at its position."""
+    from oreline.plans.statistics import seeded_sample
+
+    k = F.col("id") * 3 - 1_000_000
+    o = spark.range(0, 600_000, 1, 12).select(k.alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), (F.col("id") / 4).alias("o_totalprice"))
+    o.repartition(12, F.hash("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    want = [(i, 3 * p - 1_000_000, p / 4) for i, p in enumerate(X.sample_positions(600_000, 50, 20260812))]
+    assert sorted(map(tuple, seeded_sample(spark, str(tmp_path)).collect())) == want
+
+
+def test_rows_at_positions(spark):
+    """Keys far apart, the least and greatest whole numbers, and nulls at the end."""
+    keys = [-(2**63), 2**63 - 1, *range(-70_000, 70_000), 2**40, 2**40 + 1]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").union(spark.createDataFrame([(None,)] * 3, "k long")).repartition(5)
+    at = [0, 1, 70_001, 140_000, 140_001, 140_002, 140_003, 140_004, 140_006, 999_999]
+    want = [(i, p, [*sorted(keys), None, None, None][p]) for i, p in enumerate(at[:-1])]
+    assert sorted(map(tuple, X.rows_at(df, "k", at).select("draw", "position", "k").collect())) == want
+    assert X.rows_at(df.where("k is null and k > 0"), "k", [0]).count() == 0 and X.rows_at(df, "k", []).count() == 0
