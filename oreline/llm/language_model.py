@@ -19,6 +19,7 @@ those of a token out of one possible.
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from dataclasses import dataclass
 
@@ -38,6 +39,9 @@ SHARD_STREAMS = 512  #: streams of a shard: more of them make a token cheaper
 SHARD_BYTES = 16 << 20  #: text a shard holds before it trains on it
 SCORE_WINDOW = 48
 SCORE_ROWS = 100_000  #: states whose outputs are computed together, about
+OUT_ROWS = 16_384  #: states whose outputs are in memory together
+SCORE_DOCS = 1_024  #: documents of about equal length that take a step together
+FEW = 12  #: rows up to which sums over an input's rows are taken row by row
 SCORE_BYTES = 32 << 20  #: text whose documents are scored together, about
 END = np.uint64(0xE4D0E4D0E4D0E4D1)  #: hash of the end token
 
@@ -109,8 +113,20 @@ def look_up(v: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------- network
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+class Room:
+    """Memory that is used again for every window: to get new memory from the system takes longer than what is computed in it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __reduce__(self):  # nothing of it goes to other processes
+        return Room, ()
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size, a = math.prod(shape), self.held.get(name)
+        if a is None or a.size < size or a.dtype != kind:
+            a = self.held[name] = np.empty(size, kind)
+        return a[:size].reshape(shape)
 
 
 class Network:
@@ -119,7 +135,7 @@ class Network:
     def __init__(self, first: np.ndarray, word_counts: np.ndarray, rest: float, seed: int = 1):
         rng = np.random.default_rng(seed)
         m, k, f32 = len(word_counts), len(first) - 1, np.float32
-        self.first, self.m = first, m
+        self.first, self.m, self.room = first, m, Room()
         self.klass = np.repeat(np.arange(k), np.diff(first)) if m else np.zeros(0, np.int64)
         mass = np.append(np.add.reduceat(word_counts, first[:-1]) if m else np.zeros(0), max(rest, 1.0)).astype(float)
         self.p = {
@@ -139,118 +155,158 @@ class Network:
     def begin(self) -> int:
         return self.m + ENDINGS
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple:
-        p, n = self.p, HIDDEN
-        a = p["x"][x] + p["b"]
-        g = h @ p["u"]
-        zr = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-        return c + z * (h - c), z, r, c, g[:, 2 * n :]
+    def cell(self, h: np.ndarray, a: np.ndarray, ut: np.ndarray, g: np.ndarray, zr: np.ndarray, c: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """States after one more input, in ``out``; its terms are left in ``g``, ``zr`` and ``c``. Arrays are (units, streams),
+        so that each gate is one piece of memory; ``a`` is what the inputs add, ``ut`` the turned weights of the state."""
+        n = HIDDEN
+        np.matmul(ut, h, out=g)
+        s = np.add(a[: 2 * n], g[: 2 * n], out=zr)
+        np.negative(s, out=s)
+        np.exp(s, out=s)
+        s += 1
+        np.reciprocal(s, out=s)
+        k = np.multiply(s[n:], g[2 * n :], out=c)
+        k += a[2 * n :]
+        np.tanh(k, out=k)
+        np.subtract(h, k, out=out)
+        out *= s[:n]
+        out += k
+        return out
 
     def log_probs(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log probability of words given states; of the last class for -1."""
+        return np.concatenate([self._log_probs(h[i : i + OUT_ROWS], word[i : i + OUT_ROWS]) for i in range(0, max(1, len(h)), OUT_ROWS)])
+
+    def _log_probs(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
         p = self.p
-        s = h @ p["oc"] + p["bc"]
-        s -= s.max(1, keepdims=True)
         k = len(self.first) - 1
         klass = np.where(word >= 0, self.klass[np.maximum(word, 0)] if self.m else k, k)
-        out = s[np.arange(len(s)), klass] - np.log(np.exp(s).sum(1))
         order = np.argsort(klass.astype(np.uint16), kind="stable")
         bounds = np.searchsorted(klass[order], np.arange(k + 1))
+        h, word, klass, rows = h[order], word[order], klass[order], np.arange(len(h))
+        s = p["oc"].T @ h.T
+        s += p["bc"][:, None]
+        s -= s.max(0)
+        got = s[klass, rows]
+        got -= np.log(np.exp(s, out=s).sum(0))
         for c in range(k):
-            rows = order[bounds[c] : bounds[c + 1]]
-            a, z = self.first[c], self.first[c + 1]
-            if len(rows) and z - a > 1:
-                t = h[rows] @ p["ow"][a:z].T + p["bw"][a:z]
-                t -= t.max(1, keepdims=True)
-                out[rows] += t[np.arange(len(rows)), word[rows] - a] - np.log(np.exp(t).sum(1))
+            lo, hi, a, z = bounds[c], bounds[c + 1], self.first[c], self.first[c + 1]
+            if hi > lo and z - a > 1:
+                t = p["ow"][a:z] @ h[lo:hi].T
+                t += p["bw"][a:z, None]
+                t -= t.max(0)
+                got[lo:hi] += t[word[lo:hi] - a, rows[: hi - lo]]
+                got[lo:hi] -= np.log(np.exp(t, out=t).sum(0))
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def gradients(self, h0: np.ndarray, x: np.ndarray, y: np.ndarray, reset: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """One window: x, y, reset are (steps, streams); y is a word, -1 the last class, -2 nothing."""
         p, n, steps, width = self.p, HIDDEN, *x.shape
-        kind = p["u"].dtype
-        before, zr, c, gn, flat = (np.empty((steps, width, w), kind) for w in (n, 2 * n, n, n, n))
-        inputs = x.ravel()
-        a = (p["x"][inputs] + p["b"]).reshape(steps, width, 3 * n)
-        u, h, fresh = p["u"], h0, reset.any(1)
+        kind, room = p["u"].dtype, self.room
+        before, zr, c, g, flat = (room(k, (steps, w, width), kind) for k, w in (("before", n), ("zr", 2 * n), ("c", n), ("g", 3 * n), ("flat", n)))
+        inputs = x.astype(np.intp)
+        table, ut, own_rows = p["x"] + p["b"], np.ascontiguousarray(p["u"].T), room("own", (width, 3 * n), kind)
+        h, fresh = h0.T, reset.any(1)
         for t in range(steps):
-            h = np.where(reset[t][:, None], np.float32(0), h) if fresh[t] else h
             before[t] = h
-            g = h @ u
-            s = np.add(a[t, :, : 2 * n], g[:, : 2 * n], out=zr[t])
-            np.negative(s, out=s)
-            np.exp(s, out=s)
-            s += 1
-            np.reciprocal(s, out=s)
-            gn[t] = g[:, 2 * n :]
-            k = np.multiply(s[:, n:], gn[t], out=c[t])
-            k += a[t, :, 2 * n :]
-            np.tanh(k, out=k)
-            h = np.subtract(h, k, out=flat[t])
-            h *= s[:, :n]
-            h += k
-        last, states, word = flat[-1].copy(), flat.reshape(-1, n), y.ravel()
+            if fresh[t]:
+                before[t][:, reset[t]] = 0
+            np.take(table, inputs[t], axis=0, out=own_rows, mode="clip")
+            h = self.cell(before[t], own_rows.T, ut, g[t], zr[t], c[t], flat[t])
+        last, word = flat[-1].T.copy(), y.ravel()
+        states = room("states", (steps, width, n), kind)
+        states[:] = flat.transpose(0, 2, 1)
         k = len(self.first) - 1
         klass = np.where(word >= 0, self.klass[np.maximum(word, 0)] if self.m else k, k)
         order = np.argsort(np.where(word > -2, klass, k + 1).astype(np.uint16), kind="stable")
         bounds = np.searchsorted(klass[order[: int((word > -2).sum())]], np.arange(k + 2))
         live = order[: bounds[-1]]
-        hl, wl, kl = states[live], word[live], klass[live]
+        hl, wl, kl = np.take(states.reshape(-1, n), live, axis=0, out=room("hl", (len(live), n), kind), mode="clip"), word[live].astype(np.intp), klass[live]
         grad = {name: np.zeros_like(v) for name, v in p.items()}
         rows = np.arange(len(live))
-        s = hl @ p["oc"] + p["bc"]
-        s -= s.max(1, keepdims=True)
+        scale = kind.type(1 / max(1, len(live)))
+        s = np.matmul(p["oc"].T, hl.T, out=room("s", (k + 1, len(live)), kind))
+        s += p["bc"][:, None]
+        s -= s.max(0)
         np.exp(s, out=s)
-        s /= s.sum(1, keepdims=True)
-        loss = -np.log(s[rows, kl] + 1e-12).sum()
-        s[rows, kl] -= 1
-        scale = np.float32(1 / max(1, len(live)))
-        s *= scale
-        grad["oc"] += hl.T @ s
-        grad["bc"] += s.sum(0)
-        dl = s @ p["oc"].T
+        mass = s.sum(0)
+        flat_s, own = s.reshape(-1), kl * len(live) + rows
+        likely, likely_in_class = flat_s[own] / mass, np.ones(len(live), kind)
+        s *= scale / mass
+        flat_s[own] -= scale
+        grad["oc"] += (s @ hl).T
+        grad["bc"] += s.sum(1)
+        dl = np.matmul(s.T, p["oc"].T, out=room("dl", (len(live), n), kind))
         for j in range(k):
             lo, hi, first, end = bounds[j], bounds[j + 1], self.first[j], self.first[j + 1]
             if hi > lo and end - first > 1:
-                q = hl[lo:hi] @ p["ow"][first:end].T + p["bw"][first:end]
-                q -= q.max(1, keepdims=True)
+                q = p["ow"][first:end] @ hl[lo:hi].T
+                q += p["bw"][first:end, None]
+                q -= q.max(0)
                 np.exp(q, out=q)
-                q /= q.sum(1, keepdims=True)
-                own = (rows[: hi - lo], wl[lo:hi] - first)
-                loss -= np.log(q[own] + 1e-12).sum()
-                q[own] -= 1
-                q *= scale
-                grad["ow"][first:end] += q.T @ hl[lo:hi]
-                grad["bw"][first:end] += q.sum(0)
-                dl[lo:hi] += q @ p["ow"][first:end]
-        out = np.zeros_like(states)
-        out[live] = dl
-        out = out.reshape(steps, width, n)
-        # what does not depend on the later steps is taken for the whole window
-        z, r = zr[:, :, :n], zr[:, :, n:]
-        to_z, to_c = (before - c) * z * (1 - z), (1 - z) * (1 - c * c)
-        to_r = gn * r * (1 - r)
-        da, dg = np.empty((steps, width, 3 * n), kind), np.empty((steps, width, 3 * n), kind)
-        dh, back = np.zeros_like(h0), np.ascontiguousarray(u.T)
+                flat_q, own, mass = q.reshape(-1), (wl[lo:hi] - first) * (hi - lo) + rows[: hi - lo], q.sum(0)
+                likely_in_class[lo:hi] = flat_q[own] / mass
+                q *= scale / mass
+                flat_q[own] -= scale
+                grad["ow"][first:end] += q @ hl[lo:hi]
+                grad["bw"][first:end] += q.sum(1)
+                dl[lo:hi] += q.T @ p["ow"][first:end]
+        out = room("out", (steps, width, n), kind)
+        if len(live) < steps * width:
+            out[:] = 0
+        out.reshape(-1, n)[live] = dl
+        da, to_u, dg = room("da", (steps, width, 3 * n), kind), room("to_u", (steps, width, n), kind), room("dg", (3 * n, width), kind)
+        d, dc, e, dh = (room(k, (n, width), kind) for k in ("d", "dc", "e", "dh"))
+        dh[:] = 0
+        dz, dr, dn = dg[:n], dg[n : 2 * n], dg[2 * n :]
         for t in range(steps - 1, -1, -1):
-            d = dh + out[t]
-            dc = np.multiply(d, to_c[t], out=da[t, :, 2 * n :])
-            np.multiply(d, to_z[t], out=dg[t, :, :n])
-            np.multiply(dc, to_r[t], out=dg[t, :, n : 2 * n])
-            np.multiply(dc, r[t], out=dg[t, :, 2 * n :])
-            d *= z[t]
-            d += dg[t] @ back
-            dh = np.where(reset[t][:, None], np.float32(0), d) if fresh[t] else d
-        da[:, :, : 2 * n] = dg[:, :, : 2 * n]
-        da, dg = da.reshape(-1, 3 * n), dg.reshape(-1, 3 * n)
-        grad["u"] += before.reshape(-1, n).T @ dg
-        grad["b"] += da.sum(0)
-        order = np.argsort(inputs.astype(np.uint16), kind="stable")
-        got, at = np.unique(inputs[order], return_index=True)
-        grad["x"][got] = np.add.reduceat(da[order], at, axis=0)
-        return grad, last, float(loss)
+            z, r = zr[t, :n], zr[t, n:]
+            np.add(dh, out[t].T, out=d)
+            np.subtract(1, z, out=e)
+            e *= d  # what reaches the candidate
+            np.subtract(before[t], c[t], out=dz)
+            dz *= z
+            dz *= e
+            np.multiply(c[t], c[t], out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= e
+            np.multiply(dc, r, out=dn)
+            np.subtract(1, r, out=dr)
+            dr *= dn
+            dr *= g[t, 2 * n :]
+            d *= z
+            np.matmul(p["u"], dg, out=dh)
+            dh += d
+            if fresh[t]:
+                dh[:, reset[t]] = 0
+            da[t, :, : 2 * n] = dg[: 2 * n].T
+            da[t, :, 2 * n :] = dc.T
+            to_u[t] = dn.T
+        # states before each step, by rows: those after the step before it
+        states[1:] = states[:-1].copy()
+        states[0] = h0
+        states[reset] = 0
+        by_rows = states.reshape(-1, n).T
+        grad["u"][:, : 2 * n] = by_rows @ da.reshape(-1, 3 * n)[:, : 2 * n]
+        grad["u"][:, 2 * n :] = by_rows @ to_u.reshape(-1, n)
+        self._sums(da.reshape(-1, 3 * n), inputs.ravel(), grad["x"])
+        grad["b"] += grad["x"].sum(0)
+        return grad, last, -float(np.log(likely + 1e-12).sum() + np.log(likely_in_class + 1e-12).sum())
+
+    def _sums(self, rows: np.ndarray, of: np.ndarray, into: np.ndarray) -> None:
+        """Adds each row to the row of ``into`` it belongs to: those of frequent ones together, of others one at a time."""
+        order = np.argsort(of.astype(np.uint16), kind="stable")
+        rows = np.take(rows, order, axis=0, out=self.room("sorted", rows.shape, rows.dtype), mode="clip")
+        n = np.bincount(of, minlength=len(into))
+        starts, one = np.cumsum(n) - n, np.ones(int(n.max()), rows.dtype)
+        for i in np.flatnonzero(n > FEW).tolist():
+            into[i] += one[: n[i]] @ rows[starts[i] : starts[i] + n[i]]
+        few = np.flatnonzero((n > 0) & (n <= FEW))
+        for j in range(FEW):
+            few = few[n[few] > j]
+            into[few] += rows[starts[few] + j]
 
 
 def train(net: Network, docs: list[tuple[np.ndarray, np.ndarray]], passes: int = 1, rate: float = RATE, parallel: int = STREAMS) -> int:
@@ -290,10 +346,21 @@ def train(net: Network, docs: list[tuple[np.ndarray, np.ndarray]], passes: int =
             step += 1
             lr = rate * (1 - 0.9 * step / total)
             for k in net.p:
-                gk = g[k] * np.float32(cut)
-                m[k] += np.float32(0.1) * (gk - m[k])
-                v[k] += np.float32(0.01) * (gk * gk - v[k])
-                net.p[k] -= np.float32(lr) * (m[k] / np.float32(1 - 0.9**step)) / (np.sqrt(v[k] / np.float32(1 - 0.99**step)) + np.float32(1e-6))
+                gk, e = g[k], net.room("adam", g[k].shape, g[k].dtype)
+                gk *= np.float32(cut)
+                np.subtract(gk, m[k], out=e)
+                e *= np.float32(0.1)
+                m[k] += e
+                gk *= gk
+                gk -= v[k]
+                gk *= np.float32(0.01)
+                v[k] += gk
+                np.multiply(v[k], np.float32(1 / (1 - 0.99**step)), out=e)
+                np.sqrt(e, out=e)
+                e += np.float32(1e-6)
+                np.divide(m[k], e, out=e)
+                e *= np.float32(lr / (1 - 0.9**step))
+                net.p[k] -= e
     return int(lens.sum())
 
 
@@ -301,27 +368,33 @@ def score_batch(net: Network, word: np.ndarray, ending: np.ndarray, at: np.ndarr
     """Natural log-likelihood of each document; states are carried from window to window."""
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
-    starts, lens = at[:-1][order], n[order]
     out = np.zeros(len(n))
-    x = np.empty(len(word), np.int32)
+    x = np.empty(len(word), np.intp)
     x[1:] = net.inputs(word[:-1], ending[:-1])
     x[at[:-1]] = net.begin
-    h = np.zeros((len(n), HIDDEN), np.float32)
-    lo, longest = 0, int(lens[0]) if len(lens) else 0
-    while lo < longest:
-        states, targets, owners = [], [], []
-        size = min(SCORE_WINDOW, max(1, SCORE_ROWS // len(h)))
-        for t in range(lo, min(lo + size, longest)):
-            live = int(np.searchsorted(-lens, -t, "left"))
-            h = h[:live]
-            i = starts[:live] + t
-            h = net.step(h, x[i])[0]
-            states.append(h)
-            targets.append(word[i])
-            owners.append(order[:live])
-        lp = net.log_probs(np.concatenate(states), np.concatenate(targets))
-        out += np.bincount(np.concatenate(owners), lp, len(n))
-        lo += size
+    table, ut = net.p["x"] + net.p["b"], np.ascontiguousarray(net.p["u"].T)
+    kind, room = table.dtype, Room()
+    for first in range(0, len(order), SCORE_DOCS):
+        docs = order[first : first + SCORE_DOCS]
+        starts, lens = at[:-1][docs], n[docs]
+        h = np.zeros((HIDDEN, len(docs)), kind)
+        lo, longest = 0, int(lens[0])
+        while lo < longest:
+            end = min(lo + min(SCORE_WINDOW, max(1, SCORE_ROWS // h.shape[1])), longest)
+            lives = np.searchsorted(-lens, -np.arange(lo, end), "left").tolist()
+            states, places, done = room("states", (sum(lives), HIDDEN), kind), np.empty(sum(lives), np.intp), 0
+            for t, live in zip(range(lo, end), lives, strict=True):
+                if live < h.shape[1]:
+                    h = np.ascontiguousarray(h[:, :live])
+                i = np.add(starts[:live], t, out=places[done : done + live])
+                rows = np.take(table, x[i], axis=0, out=room("rows", (live, 3 * HIDDEN), kind), mode="clip")
+                g, zr, c = (room(k, (w * HIDDEN, live), kind) for k, w in (("g", 3), ("zr", 2), ("c", 1)))
+                h = net.cell(h, rows.T, ut, g, zr, c, room(f"h{t % 2}", (HIDDEN, live), kind))
+                states[done : done + live] = h.T
+                done += live
+            lp = net.log_probs(states, word[places])
+            out += np.bincount(np.concatenate([docs[:live] for live in lives]), lp, len(n))
+            lo = end
     return out
 
 

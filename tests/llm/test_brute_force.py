@@ -3,7 +3,9 @@
 import bisect
 import hashlib
 import math
+import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -362,6 +364,43 @@ def test_op4_streams_end_on_their_own():
     assert seen[-1][0].shape[1] == 1 and all(np.isfinite(a).all() for a in net.p.values())
 
 
+def test_op4_windows_use_their_memory_again():
+    rng = np.random.default_rng(4)
+    net = language_model.Network(np.arange(0, 1537, 48), np.arange(1600, 64, -1), 1000.0)
+    x, y, reset = rng.integers(0, net.begin + 1, (24, 512)), rng.integers(-1, 1536, (24, 512)), rng.random((24, 512)) < 0.01
+    h0 = np.zeros((512, language_model.HIDDEN), np.float32)
+    first = net.gradients(h0, x, y, reset)
+    tracemalloc.start()
+    again = net.gradients(h0, x, y, reset)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
+    assert first[2] == again[2] and all((first[0][k] == again[0][k]).all() for k in net.p)
+    narrow = net.gradients(h0[:5], x[:7, :5], y[:7, :5], reset[:7, :5])  # in what wider windows left behind
+    other = pickle.loads(pickle.dumps(net))
+    assert not other.room.held
+    fresh = other.gradients(h0[:5], x[:7, :5], y[:7, :5], reset[:7, :5])
+    assert narrow[2] == fresh[2] and all((narrow[0][k] == fresh[0][k]).all() for k in net.p)
+    rows, of = rng.normal(0, 1, (900, 6)), rng.integers(0, 8, 900) ** 2
+    got, want = np.zeros((60, 6)), np.zeros((60, 6))
+    of[:20] = np.arange(20) // 2  # some rare, some frequent
+    net._sums(rows, of, got)
+    np.add.at(want, of, rows)
+    assert np.allclose(got, want)
+
+
+def test_op4_groups_of_documents_and_blocks_of_states(monkeypatch):
+    rng = np.random.default_rng(6)
+    net = language_model.Network(np.array([0, 2, 5]), np.array([9, 7, 5, 3, 2]), 10.0)
+    w, e = rng.integers(-1, 5, 600).astype(np.int16), rng.integers(0, 9, 600).astype(np.int16)
+    at = np.concatenate([[0, 1, 2, 300], np.sort(rng.choice(np.arange(301, 600), 20, replace=False)), [600]])
+    whole = language_model.score_batch(net, w, e, at)
+    monkeypatch.setattr(language_model, "SCORE_DOCS", 4)
+    monkeypatch.setattr(language_model, "OUT_ROWS", 7)
+    assert np.allclose(language_model.score_batch(net, w, e, at), whole, atol=1e-3)
+    assert len(language_model.score_batch(net, w[:0], e[:0], np.array([0]))) == 0 and len(net.log_probs(np.zeros((0, language_model.HIDDEN)), w[:0])) == 0
+
+
 @pytest.mark.parametrize("query", ["op2_media_columns", "op4_lm_scoring", "op5_suffix_dedup", "op8_packing", "op9_toxicity", "op10_ngram_jaccard", "op7_quality", "op1_decontamination", "op6_license_scan", "op3_url_filter"])
 def test_empty_tables(spark, query, monkeypatch):
     kinds = {"documents": SCHEMA, "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string"}
